@@ -1,0 +1,31 @@
+"""Tables written once and read again, in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Only a local session, where driver and executors are one process, may fall back on a temporary
+    folder; on a cluster a missing setting is an error, since a folder of one machine would not do.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.startswith("local["):
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, its lineage cut, safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
