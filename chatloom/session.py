@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +36,18 @@ def local_session(app: str = "chatloom", cpus: int | None = None, partitions: in
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the given tables, by the path that Spark's readers get."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the session's Python workers import this package, wherever the driver was started; done once a session."""
+    if spark.conf.get("chatloom.shipped", "") == spark.sparkContext.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    there = Path(tempfile.mkdtemp(prefix="spark-package-"))  # the driver serves it from here to executors that come later
+    atexit.register(shutil.rmtree, there, ignore_errors=True)
+    packed = there / "chatloom_package.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for module in sorted(root.rglob("*.py")):
+            z.write(module, module.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    spark.conf.set("chatloom.shipped", spark.sparkContext.applicationId)
