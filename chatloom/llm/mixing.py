@@ -159,3 +159,16 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str =
         )
         .select(key, source, "size", "source_size", "target", "taken", "starts")
     )
+
+
+def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = "mix") -> DataFrame:
+    """The rows of ``df`` as often as the mix begins each of them: some not at all, some up to MAX_REPEATS times.
+
+    Rows alike in key, source and size share what the mix takes of them, rounded up.
+    """
+    takes = mixed(df, text, source, key, seed).groupBy(F.col(key).alias("k"), F.col(source).alias("s"), F.col("size").alias("z"))
+    takes = takes.agg(F.ceil(F.sum("starts") / F.count(F.lit(1))).cast("int").alias("times")).where("times > 0")
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own")
+    rows = df.select(own, F.col(key).alias("key"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"))
+    same = F.col("key").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    return rows.join(takes, same).select("own", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).select("own.*")

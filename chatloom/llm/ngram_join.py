@@ -339,10 +339,16 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def kept_one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` with one row of each component left: that of its least key; of rows with one key, one.
+    """The rows of ``df`` with one document of each component left: the one with its least key.
 
-    A row without shingles or without a key has no component to leave it for and stays.
+    A row without shingles or without a key has no component to leave it for and stays. Rows that repeat both key and
+    text are one document, of which one stays; rows that share a key only are told apart by their texts.
     """
-    alone = near_duplicates(df, text, key).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("dropped")).distinct()
-    kept = df.join(alone, F.col(key) == F.col("dropped"), "left_anti")
-    return kept
+    found = written(near_duplicates(df, text, key), "ngram-components")
+    dropped = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("dropped")).distinct()
+    kept = df.join(dropped, F.col(key) == F.col("dropped"), "left_anti")
+    repeated = found.where(f"n_shingles > 0 AND {key} IS NOT NULL").groupBy(F.col(key).alias("repeated")).count().where("count > 1").select("repeated")
+    if repeated.isEmpty():
+        return kept
+    same = F.col(key) == F.col("repeated")
+    return kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates([key, text]))

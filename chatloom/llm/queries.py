@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import mixing, ngram_join, quality, sharding, token_counts
+from chatloom.llm import decontamination, language, lm_scores, mixing, ngram_join, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +39,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id"), 4))
+    model = language.trained(docs.where(~F.col("held_out")))
+    found = language.identified(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "n_languages")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"), 7)
+    model, counts = lm_scores.trained(docs.where(~held))
+    found = lm_scores.scored(docs, model, counts)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

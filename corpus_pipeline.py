@@ -1,16 +1,59 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing, sharding.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns what it keeps of ``docs``; all but the last return the columns of
+``documents``, the last adds ``shard`` and ``slot``. Stages meet as Parquet tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from chatloom.llm import decontamination, mixing, ngram_join, quality, sharding
+from chatloom.llm.scratch import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised quality rules keep."""
+    return quality.kept_documents(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose word shingles overlap by four fifths or more."""
+    return ngram_join.kept_one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources at their target weights takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in random order, dealt to the shards."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("mix_sources", mix_sources),
+    ("sharding", shard),
+]
+
+#: Neither the shuffle nor the estimated rule accuracies can be expressed in SQL; see the tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if stage is not shard:
+            docs = written(docs, f"pipeline-{name}")
     return docs
