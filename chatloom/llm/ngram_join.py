@@ -15,8 +15,10 @@ can reach the bound, and only that part is built:
    into one component at a linear cost.
 4. Pairs whose bit signatures differ in more places than their sizes allow are discarded; the rest is verified on
    the whole sets.
-5. Long columns are then taken up again for what a star may miss: pairs of documents whose components still differ,
-   within the bounds of sizes and bit signatures. These are verified too, so no link is lost.
+5. Long columns whose documents are not all in one component yet get further stars around other documents. What is
+   then still divided is taken up pair by pair, for what stars may miss: pairs of documents whose components differ,
+   within the bounds of sizes and bit signatures, each in the first column that they share. These are verified too, so
+   no link is lost.
 
 Components are found on classes. Shingles and classes are known by 64-bit hashes.
 """
@@ -40,7 +42,10 @@ NUM, DEN = 4, 5
 #: Counters of the sketch: 4 MB, whatever the corpus' size.
 SKETCH_BITS = 20
 SKETCH_ROWS = 64
-SIGNATURE_WORDS = 8
+#: Bit signatures of 2,048 bits rule out unlike sets of up to some 4,000 shingles; larger ones go on to verification.
+SIGNATURE_WORDS = 32
+#: Rounds of stars on long columns, each with other centres, before their remaining pairs are taken one by one.
+STAR_ROUNDS = 3
 #: Columns of up to this many documents are multiplied out.
 SHORT = 16
 #: Incidences of a block, about.
@@ -49,6 +54,8 @@ BLOCKS_AT_LEAST = 64
 FLUSH = 1 << 20
 #: Bits of the filter of candidate classes (2 MB). What it lets through wrongly costs time only.
 FILTER_BITS = 24
+#: Stands for a key that is null where one is needed.
+NO_ID = -(1 << 63) + 7
 
 
 def _row_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,35 +212,37 @@ def _product(table: pa.Table) -> pa.Table:
     })
 
 
-def _sets_of(place_of, filter_of):
-    """The whole sets of the classes in the filter: rows ``(class, members)``, once a task for each class."""
+def _sets_of(filter_of):
+    """The whole sets of the documents in the filter: rows ``(class, members)``."""
     schema = pa.schema([("class", pa.int64()), ("members", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(filter_of.value, np.uint8), set()
+        bits = np.frombuffer(filter_of.value, np.uint8)
         for batch in batches:
-            for _, _, raw, offsets in arrays.pieces(batch.column(0)):
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            for first, last, raw, offsets in arrays.pieces(batch.column(1)):
                 values, bounds = _row_sets(raw, offsets)
                 classes = _classes(values, bounds)
-                at = _filter_place(classes)
+                at = _filter_place(classes, ids[first:last])
                 hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                hit = hit[_fresh(classes[hit], seen)]
-                if len(hit):
-                    yield pa.record_batch([pa.array(classes[hit].view(np.int64)), pa.array([values[bounds[h] : bounds[h + 1]].tobytes() for h in hit], pa.binary())], schema)
+                for some in np.array_split(hit, 1 + len(hit) // 256):
+                    if len(some):
+                        yield pa.record_batch([pa.array(classes[some].view(np.int64)), pa.array([values[bounds[h] : bounds[h + 1]].tobytes() for h in some], pa.binary())], schema)
 
     return task
 
 
-def _filter_place(classes: np.ndarray) -> np.ndarray:
-    return (arrays.mixed(classes.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_place(classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The bit of a class and of the document that stands for it."""
+    return (arrays.mixed(classes.view(np.uint64) ^ arrays.mixed(ids.astype(np.int64).view(np.uint64))) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _class_filter(classes: DataFrame) -> bytes:
-    """2**FILTER_BITS bits with those of the given classes set. Each task sends the positions it found, at most as many as bits."""
+    """2**FILTER_BITS bits with those of the given rows ``(class, least)`` set. A task sends its bits packed, whatever their number."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            bits[_filter_place(np.asarray(batch.column(0)))] = True
+            bits[_filter_place(batch.column(0).to_numpy(), batch.column(1).fill_null(NO_ID).to_numpy())] = True
         packed = np.packbits(bits, bitorder="little")
         for part, bytes_ in enumerate(np.split(packed, SKETCH_ROWS)):
             if bytes_.any():
@@ -263,27 +272,42 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs ``(a, a_size, b, b_size)`` that bit signatures don't rule out.
+def _apart(a: str, b: str) -> F.Column:
+    """In how many places two bit signatures differ."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
+
+
+def _may_link(a: str, b: str, a_size: str, b_size: str) -> F.Column:
+    """Whether sizes and bit signatures leave a link possible.
 
     Sets with an overlap of at least NUM/DEN of their union differ in at most (DEN-NUM)/(DEN+NUM) of their sizes' sum.
     """
+    sizes = DEN * F.least(a_size, b_size) >= NUM * F.greatest(a_size, b_size)
+    return sizes & ((DEN + NUM) * _apart(a, b) <= (DEN - NUM) * (F.col(a_size) + F.col(b_size)))
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of classes that may link, each once."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in ("a", "b"):
-        pairs = pairs.join(signatures.select(F.col("class").alias(side), F.col("signature").alias(f"{side}_bits")), side)
-    differ = sum((F.bit_count(F.col("a_bits")[k].bitwiseXOR(F.col("b_bits")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
-    return pairs.where((DEN + NUM) * differ <= (DEN - NUM) * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+        own = classes.select(F.col("class").alias(side), F.col("signature").alias(f"{side}_bits"), F.col("n_shingles").alias(f"{side}_size"))
+        pairs = pairs.join(own, side)
+    return pairs.where(_may_link("a_bits", "b_bits", "a_size", "b_size")).select("a", "b")
+
 
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """The pairs ``(a, b)`` of classes that are links, by their whole sets.
 
-def _verified(pairs: DataFrame, texts: DataFrame, place_of, label: str) -> DataFrame:
-    """The pairs ``(a, b)`` of classes that are links, by their whole sets."""
+    Only the documents that stand for a class in some pair send their sets, picked while scanning by a filter of fixed size.
+    """
     spark = pairs.sparkSession
-    pairs = written(pairs.distinct(), f"{label}-pairs")
+    pairs = written(pairs, f"{label}-pairs")
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    filter_of = spark.sparkContext.broadcast(_class_filter(ends))
-    found = texts.mapInArrow(_sets_of(place_of, filter_of), "class bigint, members binary")
-    found = written(found.join(ends, "class", "left_semi").groupBy("class").agg(F.first("members").alias("members")), f"{label}-sets")
-    sides = [found.select(F.col("class").alias(s), F.col("members").alias(f"{s}_set")) for s in ("a", "b")]
-    return written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_linked, "a bigint, b bigint"), f"{label}-links")
+    filter_of = spark.sparkContext.broadcast(_class_filter(ends.join(classes.select("class", "least"), "class").select("class", "least")))
+    for side in ("a", "b"):
+        found = docs.mapInArrow(_sets_of(filter_of), "class bigint, members binary")
+        pairs = pairs.join(found.select(F.col("class").alias(side), F.col("members").alias(f"{side}_set")), side)
+    return written(pairs.mapInArrow(_linked, "a bigint, b bigint").distinct(), f"{label}-links")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -296,7 +320,6 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = docs.select("text")
     scan = written(docs.mapInArrow(_scan, "doc_id bigint, n_shingles bigint, class bigint, signature array<bigint>, part int, counts array<bigint>"), "ngram-scan")
     rows = scan.where("part is null")
     place_of = spark.sparkContext.broadcast(_sketch_order(scan))
@@ -305,30 +328,39 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = BLOCKS_AT_LEAST + total // DEN // BLOCK
-    packed = texts.mapInArrow(_incidences(place_of, blocks), "block bigint, shingles binary, classes binary, sizes binary")
+    packed = docs.select("text").mapInArrow(_incidences(place_of, blocks), "block bigint, shingles binary, classes binary, sizes binary")
     product = written(packed.groupBy("block").applyInArrow(_product, PRODUCT), "ngram-product")
-    short = product.where("b is not null").groupBy("a", "a_size", "b", "b_size").agg(F.sum("overlap").alias("overlap"))
-    long = product.where("b is null").select("shingle", F.col("a").alias("class"), F.col("a_size").alias("size"))
-    centres = written(long.groupBy("shingle").agg(F.min(F.struct("class", "size")).alias("centre")), "ngram-centres")
-    star = long.join(centres, "shingle").select(F.col("centre.class").alias("a"), F.col("centre.size").alias("a_size"), F.col("class").alias("b"), F.col("size").alias("b_size")).where("a <> b")
-    sizes_fit = DEN * F.least("a_size", "b_size") >= NUM * F.greatest("a_size", "b_size")
-    pairs = short.drop("overlap").union(star.where(sizes_fit).distinct())
-    links = _verified(_possible(pairs, classes), texts, place_of, "ngram-first")
-
-    named = components(links, "ngram-first")
-    labelled = long.join(named, F.col("class") == F.col("node"), "left").select("shingle", "class", "size", F.coalesce("component", "class").alias("component"))
-    labelled = written(labelled, "ngram-long")
-    divided = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    open_rows = written(labelled.join(divided, "shingle", "left_semi").join(classes.select("class", "signature"), "class"), "ngram-open")
-    a, b = (open_rows.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("class", "size", "component", "signature"))) for s in ("a", "b"))
-    differ = sum((F.bit_count(F.col("a_signature")[k].bitwiseXOR(F.col("b_signature")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
-    rest = a.join(
-        b, (a["shingle"] == b["shingle"]) & (F.col("a_component") < F.col("b_component")) & sizes_fit & ((DEN + NUM) * differ <= (DEN - NUM) * (F.col("a_size") + F.col("b_size")))
-    ).select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
-    rest = rest.distinct().join(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    more = _verified(rest, texts, place_of, "ngram-rest")
-    if not more.isEmpty():
-        named = components(links.union(more), "ngram-all")
+    short = product.where("b is not null").select("a", "b")
+    long = written(product.where("b is null").select("shingle", F.col("a").alias("class"), F.col("a_size").alias("size")), "ngram-long")
+
+    links = _verified(_possible(short, classes), docs, classes, "ngram-short")
+    tried = None
+    for number in range(STAR_ROUNDS + 1):
+        named = components(links, f"ngram-{number}")
+        rows_of = long.join(named, F.col("class") == F.col("node"), "left").select("shingle", "class", "size", F.coalesce("component", "class").alias("component"))
+        divided = rows_of.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+        open_rows = written(rows_of.join(divided, "shingle", "left_semi"), f"ngram-open-{number}")
+        if number == STAR_ROUNDS or open_rows.isEmpty():
+            break
+        # the first star is around the least document, which many columns share; later ones around others
+        order = F.col("class") if number == 0 else F.xxhash64("class", "shingle" if number > 1 else F.lit(number))
+        centres = open_rows.groupBy("shingle").agg(F.min_by(F.struct("class", "component"), order).alias("centre"))
+        star = open_rows.join(centres, "shingle").where("component <> centre.component").select(F.col("centre.class").alias("a"), F.col("class").alias("b"))
+        star = _possible(star, classes)
+        star = star if tried is None else star.join(tried, ["a", "b"], "left_anti")
+        star = written(star, f"ngram-star-{number}")
+        links = written(links.union(_verified(star, docs, classes, f"ngram-star-{number}")), f"ngram-links-{number}")
+        tried = star if tried is None else written(tried.union(star), f"ngram-tried-{number}")
+    if not open_rows.isEmpty():
+        own = open_rows.groupBy("class").agg(F.collect_list("shingle").alias("columns"))
+        full = written(open_rows.join(own, "class").join(classes.select("class", "signature"), "class"), "ngram-rest-rows")
+        a, b = (full.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("class", "size", "component", "signature", "columns"))) for s in ("a", "b"))
+        first_shared = F.array_min(F.array_intersect("a_columns", "b_columns"))
+        test = (F.col("a_component") < F.col("b_component")) & _may_link("a_signature", "b_signature", "a_size", "b_size") & (a["shingle"] == first_shared)
+        rest = a.join(b, (a["shingle"] == b["shingle"]) & test).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
+        rest = rest if tried is None else rest.join(tried, ["a", "b"], "left_anti")
+        links = links.union(_verified(rest, docs, classes, "ngram-rest"))
+        named = components(links, "ngram-all")
 
     together = classes.join(named, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     together = written(together, "ngram-named")
