@@ -1,6 +1,9 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from chatloom.plans import q_change, q_collection, q_retrieval, q_text, q_views
+
+_MODULES = (q_retrieval, q_text, q_collection, q_change, q_views)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
