@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom.schemas import CHAT_SOURCE, FILTER_FIELDS
 
@@ -239,24 +240,27 @@ def knn_by_matrix(chunks: DataFrame, queries: DataFrame, k: int = 5, most: int =
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hyperplanes(dim: int, tables: int, bits: int, seed: int) -> list[list[list[float]]]:
-    rng = np.random.default_rng(seed)
-    return rng.standard_normal((tables, bits, dim)).tolist()
+def lsh_buckets(rows: DataFrame, vector: str, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
+    """``rows`` with ``buckets``: in each table, the signs of the vector's projections on ``bits`` random directions."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("buckets", T.ArrayType(T.LongType()))])
 
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+        for pdf in batches:
+            if len(pdf):
+                signs = (np.stack(pdf[vector].to_numpy()).astype(np.float64) @ planes >= 0).reshape(len(pdf), tables, bits)
+                numbers = (signs << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
+                yield pdf.assign(buckets=list(numbers.astype(np.int64)))
 
-def knn_lsh(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, tables: int = 24, bits: int = 5, seed: int = 7) -> DataFrame:
-    """Approximate cosine top-k: candidates share the signs of ``bits`` random projections in one of ``tables`` tables, then exact ranking."""
-    planes = hyperplanes(dim, tables, bits, seed)
-
-    def keys(v: Column) -> Column:
-        def one(t: int) -> Column:
-            value = sum((F.when(_dot(v, F.array(*map(F.lit, plane))) >= 0, 1 << i).otherwise(0) for i, plane in enumerate(planes[t])), F.lit(0))
-            return F.concat_ws(":", F.lit(t), value)
+    return rows.mapInPandas(task, schema)
 
-        return F.array(*(one(t) for t in range(tables)))
 
-    c = chunks.where(not_deleted()).select("vector_id", "owner_id", "embedding", F.explode(keys(F.col("embedding"))).alias("bucket"))
-    q = queries.select("query_id", F.col("owner_id").alias("q_owner"), "query_vector", F.explode(keys(F.col("query_vector"))).alias("q_bucket"))
+def knn_lsh(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, tables: int = 24, bits: int = 5, seed: int = 7) -> DataFrame:
+    """Approximate cosine top-k: candidates share a bucket of ``lsh_buckets`` and the owner with the query, then exact ranking."""
+    c = lsh_buckets(chunks.where(not_deleted()).select("vector_id", "owner_id", "embedding"), "embedding", dim, tables, bits, seed)
+    c = c.select("vector_id", "owner_id", "embedding", F.explode("buckets").alias("bucket"))
+    q = lsh_buckets(queries.select("query_id", F.col("owner_id").alias("q_owner"), "query_vector"), "query_vector", dim, tables, bits, seed)
+    q = q.select("query_id", "q_owner", "query_vector", F.explode("buckets").alias("q_bucket"))
     met = c.join(q, (F.col("bucket") == F.col("q_bucket")) & (F.col("owner_id") == F.col("q_owner"))).select("query_id", "vector_id", "embedding", "query_vector").dropDuplicates(["query_id", "vector_id"])
     met = met.withColumn("similarity", F.round(similarity(distance(F.col("embedding"), F.col("query_vector"), "cosine"), "cosine"), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")

@@ -119,7 +119,7 @@ def stream_edit_state(spark, sf_dir):
 def stream_once(spark, sf_dir):
     """Redelivered updates of a stream, counted once."""
     base = f"{jobs_dir(spark)}/{uuid.uuid4().hex}"
-    u = tables.updates(spark, sf_dir).withColumn("key", F.concat_ws(":", "kind", "message_id", "update_id"))
+    u = tables.updates(spark, sf_dir).withColumns({"key": F.concat_ws(":", "kind", "message_id", "update_id"), "edit_ts": F.col("edit_ts").cast("timestamp")})
     u.coalesce(1).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(u.schema).parquet(f"{base}/in")
     jobs.run_to_end(jobs.once(stream, "key", "edit_ts", "400 days"), jobs.append_once(f"{base}/out"), f"{base}/checkpoint")

@@ -87,7 +87,6 @@ def snippets(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     """The decisions of ``ingest_decisions`` without a table of processed ids, by a stream over the message table's files."""
-    import os
     import uuid
 
     base = f"{jobs_dir(spark)}/{uuid.uuid4().hex}"
@@ -95,7 +94,6 @@ def stream_ingest(spark, sf_dir):
     e.write.parquet(f"{base}/in")
     accounts, chats = tables.accounts(spark, sf_dir), tables.chats(spark, sf_dir)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
-    del os
     jobs.run_to_end(jobs.ingest(stream, accounts, chats), jobs.append_once(f"{base}/out"), f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -157,7 +155,7 @@ parsed AS (SELECT *, string_split(message, chr(10))[1] AS first_line, regexp_mat
   coalesce(try_strptime(stamp, '%m/%d/%Y, %I:%M %p'), try_strptime(stamp, '%m/%d/%Y, %H:%M')) AS ts FROM segments)"""
 _STOP = ", ".join(f"'{w}'" for w in snippet.STOP_WORDS)
 _CLEAN = r"nullif(regexp_replace(trim(regexp_replace({0}, '[\r\n]+', ' ', 'g')), '[ \t]+', ' ', 'g'), '')"
-_TERMS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), w -> NOT list_contains([{1}], w) AND length(w) > 1)"
+_TERMS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda w: NOT list_contains([{1}], w) AND length(w) > 1)"
 
 
 def _terms(column):
@@ -166,9 +164,9 @@ def _terms(column):
 
 _PAIRS_SQL = f"""{_SEGMENTS}, asked AS (SELECT query_id, {_terms("array_to_string(string_split(question, ' ')[:12], ' ')")} AS terms FROM query_vectors),
 tokens AS (SELECT s.conv_id, s.message_no, query_id, lower(message) AS low, terms, regexp_extract_all(lower(message), '[\\p{{L}}\\p{{N}}_]+') AS tokens_of FROM segments s JOIN asked ON conv_id % 10 = query_id),
-counted AS (SELECT *, list_transform(terms, t -> len(list_filter(tokens_of, x -> x = t))) AS found FROM tokens),
+counted AS (SELECT *, list_transform(terms, lambda t: len(list_filter(tokens_of, lambda x: x = t))) AS found FROM tokens),
 scored AS (SELECT query_id, conv_id, message_no, CAST(coalesce(list_sum(found), 0) AS INT) AS exact,
-  CAST(len(list_filter(range(1, len(terms) + 1), i -> found[i] = 0 AND contains(low, terms[i]))) AS INT) AS partial FROM counted)"""
+  CAST(len(list_filter(range(1, len(terms) + 1), lambda i: found[i] = 0 AND contains(low, terms[i]))) AS INT) AS partial FROM counted)"""
 
 ORACLE_SQL = {
     "normalize_events": with_tables("raw_events", more=_OBJECTS) + "SELECT * EXCLUDE (account_id, chat_id) FROM objects",
