@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontamination, language, lm_scores, mixing, ngram_join, quality, sharding, token_counts
+from chatloom.llm import decontamination, language, licenses, line_dedup, lm_scores, mixing, ngram_join, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +58,15 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = lm_scores.trained(docs.where(~held))
     found = lm_scores.scored(docs, model, counts)
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, hundreds, tens; every tenth one is its directory's licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100), F.floor(F.col("doc_id") / 10), name)
+    return licenses.licensed(docs.select("doc_id", "text", path.alias("path")))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
