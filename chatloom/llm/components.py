@@ -25,18 +25,22 @@ def _stars(links: DataFrame, label: str) -> DataFrame:
     return written(small.distinct(), f"{label}-small")
 
 
+def _is_settled(links: DataFrame) -> bool:
+    """Whether every node has one link to its root and roots have none: one aggregate over both ends."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``: the least node that can be reached from it.
 
-    Alternates large-star and small-star steps until nothing changes, which takes a number of rounds that grows
-    with the logarithm of the component's size. Links with a null end and loops are left out; no links, no rows.
+    Alternates large-star and small-star steps until all links lead straight to a root, which takes a number of rounds that
+    grows with the logarithm of the component's size; links that are stars already take none. Links with a null end
+    and loops are left out; no links, no rows.
     """
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-links")
-    before = None
-    while True:
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before, links = state, _stars(links, label)
+    while not _is_settled(links):
+        links = _stars(links, label)
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

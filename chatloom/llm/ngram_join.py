@@ -45,7 +45,7 @@ SKETCH_ROWS = 64
 #: Bit signatures of 2,048 bits rule out unlike sets of up to some 4,000 shingles; larger ones go on to verification.
 SIGNATURE_WORDS = 32
 #: Rounds of stars on long columns, each with other centres, before their remaining pairs are taken one by one.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Columns of up to this many documents are multiplied out.
 SHORT = 16
 #: Incidences of a block, about.
@@ -302,10 +302,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, label: str)
     """
     spark = pairs.sparkSession
     pairs = written(pairs, f"{label}-pairs")
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     filter_of = spark.sparkContext.broadcast(_class_filter(ends.join(classes.select("class", "least"), "class").select("class", "least")))
+    found = written(docs.mapInArrow(_sets_of(filter_of), "class bigint, members binary"), f"{label}-sets")
     for side in ("a", "b"):
-        found = docs.mapInArrow(_sets_of(filter_of), "class bigint, members binary")
         pairs = pairs.join(found.select(F.col("class").alias(side), F.col("members").alias(f"{side}_set")), side)
     return written(pairs.mapInArrow(_linked, "a bigint, b bigint").distinct(), f"{label}-links")
 
@@ -330,37 +332,34 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     blocks = BLOCKS_AT_LEAST + total // DEN // BLOCK
     packed = docs.select("text").mapInArrow(_incidences(place_of, blocks), "block bigint, shingles binary, classes binary, sizes binary")
     product = written(packed.groupBy("block").applyInArrow(_product, PRODUCT), "ngram-product")
-    short = product.where("b is not null").select("a", "b")
-    long = written(product.where("b is null").select("shingle", F.col("a").alias("class"), F.col("a_size").alias("size")), "ngram-long")
-
-    links = _verified(_possible(short, classes), docs, classes, "ngram-short")
-    tried = None
-    for number in range(STAR_ROUNDS + 1):
-        named = components(links, f"ngram-{number}")
-        rows_of = long.join(named, F.col("class") == F.col("node"), "left").select("shingle", "class", "size", F.coalesce("component", "class").alias("component"))
+    tried = product.where("b is not null").select("a", "b")
+    rows_of = written(product.where("b is null").select("shingle", F.col("a").alias("class"), F.col("a").alias("component")), "ngram-long")
+    links = None
+    for number in range(STAR_ROUNDS):
+        # the first stars are around the least documents, which many columns share; later ones around others
+        order = F.col("class") if number == 0 else F.xxhash64("class", "shingle", F.lit(number))
+        centres = rows_of.groupBy("shingle").agg(F.min_by(F.struct("class", "component"), order).alias("centre"))
+        star = rows_of.join(centres, "shingle").where("component <> centre.component").select(F.col("centre.class").alias("a"), F.col("class").alias("b"))
+        new = _possible(tried.union(star) if number == 0 else star, classes)
+        new = written(new if number == 0 else new.join(tried, ["a", "b"], "left_anti"), f"ngram-try-{number}")
+        found = _verified(new, docs, classes, f"ngram-star-{number}")
+        tried = new if number == 0 else tried.union(new)
+        named = written(components(found if links is None else links.union(found), f"ngram-{number}"), f"ngram-named-{number}")
+        links = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        rows_of = rows_of.drop("component").join(named, F.col("class") == F.col("node"), "left").select("shingle", "class", F.coalesce("component", "class").alias("component"))
         divided = rows_of.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-        open_rows = written(rows_of.join(divided, "shingle", "left_semi"), f"ngram-open-{number}")
-        if number == STAR_ROUNDS or open_rows.isEmpty():
+        rows_of = written(rows_of.join(divided, "shingle", "left_semi"), f"ngram-open-{number}")
+        if rows_of.isEmpty():
             break
-        # the first star is around the least document, which many columns share; later ones around others
-        order = F.col("class") if number == 0 else F.xxhash64("class", "shingle" if number > 1 else F.lit(number))
-        centres = open_rows.groupBy("shingle").agg(F.min_by(F.struct("class", "component"), order).alias("centre"))
-        star = open_rows.join(centres, "shingle").where("component <> centre.component").select(F.col("centre.class").alias("a"), F.col("class").alias("b"))
-        star = _possible(star, classes)
-        star = star if tried is None else star.join(tried, ["a", "b"], "left_anti")
-        star = written(star, f"ngram-star-{number}")
-        links = written(links.union(_verified(star, docs, classes, f"ngram-star-{number}")), f"ngram-links-{number}")
-        tried = star if tried is None else written(tried.union(star), f"ngram-tried-{number}")
-    if not open_rows.isEmpty():
-        own = open_rows.groupBy("class").agg(F.collect_list("shingle").alias("columns"))
-        full = written(open_rows.join(own, "class").join(classes.select("class", "signature"), "class"), "ngram-rest-rows")
+    else:
+        own = rows_of.groupBy("class").agg(F.collect_list("shingle").alias("columns"))
+        full = written(rows_of.join(own, "class").join(classes.select("class", "signature", F.col("n_shingles").alias("size")), "class"), "ngram-rest-rows")
         a, b = (full.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("class", "size", "component", "signature", "columns"))) for s in ("a", "b"))
         first_shared = F.array_min(F.array_intersect("a_columns", "b_columns"))
         test = (F.col("a_component") < F.col("b_component")) & _may_link("a_signature", "b_signature", "a_size", "b_size") & (a["shingle"] == first_shared)
         rest = a.join(b, (a["shingle"] == b["shingle"]) & test).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
-        rest = rest if tried is None else rest.join(tried, ["a", "b"], "left_anti")
-        links = links.union(_verified(rest, docs, classes, "ngram-rest"))
-        named = components(links, "ngram-all")
+        more = _verified(rest.join(tried, ["a", "b"], "left_anti"), docs, classes, "ngram-rest")
+        named = components(links.union(more), "ngram-all")
 
     together = classes.join(named, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     together = written(together, "ngram-named")
