@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from chatloom.operators import policy, sync
+from chatloom.operators import policy, state, sync
 from chatloom.plans.q_text import jobs_dir
 from chatloom.plans.sql_tables import with_tables
 from chatloom.sources import tables
 from chatloom.streaming import jobs
+from chatloom.streaming.edits import classified_stream
 
 _TS = "yyyy-MM-dd HH:mm:ss"
 _NOW = "2024-03-01 00:00:00"
@@ -29,8 +30,8 @@ def delete_status(spark, sf_dir):
 
 
 def message_state(spark, sf_dir):
-    state = sync.message_state(sync.classify_updates(tables.updates(spark, sf_dir)))
-    return state.select("message_id", F.col("current_version").cast("long").alias("current_version"), "is_edited", "is_deleted", "last_update_id", "n_updates")
+    found = sync.message_state(sync.classify_updates(tables.updates(spark, sf_dir)))
+    return found.select("message_id", F.col("current_version").cast("long").alias("current_version"), "is_edited", "is_deleted", "last_update_id", "n_updates")
 
 
 def tombstones(spark, sf_dir):
@@ -116,6 +117,46 @@ def stream_edit_state(spark, sf_dir):
     return jobs.state_from_log(spark, f"{base}/log").select("message_id", "arrival", "kind", "update_id", "status", F.col("version").cast("long").alias("version"))
 
 
+def stream_stateful_edits(spark, sf_dir):
+    """``edit_classify`` by keyed state, over updates that come in order of arrival, a file a batch."""
+    base = f"{jobs_dir(spark)}/{uuid.uuid4().hex}"
+    u = tables.updates(spark, sf_dir)
+    cuts = [0, *u.approxQuantile("arrival", [0.3, 0.6], 0.01), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        some = u.where(F.col("arrival") >= low) if high is None else u.where((F.col("arrival") >= low) & (F.col("arrival") < high))
+        some.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.run_to_end(classified_stream(stream), jobs.append_once(f"{base}/out"), f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("message_id", "arrival", "kind", "update_id", "status", "version")
+
+
+def operation_log(spark, sf_dir):
+    m, n = tables.messages(spark, sf_dir), F.col("conv_id") + F.col("turn")
+    key = F.col("message_id").alias("idempotency_key")
+    log = m.select(key, F.lit("processing").alias("status"), F.lit(1).alias("attempt_count"), F.lit(None).cast("string").alias("completed_at"), F.lit(None).cast("string").alias("error"))
+    results = m.where(n % 3 != 0).select(key, (n % 3 == 1).alias("ok"), F.date_format("ts", _TS).alias("at"), F.when(n % 3 == 2, "write failed").alias("error"))
+    return state.operations_after(log, results)
+
+
+def chunk_activity(spark, sf_dir):
+    c = tables.chunks(spark, sf_dir).select("vector_id", (F.col("doc_id") % 5 != 0).alias("is_active"), "doc_id")
+    table, changed = state.deactivated(c, c.where("doc_id % 3 = 0"))
+    return table.groupBy("is_active").agg(F.count(F.lit(1)).alias("n")).join(changed.agg(F.count(F.lit(1)).alias("changed")), F.lit(True))
+
+
+def owned_chats(spark, sf_dir):
+    n = F.substring("chat_id", 6, 20).cast("long")
+    chats = tables.chats(spark, sf_dir)
+    asks = chats.select(F.when(n % 4 == 3, "owner_9").otherwise(F.col("owner_id")).alias("owner_id"), "chat_id", F.when(n % 2 == 0, F.col("account_id")).alias("account_id"))
+    return state.owned_chats(chats, asks).select("owner_id", "chat_id", "title")
+
+
+def effective_scope(spark, sf_dir):
+    n = F.substring("chat_id", 6, 20).cast("long")
+    asks = tables.chats(spark, sf_dir).select("chat_id", F.when(n % 3 == 0, "owner_9").when(n % 3 == 1, F.col("owner_id")).alias("owner_id"), F.col("owner_id").alias("auth"))
+    return state.effective_scope(asks, F.col("auth")).select("chat_id", "owner_id", "overridden")
+
+
 def stream_once(spark, sf_dir):
     """Redelivered updates of a stream, counted once."""
     base = f"{jobs_dir(spark)}/{uuid.uuid4().hex}"
@@ -128,7 +169,7 @@ def stream_once(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (
     edit_classify, status_counts, delete_status, message_state, tombstones, replay_protection, replacement_chunks, vector_set_diff, apply_edits, embedding_reuse, reconcile_findings,
-    reconcile_report, checkpoints, account_owner, stream_edit_state, stream_once)}
+    reconcile_report, checkpoints, account_owner, stream_edit_state, stream_once, stream_stateful_edits, operation_log, chunk_activity, owned_chats, effective_scope)}
 
 _CLASSIFIED = """s1 AS (SELECT *, kind || ':' || message_id || ':' || update_id AS key, coalesce(bool_or(kind = 'delete') OVER earlier, false) AS tomb, coalesce(bool_or(kind IN ('new', 'edit')) OVER earlier, false) AS known
   FROM updates WINDOW earlier AS (PARTITION BY message_id ORDER BY arrival, update_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -174,5 +215,11 @@ ORACLE_SQL = {
     "reconcile_report": with_tables("messages", more=_WORLD) + "SELECT rule, repair, count(*) AS n FROM findings GROUP BY 1, 2",
     "checkpoints": with_tables("updates") + "SELECT account_id, arg_max(message_id, printf('%012d', arrival) || update_id) AS last_message_id, strftime(max(edit_ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM updates GROUP BY account_id",
     "account_owner": with_tables("updates", "accounts") + "SELECT u.account_id, coalesce(a.owner_id, 'default') AS owner_id, count(*) AS n FROM updates u LEFT JOIN accounts a ON u.account_id = a.account_id AND a.account_id <> 'acc_3' GROUP BY 1, 2",
+    "stream_stateful_edits": _CLASSIFY,
+    "operation_log": with_tables("messages") + """SELECT message_id AS idempotency_key, CASE n % 3 WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'processing' END AS status, CAST(CASE WHEN n % 3 = 2 THEN 2 ELSE 1 END AS INT) AS attempt_count,
+      CASE WHEN n % 3 = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS completed_at, CASE WHEN n % 3 = 2 THEN 'write failed' END AS error FROM (SELECT *, conv_id + turn AS n FROM messages)""",
+    "chunk_activity": with_tables("chunks") + "SELECT doc_id % 5 <> 0 AND doc_id % 3 <> 0 AS is_active, count(*) AS n, (SELECT count(*) FROM chunks WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0) AS changed FROM chunks GROUP BY 1",
+    "owned_chats": with_tables("chats") + "SELECT owner_id, chat_id, title FROM chats WHERE NOT is_deleted AND CAST(substr(chat_id, 6) AS BIGINT) % 4 <> 3",
+    "effective_scope": with_tables("chats") + "SELECT chat_id, owner_id, CAST(substr(chat_id, 6) AS BIGINT) % 3 = 0 AS overridden FROM chats",
     "stream_once": with_tables("updates") + "SELECT kind, count(DISTINCT kind || message_id || update_id) AS n FROM updates GROUP BY kind",
 }
