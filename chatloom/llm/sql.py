@@ -45,3 +45,56 @@ SELECT doc_id, size, source_size, target, CAST(sum((least(start + size, (block +
 FROM parts LEFT JOIN times USING (source_no, block)
 GROUP BY row_no, doc_id, size, source_size, target, source
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+op2_ngram_jaccard_join = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT row_no, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT row_no, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT row_no, count(*) AS n FROM shingles GROUP BY row_no),
+met AS (SELECT a.row_no AS a, b.row_no AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.row_no < b.row_no GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.row_no = a JOIN sizes y ON y.row_no = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT row_no, row_no AS other FROM words UNION SELECT r.row_no, l.b FROM reached r JOIN both_ways l ON r.other = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM words d LEFT JOIN sizes s USING (row_no) JOIN reached r USING (row_no) JOIN words o ON o.row_no = r.other GROUP BY d.row_no, d.doc_id, n
+"""
+
+
+def _quality_sql() -> str:
+    """The figures, then as many rounds of expectation-maximisation as the operator makes, then the posterior."""
+    from chatloom.llm import quality as q
+
+    rules, k = q.RULES, range(1, len(q.RULES) + 1)
+    votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in rules)
+    odds = "ln(good / (1 - good)) + " + " + ".join(f"CASE v[{i}] WHEN 1 THEN ln(og[{i}] / (1 - ob[{i}])) WHEN -1 THEN ln((1 - og[{i}]) / ob[{i}]) ELSE 0 END" for i in k)
+    (start_good, start_bad), w = q.START_ACCURACY, q.START_WEIGHT
+    rate = lambda p, right, start: [f"(sum(CASE WHEN v[{i}] = {right} THEN n * {p} ELSE 0 END) + {start * w}) / (sum(CASE WHEN v[{i}] <> 0 THEN n * {p} ELSE 0 END) + {w})" for i in k]
+    on_good = [f"least({q.GOOD_BOUNDS[1]}, greatest({q.GOOD_BOUNDS[0]}, {x}))" for x in rate("p", 1, start_good)]
+    on_bad = [f"least({q.BAD_BOUNDS[1]}, greatest({q.BAD_BOUNDS[0]}, {q.LEAST_SUM} - og[{i}], bad[{i}]))" for i in k]
+    doubles = lambda x: f"[{', '.join(f'CAST({x} AS DOUBLE)' for _ in k)}]"
+    return rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+runs AS (SELECT row_no, i, array_to_string(w[i : i + 4], ' ') AS run FROM (SELECT row_no, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM words)),
+twice AS (SELECT row_no, i FROM runs QUALIFY count(*) OVER (PARTITION BY row_no, run) > 1),
+covered AS (SELECT row_no, CAST(sum(c) AS BIGINT) AS n_repeat_words FROM (SELECT row_no, least(5, coalesce(lead(i) OVER (PARTITION BY row_no ORDER BY i) - i, 5)) AS c FROM twice) GROUP BY row_no),
+figures AS (
+  SELECT doc_id, row_no, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, len(list_distinct(w)) AS n_distinct_words, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters FROM words LEFT JOIN covered USING (row_no)
+), voted AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{votes}] AS v FROM figures),
+patterns AS (SELECT v, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY v),
+em AS (
+  SELECT 0 AS round, CAST({q.START_GOOD} AS DOUBLE) AS good, {doubles(start_good)} AS og, {doubles(start_bad)} AS ob
+  UNION ALL
+  SELECT round + 1, least(0.99, greatest(0.5, share)), og, [{', '.join(on_bad)}] FROM (
+    SELECT round, (sum(n * p) + {q.START_GOOD * w}) / (sum(n) + {w}) AS share, [{', '.join(on_good)}] AS og, [{', '.join(rate('(1 - p)', -1, start_bad))}] AS bad
+    FROM (SELECT round, v, n, 1 / (1 + exp(-({odds}))) AS p FROM em, patterns WHERE round < {q.ROUNDS}) GROUP BY round)
+), judged AS (SELECT voted.*, 1 / (1 + exp(-({odds}))) AS quality FROM voted, em WHERE round = {q.ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= {q.KEEP_FROM} AS kept, round(quality, 6) AS quality FROM judged
+"""
+
+
+op1_quality_rules = _quality_sql()
