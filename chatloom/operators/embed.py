@@ -26,10 +26,11 @@ def split_by_cache(rows: DataFrame, cache: DataFrame, text: str = "text") -> Dat
 
 
 def cache_stats(split: DataFrame, cache: DataFrame) -> DataFrame:
-    n = cache.agg(F.count(F.lit(1)).alias("size"))
-    stats = split.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    """``size, hits, misses, hit_rate`` in one aggregate over look-ups and cache entries together."""
+    both = split.select(F.col("hit").cast("int").alias("hit"), (~F.col("hit")).cast("int").alias("miss"), F.lit(0).alias("entry")).union(cache.select(F.lit(0), F.lit(0), F.lit(1)))
+    sums = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("entry", "size"), ("hit", "hits"), ("miss", "misses"))))
     rate = F.when(F.col("hits") + F.col("misses") > 0, F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 6)).otherwise(0.0)
-    return n.crossJoin(stats).withColumn("hit_rate", rate)  # one row each
+    return sums.withColumn("hit_rate", rate)
 
 
 def evict(cache: DataFrame, most: int, inserted: str = "inserted_at", key: str = "key") -> DataFrame:
@@ -38,13 +39,13 @@ def evict(cache: DataFrame, most: int, inserted: str = "inserted_at", key: str =
 
 
 def hashing_embedder(dim: int) -> Callable[[list[str]], np.ndarray]:
-    """A stand-in for a model: words hashed to signed dimensions, normalised. Needs no weights."""
+    """A stand-in for a model: words counted in hashed dimensions, normalised. Needs no weights."""
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in t.lower().split():
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
+                out[i, h % dim] += 1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return embed

@@ -255,7 +255,7 @@ def lsh_buckets(rows: DataFrame, vector: str, dim: int, tables: int, bits: int,
     return rows.mapInPandas(task, schema)
 
 
-def knn_lsh(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, tables: int = 24, bits: int = 5, seed: int = 7) -> DataFrame:
+def knn_lsh(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, tables: int = 48, bits: int = 5, seed: int = 7) -> DataFrame:
     """Approximate cosine top-k: candidates share a bucket of ``lsh_buckets`` and the owner with the query, then exact ranking."""
     c = lsh_buckets(chunks.where(not_deleted()).select("vector_id", "owner_id", "embedding"), "embedding", dim, tables, bits, seed)
     c = c.select("vector_id", "owner_id", "embedding", F.explode("buckets").alias("bucket"))

@@ -81,12 +81,13 @@ def recent_searches(log: DataFrame, most: int = RECENT) -> DataFrame:
 def corpus_profile(messages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Figures of a corpus in one row: messages, people, span, emoji, Tamil and deleted texts, system messages, chunks."""
     emoji, tamil, deleted = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]", r"[\x{0B80}-\x{0BFF}]", r"(?i)message was deleted|deleted this message"
-    m = messages.agg(
-        F.count(F.lit(1)).alias("messages"), F.countDistinct("sender_id").alias("participants"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_message"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_message"),
+    m = messages.select("sender_id", "ts", "text", F.lit(None).cast("double").alias("tokens"), F.lit(0).alias("chunk"))
+    rows = m.union(chunks.select(F.lit(None).cast("string"), F.lit(None).cast("timestamp"), F.lit(None).cast("string"), F.col("token_count").cast("double"), F.lit(1)))
+    return rows.agg(
+        F.count_if(F.col("chunk") == 0).alias("messages"), F.countDistinct("sender_id").alias("participants"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_message"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_message"),
         F.count_if(F.col("text").rlike(emoji)).alias("emoji_messages"), F.count_if(F.col("text").rlike(tamil)).alias("tamil_messages"), F.count_if(F.col("text").rlike(deleted)).alias("deleted_references"), F.count_if(F.col("sender_id") == "system").alias("system_messages"),
+        F.sum("chunk").alias("chunks"), F.round(F.avg("tokens"), 6).alias("average_tokens"),
     )
-    c = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("token_count"), 6).alias("average_tokens"))
-    return m.crossJoin(c)  # one row each
 
 
 def retrieval_report(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def operation_log(spark, sf_dir):
 def chunk_activity(spark, sf_dir):
     c = tables.chunks(spark, sf_dir).select("vector_id", (F.col("doc_id") % 5 != 0).alias("is_active"), "doc_id")
     table, changed = state.deactivated(c, c.where("doc_id % 3 = 0"))
-    return table.groupBy("is_active").agg(F.count(F.lit(1)).alias("n")).join(changed.agg(F.count(F.lit(1)).alias("changed")), F.lit(True))
+    return table.select(F.when(F.col("is_active"), "active").otherwise("inactive").alias("state")).union(changed.select(F.lit("changed"))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def owned_chats(spark, sf_dir):
@@ -218,7 +218,8 @@ ORACLE_SQL = {
     "stream_stateful_edits": _CLASSIFY,
     "operation_log": with_tables("messages") + """SELECT message_id AS idempotency_key, CASE n % 3 WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'processing' END AS status, CAST(CASE WHEN n % 3 = 2 THEN 2 ELSE 1 END AS INT) AS attempt_count,
       CASE WHEN n % 3 = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS completed_at, CASE WHEN n % 3 = 2 THEN 'write failed' END AS error FROM (SELECT *, conv_id + turn AS n FROM messages)""",
-    "chunk_activity": with_tables("chunks") + "SELECT doc_id % 5 <> 0 AND doc_id % 3 <> 0 AS is_active, count(*) AS n, (SELECT count(*) FROM chunks WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0) AS changed FROM chunks GROUP BY 1",
+    "chunk_activity": with_tables("chunks") + """SELECT CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN 'active' ELSE 'inactive' END AS state, count(*) AS n FROM chunks GROUP BY 1
+      UNION ALL SELECT 'changed', count(*) FROM chunks WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0""",
     "owned_chats": with_tables("chats") + "SELECT owner_id, chat_id, title FROM chats WHERE NOT is_deleted AND CAST(substr(chat_id, 6) AS BIGINT) % 4 <> 3",
     "effective_scope": with_tables("chats") + "SELECT chat_id, owner_id, CAST(substr(chat_id, 6) AS BIGINT) % 3 = 0 AS overridden FROM chats",
     "stream_once": with_tables("updates") + "SELECT kind, count(DISTINCT kind || message_id || update_id) AS n FROM updates GROUP BY kind",

@@ -155,5 +155,5 @@ ORACLE_SQL = {
     "cache_stats": f"WITH {_CACHED}, s AS (SELECT sha256(text) IN (SELECT key FROM cached) AS hit FROM documents) SELECT (SELECT count(*) FROM cached) AS size, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM s",
     "cache_evict": f"WITH {_CACHED} SELECT * FROM cached ORDER BY inserted_at DESC, key LIMIT 100",
     "vector_quality": "SELECT CASE vec_id % 7 WHEN 1 THEN 'empty' WHEN 2 THEN 'zero' WHEN 3 THEN 'wrong dimension' ELSE 'ok' END AS problem, vec_id % 7 NOT IN (1, 2, 3, 4) AS unit, count(*) AS n FROM embeddings GROUP BY 1, 2",
-    "embed_corpus": "SELECT doc_id, 64 AS dim, CASE WHEN trim(coalesce(text, '')) = '' THEN 0.0 ELSE 1.0 END AS squared_norm FROM documents",
+    "embed_corpus": "SELECT doc_id, 64 AS dim, CAST(CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE 1 END AS DOUBLE) AS squared_norm FROM documents",
 }
