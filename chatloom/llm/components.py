@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.scratch import written
+from chatloom.llm.scratch import release, written
 
 
 def _stars(links: DataFrame, label: str) -> DataFrame:
@@ -18,11 +18,14 @@ def _stars(links: DataFrame, label: str) -> DataFrame:
     least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")), f"{label}-least")
     large = both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = written(large.where("a <> b").distinct(), f"{label}-large")
+    release(least)
     # now b < a in every row
     least = written(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node"), f"{label}-least")
     moved = large.join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     small = moved.where("a <> b").union(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
-    return written(small.distinct(), f"{label}-small")
+    out = written(small.distinct(), f"{label}-small")
+    release(least, large, links)
+    return out
 
 
 def _is_settled(links: DataFrame) -> bool:

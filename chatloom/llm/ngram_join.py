@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm import arrays
 from chatloom.llm.components import components
-from chatloom.llm.scratch import written
+from chatloom.llm.scratch import release, written
 
 WIDTH = 5
 #: Similarity of at least NUM / DEN.
@@ -309,7 +309,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, label: str)
     found = written(docs.mapInArrow(_sets_of(filter_of), "class bigint, members binary"), f"{label}-sets")
     for side in ("a", "b"):
         pairs = pairs.join(found.select(F.col("class").alias(side), F.col("members").alias(f"{side}_set")), side)
-    return written(pairs.mapInArrow(_linked, "a bigint, b bigint").distinct(), f"{label}-links")
+    links = written(pairs.mapInArrow(_linked, "a bigint, b bigint").distinct(), f"{label}-links")
+    release(found)
+    return links
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

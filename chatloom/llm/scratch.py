@@ -29,3 +29,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that nothing will read again."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.toString().rstrip("/").rpartition("/")[0].endswith(scratch_dir(df.sparkSession).rpartition("/")[2]):
+                folder.getFileSystem(conf).delete(folder, True)
