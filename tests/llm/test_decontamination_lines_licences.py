@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from chatloom.llm import decontamination, licenses, line_dedup
 
 
@@ -75,6 +77,38 @@ def test_lines(spark, awkward, nothing):
     assert line_dedup.line_report(awkward).count() == awkward.select("doc_id").distinct().count()
 
 
+def test_lines_of_ordinary_length_against_brute_force(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    words, rows = [word() for _ in range(2000)], []
+    for n in (6, 10, 20, 27, 40, 60):
+        for kind in ("word", "words", "letters"):
+            for _ in range(15):
+                line = [rng.choice(words) for _ in range(n)]
+                near = list(line)
+                for j in rng.sample(range(n), 1 if kind == "word" else n // 5):
+                    near[j] = rng.choice(words)
+                if kind == "letters":
+                    spots = list(" ".join(line))
+                    for j in rng.sample(range(len(spots)), len(spots) // 20):
+                        spots[j] = spots[j] if spots[j] == " " else rng.choice(letters)
+                    near = "".join(spots).split()
+                rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lines = line_dedup._lines(docs, "text", "doc_id").select("h", "norm").distinct()
+    a, b = (lines.select(*(F.col(c).alias(f"{s}_{c}") for c in ("h", "norm"))) for s in "ab")
+    want = [tuple(r) for r in a.join(b, F.col("a_h") < F.col("b_h")).where(line_dedup._similar("a_norm", "b_norm")).select("a_h", "b_h").collect()]
+    group = {r.h: r.group for r in line_dedup.line_groups(docs).collect()}
+    found = sum(x in group and group.get(x) == group.get(y) for x, y in want)
+    assert len(want) > 200 and found >= 0.97 * len(want)
+
+
+def test_short_lines_repeat_exactly_only(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved\nword"), (2, "all rights, reserved.\nword"), (3, "all rights reservec")], "doc_id bigint, text string")
+    assert [tuple(r) for r in line_dedup.repeated_lines(docs).collect()] == [(2, 0, 1, 0)]
+
+
 def test_licences(spark, awkward, nothing):
     rows = [
         (1, "a/LICENSE", "Licensed under CC BY-NC 4.0."), (2, "a/x.py", "some text\nReleased under the MIT License.\nmore text"), (3, "a/b/c/y.py", "plain words only"), (4, "a/b/LICENSE.txt", "nothing of that kind"),
