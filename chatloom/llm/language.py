@@ -3,8 +3,8 @@
 Training counts the hashed letter trigrams of every labelled text by language, one table of fixed size a language. A
 text is then a bag of words, each drawn from one of the languages: the trigrams of a word give its likelihood in each,
 and expectation-maximisation finds the languages' shares of the words. The set of languages is the one with the
-best likelihood after a penalty for each language in it, so that a few odd words don't add one; sets are tried in the
-order of the shares. The answer is the language with the largest share in that set.
+best likelihood after a penalty for each language in it, so that a few odd words don't add one; sets of up to
+all the learned languages are tried in the order of the shares. The answer is the language with the largest share in that set.
 
 Trigrams are over bytes of the words in lower case (A-Z only), with one blank on either side.
 """
@@ -28,7 +28,6 @@ ROUNDS = 12
 PENALTY = 1.5
 #: Trigrams of a word overlap, so their likelihoods count in part.
 TEMPER = 0.5
-MOST_LANGUAGES = 4
 PARTS = 16
 UNDETERMINED = "und"
 
@@ -115,15 +114,15 @@ class Model:
             shares = np.add.reduceat(part, first, axis=0) / n_words[:, None]
         order = np.argsort(-shares, axis=1, kind="stable")
         chosen, worth = np.ones(len(rows), np.int64), np.full(len(rows), -np.inf)
-        for m in range(1, min(k, MOST_LANGUAGES) + 1):
-            own = np.zeros_like(shares)
-            np.put_along_axis(own, order[:, :m], np.take_along_axis(shares, order[:, :m], 1), 1)
-            own /= own.sum(axis=1, keepdims=True)
-            total = np.add.reduceat(np.log((like * own[of]).sum(axis=1)), first) - PENALTY * m * np.log(n_words + 1)
+        ranked, mass, within = np.take_along_axis(shares, order, 1), np.zeros(len(like)), np.zeros(len(rows))
+        for m in range(1, k + 1):
+            mass += like[np.arange(len(like)), order[of, m - 1]] * ranked[of, m - 1]
+            within += ranked[:, m - 1]
+            total = np.add.reduceat(np.log(mass / within[of]), first) - PENALTY * m * np.log(n_words + 1)
             better = total > worth
             chosen[better], worth[better] = m, total[better]
         kept = np.arange(k) < chosen[:, None]
-        ranked = np.where(kept, np.take_along_axis(shares, order, 1), 0)
+        ranked = np.where(kept, ranked, 0)
         best[rows], size[rows] = order[:, 0], chosen
         score[rows] = np.clip(ranked[:, 0] / ranked.sum(axis=1), 0, 1)
         return best, score, size

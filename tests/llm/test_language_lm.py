@@ -32,6 +32,15 @@ def test_language_of_mixtures_and_odd_texts(spark, awkward, nothing):
     assert {r.lang_pred for r in language.identified(awkward, language.trained(nothing)).collect()} == {"und"}
 
 
+def test_a_text_in_more_than_four_languages(spark):
+    own = {"a": "abca baca cab", "b": "defd feed def", "c": "ghig hiig ghi", "d": "jklj klkj jkl", "e": "mnom nomo mno", "f": "pqrp qrqp pqr"}
+    model = language.trained(spark.createDataFrame([(k, v + (" " + v) * 50) for k, v in own.items()], "lang string, text string"))
+    rows = [(n, " ".join((v + " ") * 30 for v in list(own.values())[:n])) for n in range(1, 7)]
+    got = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert {n: r.n_languages for n, r in got.items()} == {n: n for n in range(1, 7)}
+    assert all(abs(r.score - 1 / n) < 0.01 for n, r in got.items())
+
+
 def tokens(text):
     return (text or "").encode().lower().split() + [None]
 
