@@ -96,14 +96,64 @@ def test_lines_of_ordinary_length_against_brute_force(spark):
                     near = "".join(spots).split()
                 rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    lines = line_dedup._lines(docs, "text", "doc_id").select("h", "norm").distinct()
-    a, b = (lines.select(*(F.col(c).alias(f"{s}_{c}") for c in ("h", "norm"))) for s in "ab")
+    lines = docs.select(line_dedup.normal_form(F.col("text")).alias("norm")).distinct().select(F.xxhash64(F.split("norm", " ")).alias("h"), "norm")
+    a, b = (line_dedup._compared(lines, side).withColumnRenamed(side, f"{side}_h").withColumnRenamed(f"{side}_text", f"{side}_norm").withColumnRenamed(f"{side}_text_signs", f"{side}_norm_signs").withColumnRenamed(f"{side}_text_longest", f"{side}_norm_longest") for side in "ab")
     want = [tuple(r) for r in a.join(b, F.col("a_h") < F.col("b_h")).where(line_dedup._similar("a_norm", "b_norm")).select("a_h", "b_h").collect()]
     group = {r.h: r.group for r in line_dedup.line_groups(docs).collect()}
     found = sum(x in group and group.get(x) == group.get(y) for x, y in want)
     assert len(want) > 200 and found >= 0.97 * len(want)
 
 
+def test_edit_similarity_against_plain_python(spark):
+    rng = random.Random(8)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rows = []
+    for n in (5, 9, 20, 60, 400):
+        for k in range(12):
+            line = sentence(rng, n, 300)
+            near = list(line)
+            for j in rng.sample(range(n), max(1, n * k // 20)):
+                near[j : j + 1] = rng.choice([[], [near[j], "added"], ["other"], [near[j][:-1] + "x"]])
+            rows.append((len(rows), " ".join(line), " ".join(near)))
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    met = df
+    for side in "ab":
+        met = met.join(line_dedup._compared(df.select(F.col("k").alias("h"), F.col(side).alias("norm")), side).withColumnRenamed(side, f"{side}_k"), F.col("k") == F.col(f"{side}_k"))
+    got = {r.k: r.same for r in met.select("k", line_dedup._similar("a_text", "b_text").alias("same")).collect()}
+    for k, a, b in rows:
+        long = max(len(a), len(b)) > line_dedup.LONG_LINE
+        x, y = (a.split(), b.split()) if long else (a, b)
+        mostly = long or distance(x, y) * 10 <= 2 * max(len(x), len(y)) and distance(a.split(), b.split()) <= line_dedup.MOST_WORDS_EDITED * max(len(a.split()), len(b.split()))
+        assert got[k] == (mostly and distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b))), (a, b)
+
+
+def test_lines_of_many_thousand_words(spark):
+    rng = random.Random(9)
+    long = sentence(rng, 20000)
+    near = list(long)
+    for j in rng.sample(range(20000), 300):
+        near[j] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(sentence(rng, 20000)))]
+    got = [tuple(r) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert got == [(2, 0, 1, 0)]
+
+
+def test_clashing_names(spark):
+    names = ["k", "places", "key", "h", "own", "line", "norm"]
+    rows = [(1, "the same line of words", *names), (2, "other\nthe same line of words", *names)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    out = line_dedup.without_repeated_lines(docs)
+    assert out.columns == docs.columns and {(r.doc_id, r.text, r.k) for r in out.collect()} == {(1, "the same line of words", "k"), (2, "other", "k")}
+
+
 def test_short_lines_repeat_exactly_only(spark):
     docs = spark.createDataFrame([(1, "All rights reserved\nword"), (2, "all rights, reserved.\nword"), (3, "all rights reservec")], "doc_id bigint, text string")
     assert [tuple(r) for r in line_dedup.repeated_lines(docs).collect()] == [(2, 0, 1, 0)]
