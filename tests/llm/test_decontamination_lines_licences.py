@@ -120,7 +120,7 @@ def test_edit_similarity_against_plain_python(spark):
         for k in range(12):
             line = sentence(rng, n, 300)
             near = list(line)
-            for j in rng.sample(range(n), max(1, n * k // 20)):
+            for j in sorted(rng.sample(range(n), max(1, n * k // 20)), reverse=True):
                 near[j : j + 1] = rng.choice([[], [near[j], "added"], ["other"], [near[j][:-1] + "x"]])
             rows.append((len(rows), " ".join(line), " ".join(near)))
     df = spark.createDataFrame(rows, "k int, a string, b string")
