@@ -13,13 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    size = sharding.stored_size(F.col("text"))
-    digest = [F.col("doc_id"), size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")]
-    # the buckets are sized by the texts that the operator moves, though only their digests are returned here
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    out = sharding.dealt(docs, digest, total)
-    return out.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """The whole documents go through both passes; what is returned of them is computed afterwards."""
+    out = sharding.shard_documents(_table(spark, sf_dir, "documents"))
+    size, crc = sharding.stored_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
+    return out.select("doc_id", size, crc, F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ writes them to the shared folder. Pass two shuffles each bucket (Spark's ``shuff
 and numbers the rows through all buckets: that number, dealt round the shards like cards, gives every row its
 shard and its place there. The law that holds is ``rows``: shards differ by at most one row.
 
-A hot key, source or group of copies does not matter: the scattering hash also takes the row's position in the
-input, so even rows that agree in every column spread over all buckets. The buckets depend on the input files and
-the seed; the order inside a bucket also on how Spark deals the buckets to tasks.
+A hot key, source or group of copies does not matter: the scattering hash takes all columns of a row, so rows that differ in
+any of them spread over all buckets. Rows alike in every column share a bucket and are interchangeable. Shards and slots hang on
+the rows, the seed and the number of buckets only, not on how the input is split or on which task does what, so reruns agree.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ SEED = 20240229
 #: Rows of a bucket hold about this many bytes.
 BUCKET_BYTES = 16 << 20
 LAW = "rows"
+#: Tasks of the second pass at most; each takes several buckets beyond that.
+MOST_TASKS = 100000
 
 
 def stored_size(text) -> F.Column:
@@ -29,19 +31,25 @@ def stored_size(text) -> F.Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def scattered(df: DataFrame, total_bytes: int, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """``df`` with ``bucket``, a seeded hash of the row's place in the input, written to the shared folder."""
-    buckets = max(1, -(-total_bytes // bucket_bytes))
-    place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    return written(df.withColumn("bucket", F.pmod(place, F.lit(buckets)).cast("long")), "scattered")
+def _buckets(total_bytes: int, bucket_bytes: int) -> int:
+    return max(1, -(-total_bytes // bucket_bytes))
 
 
-def shuffled(bucketed: DataFrame, seed: int = SEED) -> DataFrame:
+def scattered(df: DataFrame, buckets: int, seed: int = SEED) -> DataFrame:
+    """``df`` with ``bucket``, a seeded hash of the whole row, written to the shared folder."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return written(df.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), *hashed), F.lit(buckets)).cast("long")), "scattered")
+
+
+def shuffled(bucketed: DataFrame, buckets: int, seed: int = SEED) -> DataFrame:
     """``bucketed(row STRUCT, bucket)`` as ``(place, row)``: all rows in random order, numbered from 0 without gaps.
 
-    The numbers of a bucket start where those of the buckets before it end; there are as many sums as buckets.
+    The numbers of a bucket start where those of the buckets before it end; there are as many sums as buckets. A task takes whole
+    buckets, in their order, and its random numbers hang on its own number: so their count is set here and not left to be merged.
     """
-    rows = bucketed.groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("row")), seed).alias("rows"))
+    tasks = min(buckets, MOST_TASKS)
+    rows = bucketed.repartition(tasks, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list("row")).alias("rows")).sortWithinPartitions("bucket")
+    rows = rows.select("bucket", F.shuffle("rows", seed).alias("rows"))
     counts = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -54,8 +62,9 @@ def shuffled(bucketed: DataFrame, seed: int = SEED) -> DataFrame:
 
 def dealt(df: DataFrame, columns: list, total_bytes: int, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """``columns`` of every row of ``df``, with ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless from 0 in each shard)."""
-    rows = scattered(df.select(F.struct(*columns).alias("row")), total_bytes, bucket_bytes, seed)
-    placed = shuffled(rows, seed)
+    buckets = _buckets(total_bytes, bucket_bytes)
+    rows = scattered(df.select(F.struct(*columns).alias("row")), buckets, seed)
+    placed = shuffled(rows, buckets, seed)
     return placed.select("row.*", (F.col("place") % shards).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
 
 
