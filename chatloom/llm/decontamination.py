@@ -5,7 +5,8 @@ don't matter. Window widths form a geometric ladder. Each benchmark item is fing
 into it and at the widest that fits into half of it, in a few places; each text at the same widths, at every word. With
 64 bits in four blocks, fingerprints within a radius of 7 agree up to one bit in at least one block, so the block tables
 hold every item block with each of its bits flipped: no fingerprint within the radius is missed. A hit says where the whole
-item would lie in the text; the shingles of that stretch and of the item then decide, weighted by how few items have them.
+item would lie in the text; the shingles of that stretch and of the item then decide. A shingle of the item weighs more the fewer
+items of the whole benchmark have it; one that the item lacks weighs as much as one that no item has.
 
 A window's fingerprint is a majority of its words' bits. The bits are summed eight to a 64-bit number, one a byte, by
 running sums over the batch; differences of those give all windows of one width at once.
@@ -14,6 +15,7 @@ running sums over the batch; differences of those give all windows of one width
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm import arrays
+from chatloom.llm.scratch import written
 
 WIDTHS = (1, 2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135, 200)
 RADIUS = 7
@@ -109,18 +112,17 @@ class Width:
 class Index:
     """A slice of the benchmark, ready for the tasks."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], n_items: int, having: dict[int, int] | None = None):
+        """``n_items`` and ``having`` are of the whole benchmark; without ``having`` this slice is all of it."""
         self.ids = ids
         hashes, bounds = words(*arrays.text_bytes(pa.array(texts, pa.string())))
         self.lengths = np.diff(bounds)
         shingles, ends = arrays.shingles(hashes, bounds, SHINGLE)
         self.sets = [dict.fromkeys(shingles[a:b].tolist(), 0.0) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        having: dict[int, int] = {}
-        for s in self.sets:
-            for x in s:
-                having[x] = having.get(x, 0) + 1
-        self.rarest = math.log(1 + (len(ids) + 1))
-        self.weight = {x: math.log(1 + (len(ids) + 1) / (n + 1)) for x, n in having.items()}
+        if having is None:
+            having = Counter(x for s in self.sets for x in s)
+        self.rarest = math.log(1 + (n_items + 1))
+        self.weight = {x: math.log(1 + (n_items + 1) / (having[x] + 1)) for s in self.sets for x in s}
         self.total = np.array([sum(self.weight[x] for x in s) for s in self.sets])
         self.known = np.array(sorted(self.weight), np.uint64)
         self.known_weight = np.array([self.weight[x] for x in sorted(self.weight)])
@@ -142,11 +144,10 @@ class Index:
         """Weighted Jaccard similarity of an item and a stretch of text."""
         shared = other = 0.0
         for x in set(shingles.tolist()):
-            w = self.weight.get(x, self.rarest)
             if x in self.sets[item]:
-                shared += w
+                shared += self.weight[x]
             else:
-                other += w
+                other += self.rarest
         return shared / (self.total[item] + other)
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
@@ -191,17 +192,34 @@ class Index:
         return [(row, item, score, first) for (row, item), (score, first) in sorted(best.items())]
 
 
-def _slices(benchmark: DataFrame, text: str, key: str) -> list[Index]:
-    """The benchmark in slices that fit into a task. Null texts and those without words match nothing."""
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(slice, shingle)`` for each item's distinct shingles."""
+    for batch in batches:
+        for first, last, raw, offsets in arrays.pieces(batch.column(1)):
+            hashes, bounds = arrays.sets(*arrays.shingles(*words(raw, offsets), SHINGLE))
+            of = batch.column(0).slice(first, last - first).take(pa.array(np.repeat(np.arange(last - first), np.diff(bounds))))
+            yield pa.record_batch([of, pa.array(hashes.view(np.int64))], ["slice", "shingle"])
+
+
+def _slices(benchmark: DataFrame, text: str, key: str) -> Iterator[Index]:
+    """The benchmark in slices that fit into a task, one at a time. Null texts and those without words match nothing.
+
+    How many items have a shingle is counted over the whole benchmark; the driver gets the counts of one slice's shingles.
+    """
     items = benchmark.select(F.col(key).alias("item_id"), F.col(text).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // SLICE_BYTES)
-    out = []
+    found = items.agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    n = -(-(found["size"] or 0) // SLICE_BYTES)
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n))).cast("long"))
+    counts = None
+    if n > 1:
+        once = items.select("slice", "text").mapInArrow(_item_shingles, "slice bigint, shingle bigint")
+        counts = written(once.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.collect_set("slice").alias("slices")), "benchmark-shingles")
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+        rows = items.where(F.col("slice") == k).orderBy("item_id", "text").collect()
         if rows:
-            out.append(Index([r.item_id for r in rows], [r.text for r in rows]))
-    return out
+            own = counts and counts.where(F.array_contains("slices", F.lit(k).cast("long"))).select("shingle", "n").toArrow()
+            having = own and dict(zip(own.column(0).to_numpy().view(np.uint64).tolist(), own.column(1).to_pylist(), strict=True))
+            yield Index([r.item_id for r in rows], [r.text for r in rows], found["n"], having or None)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -217,6 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     out = spark.createDataFrame([], schema)
     for index in _slices(benchmark, item_text, item_key):
         held = spark.sparkContext.broadcast(index)
+        del index  # the driver keeps the broadcast's file only
 
         def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -236,6 +255,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     at = docs.columns.index(text)
     for index in _slices(benchmark, item_text, item_key):
         held = spark.sparkContext.broadcast(index)
+        del index  # the driver keeps the broadcast's file only
 
         def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -43,9 +43,9 @@ def test_contamination_exact_near_and_clean(spark, awkward, nothing):
 
 def test_slices_of_the_benchmark_find_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = sorted(map(tuple, decontamination.contaminated(docs, bench).select("doc_id", "item_id").collect()))
+    whole = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()))
     monkeypatch.setattr(decontamination, "SLICE_BYTES", 3000)
-    assert whole and sorted(map(tuple, decontamination.contaminated(docs, bench).select("doc_id", "item_id").collect())) == whole
+    assert whole and sorted(map(tuple, decontamination.contaminated(docs, bench).collect())) == whole
 
 
 def test_hamming_search_misses_nothing_within_the_radius():

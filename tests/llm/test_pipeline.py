@@ -36,7 +36,8 @@ def contaminated(rows, items):
                 for i in range(max(1, len(w) - n + 1)):
                     here = shingles(w[i : i + n])
                     both = sum(map(weight, own & here))
-                    if both and both >= 0.8 * sum(map(weight, own | here)) - 1e-9:
+                    every = sum(map(weight, own)) + len(here - own) * math.log(1 + len(items) + 1)
+                    if both and both >= 0.8 * every - 1e-9:
                         out.add(d)
     return out
 
