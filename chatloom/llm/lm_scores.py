@@ -146,18 +146,20 @@ class Head:
 
 
 def _head(counts: DataFrame, most: int = HEAD) -> Head:
-    """The tokens whose counts are in the highest steps of a logarithmic scale, as many steps as have ``most`` tokens at most."""
+    """The ``most`` most frequent tokens by the steps of a logarithmic scale; of the step in which the cut falls, those with the least hashes."""
     step = F.floor(F.log2("n") * 16)
     sizes = sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"])
-    from_step, total = None, 0
+    cut, total = None, 0
     for row in sizes:
-        total += row["count"]
-        if total > most:
+        if total + row["count"] > most:
+            cut = row["step"]
             break
-        from_step = row["step"]
-    if from_step is None:
-        return Head.of(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    rows = counts.where(step >= from_step).select("token", "n").toArrow()
+        total += row["count"]
+    whole = counts.select("token", "n") if cut is None else counts.where(step > cut).select("token", "n")
+    parts = [whole.toArrow()]
+    if cut is not None:
+        parts.append(counts.where(step == cut).orderBy("token").limit(most - total).select("token", "n").toArrow())
+    rows = pa.concat_tables(parts)
     return Head.of(rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy())
 
 

@@ -71,6 +71,12 @@ def test_lm_tail_tokens_count_like_head_ones(spark, awkward, monkeypatch):
     assert {k: v[1] for k, v in few.items()} == {k: v[1] for k, v in whole.items()}
 
 
+def test_lm_head_is_never_empty(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(20)], "doc_id bigint, text string")
+    counts = lm_scores.trained(docs)[1]
+    assert lm_scores._head(counts, 300).filled == 300 and lm_scores._head(counts, 5000).filled == 1001
+
+
 def test_lm_is_a_distribution_and_beats_the_base(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = language.held_out(F.col("doc_id"), 7)
