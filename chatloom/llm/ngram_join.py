@@ -378,10 +378,13 @@ def kept_one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     text are one document, of which one stays; rows that share a key only are told apart by their texts.
     """
     found = written(near_duplicates(df, text, key), "ngram-components")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"))
+    own_key = F.col("own")[key]
     dropped = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("dropped")).distinct()
-    kept = df.join(dropped, F.col(key) == F.col("dropped"), "left_anti")
+    kept = rows.join(dropped, own_key == F.col("dropped"), "left_anti")
     repeated = found.where(f"n_shingles > 0 AND {key} IS NOT NULL").groupBy(F.col(key).alias("repeated")).count().where("count > 1").select("repeated")
-    if repeated.isEmpty():
-        return kept
-    same = F.col(key) == F.col("repeated")
-    return kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates([key, text]))
+    if not repeated.isEmpty():
+        same = own_key == F.col("repeated")
+        twice = kept.join(repeated, same, "left_semi").select("own", own_key.alias("k"), F.col("own")[text].alias("t")).dropDuplicates(["k", "t"]).select("own")
+        kept = kept.join(repeated, same, "left_anti").union(twice)
+    return kept.select("own.*")

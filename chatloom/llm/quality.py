@@ -161,7 +161,7 @@ def estimate(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = R
         on_good = [min(GOOD_BOUNDS[1], max(GOOD_BOUNDS[0], x)) for x in on_good]
         on_bad = [min(BAD_BOUNDS[1], max(BAD_BOUNDS[0], LEAST_SUM - g, x)) for g, x in zip(on_good, on_bad, strict=True)]
         good = (share_of[0] + START_GOOD * START_WEIGHT) / (sum(share_of) + START_WEIGHT)
-        new = Trust(min(0.99, max(0.5, good)), tuple(on_good), tuple(on_bad))
+        new = Trust(good, tuple(on_good), tuple(on_bad))
         if new == trust:
             break
         trust = new
@@ -193,10 +193,9 @@ def judged(df: DataFrame, text: str = "text", keep: tuple[str, ...] | None = Non
     Null text counts as empty: no words, so it fails the fixed rules. Columns of ``df`` with the same names are
     replaced. Repeated rows are judged alike and each counts. An empty table gives no rows and the prior's trust.
     """
-    measured = with_figures(df, text)
-    figure_names = [c for c in measured.columns if c in FIGURES]
     kept = [c for c in (df.columns if keep is None else keep) if c not in FIGURES]
-    measured = written(measured.select(*(F.col(f"`{c}`") for c in kept), *figure_names), "quality-figures")
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.struct(F.lit(None).alias("none"))
+    measured = written(with_figures(df.select(own.alias("own"), F.col(f"`{text}`").alias("text"))).select(*(F.col("own")[c].alias(c) for c in kept), *FIGURES), "quality-figures")
     trust = learned(measured, rules)
     voted = measured.withColumns({f"vote_{r.name}": v for r, v in zip(rules, votes(rules), strict=True)})
     return voted.withColumns({"base_failed": base_failed(), "quality": posterior(trust, rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))

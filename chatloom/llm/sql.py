@@ -89,7 +89,7 @@ patterns AS (SELECT v, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY v
 em AS (
   SELECT 0 AS round, CAST({q.START_GOOD} AS DOUBLE) AS good, {doubles(start_good)} AS og, {doubles(start_bad)} AS ob
   UNION ALL
-  SELECT round + 1, least(0.99, greatest(0.5, share)), og, [{', '.join(on_bad)}] FROM (
+  SELECT round + 1, share, og, [{', '.join(on_bad)}] FROM (
     SELECT round, (sum(n * p) + {q.START_GOOD * w}) / (sum(n) + {w}) AS share, [{', '.join(on_good)}] AS og, [{', '.join(rate('(1 - p)', -1, start_bad))}] AS bad
     FROM (SELECT round, v, n, 1 / (1 + exp(-({odds}))) AS p FROM em, patterns WHERE round < {q.ROUNDS}) GROUP BY round)
 ), judged AS (SELECT voted.*, 1 / (1 + exp(-({odds}))) AS quality FROM voted, em WHERE round = {q.ROUNDS})

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+CLASHING = ("dropped", "repeated", "places", "k", "_words", "_lines", "_hashes", "own", "class", "bucket", "times")
 SYLLABLES = "an er in th on re ti es or ou nd en".split()
 
 
@@ -21,8 +22,8 @@ def awkward(spark):
     rows.append((200, " ".join(word() for _ in range(30000)), "es", "a"))
     rows += [(300 + i, "\n".join(" ".join(word() for _ in range(12)) for _ in range(6)), "es", "b") for i in range(30)]
     rows += [(400, "über Größe ½ — 漢字 🙂 É" * 5, "de", "é"), (401, "1234 5678 !!!", "en", "\U0001f600")]
-    wide = [(*r, len(r[1] or ""), "x", 1, 2) for r in rows]
-    return spark.createDataFrame(wide, "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size int, row int").repartition(5)
+    wide = [(*r, len(r[1] or ""), "x", 1, 2, *"abcdefghijk") for r in rows]
+    return spark.createDataFrame(wide, "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size int, row int, " + ", ".join(f"{n} string" for n in CLASHING)).repartition(5)
 
 
 @pytest.fixture(scope="session")
