@@ -15,8 +15,8 @@ from chatloom.schemas import CHAT_SOURCE, FILTER_FIELDS
 
 OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte")
 LOW_CONFIDENCE = 0.40
-#: Query tables up to this many rows go to every task; larger ones are joined in slices of this size.
-MOST_QUERIES = 4096
+#: Queries go to every task in slices of at most so many rows, and of about so many bytes of vectors.
+MOST_QUERIES, MOST_QUERY_BYTES = 4096, 32 << 20
 
 
 class FilterError(ValueError):
@@ -122,10 +122,14 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def distance(a: Column, b: Column, metric: str) -> Column:
-    """Cosine distance, Euclidean distance, or the inner product itself."""
+def norm(v: Column) -> Column:
+    return F.sqrt(_dot(v, v))
+
+
+def distance(a: Column, b: Column, metric: str, norms: Column | None = None) -> Column:
+    """Cosine distance, Euclidean distance, or the inner product itself. ``norms``: the product of both norms, if it is known."""
     if metric == "cosine":
-        norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+        norms = norm(a) * norm(b) if norms is None else norms
         return F.when(norms == 0, 1.0).otherwise(1.0 - _dot(a, b) / norms)
     if metric == "l2":
         squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -148,7 +152,8 @@ def candidate_k(k: Column) -> Column:
 
 def _slices(queries: DataFrame, most: int) -> list[DataFrame]:
     """The query table, in slices small enough to go to every task."""
-    n = -(-queries.count() // most)
+    found = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("query_vector") * 8).alias("bytes")).first()
+    n = max(-(-found["n"] // most), -(-(found["bytes"] or 0) // MOST_QUERY_BYTES))
     return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
 
@@ -156,8 +161,8 @@ def knn(chunks: DataFrame, queries: DataFrame, metric: str = "cosine", threshold
     """The ``top_k`` nearest chunks of each query within its scope, with rank, similarity and confidence flag.
 
     ``queries``: query_id, owner_id, query_vector, top_k and any of the filters of ``scope`` and ``in_time``. Chunks stay
-    where they are; queries go to them in slices of at most ``most`` rows, and ranking keeps top_k rows a query and
-    partition before its shuffle. Deleted and time-filtered rows never take a place (``time_mode="post"`` instead
+    where they are; queries, without their texts, go to them in slices of at most ``most`` rows. Ranking keeps, for each query and
+    partition, as many rows as the largest ``top_k`` asks for before its shuffle, as that bound is known to the plan. Deleted and time-filtered rows never take a place (``time_mode="post"`` instead
     filters a wider candidate list by time). Ties go to the smaller id. Texts that are blank and similarities under
     the threshold are dropped, and ranks follow each other without gaps.
     """
@@ -165,17 +170,21 @@ def knn(chunks: DataFrame, queries: DataFrame, metric: str = "cosine", threshold
     if condition is not None:
         kept = kept.where(condition)
     post = time_mode == "post"
-    asks = queries.select(*queries.columns, (candidate_k(F.col("top_k")) if post else F.col("top_k")).alias("first_k"))
+    asked = [c for c in queries.columns if c != "question"]
+    asks = queries.select(*asked, (candidate_k(F.col("top_k")) if post else F.col("top_k")).alias("first_k"))
+    largest = asks.agg(F.max("first_k")).first()[0] or 0
     by_distance = F.col("distance").desc() if metric == "ip" else F.col("distance")
+    if metric == "cosine":  # norms once a row, not once a pair
+        kept, asks = kept.withColumn("c_norm", norm(F.col("embedding"))), asks.withColumn("q_norm", norm(F.col("query_vector")))
     out = None
     for some in _slices(asks, most):
         met = kept.alias("c").join(F.broadcast(some).alias("q"), scope(queries) & (F.lit(True) if post else in_time(queries)))
-        d = F.round(distance(F.col("c.embedding"), F.col("q.query_vector"), metric), 9)
+        d = F.round(distance(F.col("c.embedding"), F.col("q.query_vector"), metric, F.col("c_norm") * F.col("q_norm") if metric == "cosine" else None), 9)
         carried = [F.col(f"c.{c}") for c in chunks.columns if c not in ("embedding", "owner_id")]
         hits = met.select(F.col("q.query_id"), F.col("q.owner_id"), F.col("q.top_k"), F.col("q.first_k"), *(F.col(f"q.{c}") for c in ("time_from", "time_to") if c in queries.columns), d.alias("distance"), *carried)
         out = hits if out is None else out.union(hits)
     order = Window.partitionBy("query_id").orderBy(by_distance, "vector_id")
-    hits = out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("first_k"))
+    hits = out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.lit(largest)).where(F.col("place") <= F.col("first_k"))
     if post:
         hits = hits.where(_bounds(queries))
     hits = hits.withColumn("similarity", F.round(similarity(F.col("distance"), metric), 6)).where((F.col("similarity") >= threshold) & (F.coalesce(F.trim("text"), F.lit("")) != ""))
@@ -203,10 +212,10 @@ def knn_by_matrix(chunks: DataFrame, queries: DataFrame, k: int = 5, most: int =
 
     Each task keeps its own k best rows a query, so the shuffle carries k rows a query and task.
     """
-    schema = "query_id bigint, vector_id string, similarity double"
+    schema = "query_id bigint, vector_id string, distance double"
     out = None
     for some in _slices(queries, most):
-        rows = some.select("query_id", "owner_id", "query_vector").toPandas()
+        rows = some.select("query_id", "owner_id", "query_vector").toPandas()  # a slice, which has a bound
         if not len(rows):
             continue
         matrix = np.stack(rows["query_vector"].to_numpy()).astype(np.float64)
@@ -221,23 +230,23 @@ def knn_by_matrix(chunks: DataFrame, queries: DataFrame, k: int = 5, most: int =
                     continue
                 v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                score = np.where(pdf["owner_id"].to_numpy()[:, None] == owners[None, :], v @ matrix.T, -np.inf)
-                top = np.argsort(-score, axis=0, kind="stable")[:k]
-                q = np.broadcast_to(np.arange(len(ids)), top.shape)
-                found = pd.DataFrame({"query_id": ids[q.ravel()], "vector_id": pdf["vector_id"].to_numpy()[top.ravel()], "similarity": score[top.ravel(), q.ravel()]})
-                found = found[np.isfinite(found["similarity"])]
+                far = np.where(pdf["owner_id"].to_numpy()[:, None] == owners[None, :], np.round(1.0 - v @ matrix.T, 9), np.inf)
+                # all rows as near as the k-th one, so that the smaller id can win among equals
+                last = np.partition(far, min(k, len(far)) - 1, axis=0)[min(k, len(far)) - 1]
+                row, q = np.nonzero((far <= last) & np.isfinite(far))
+                found = pd.DataFrame({"query_id": ids[q], "vector_id": pdf["vector_id"].to_numpy()[row], "distance": far[row, q]})
                 best = found if best is None else pd.concat([best, found])
-                best = best.sort_values(["similarity", "vector_id"], ascending=[False, True]).groupby("query_id").head(k)
+                best = best.sort_values(["distance", "vector_id"]).groupby("query_id").head(k)
             if best is not None:
                 yield best
 
         part = chunks.where(not_deleted()).select("vector_id", "owner_id", "embedding").mapInPandas(task, schema)
         out = part if out is None else out.union(part)
     if out is None:
-        return chunks.sparkSession.createDataFrame([], schema + ", rank int")
-    out = out.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")), 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return chunks.sparkSession.createDataFrame([], "query_id bigint, vector_id string, similarity double, rank int")
+    order = Window.partitionBy("query_id").orderBy("distance", "vector_id")
+    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "vector_id", F.round(similarity(F.col("distance"), "cosine"), 6).alias("similarity"), "rank")
 
 
 def lsh_buckets(rows: DataFrame, vector: str, dim: int, tables: int, bits: int, seed: int) -> DataFrame:

@@ -108,7 +108,7 @@ def snippets(pairs: DataFrame, keys: list[str], question: str = "question", text
     reason = F.concat_ws(
         "; ",
         F.when((F.size("matched_terms") > 0) & (count > 0), F.concat(F.lit("Matched keyword: "), quoted(F.get("matched_terms", F.lit(0))), F.lit(" "), times(count))),
-        F.when(F.size("matched_terms") > 1, F.concat(F.lit("also matched: "), F.array_join(F.transform(F.slice("matched_terms", 2, 1000), quoted), ", "))),
+        F.when(F.size("matched_terms") > 1, F.concat(F.lit("also matched: "), F.array_join(F.transform(F.slice("matched_terms", F.lit(2), F.size("matched_terms")), quoted), ", "))),
         F.when((total("partial", True) > 0) & (total("exact", True) == 0), F.concat(F.lit("Substring match "), times(total("partial", True)))),
     )
     out = per.select(

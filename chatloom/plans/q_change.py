@@ -49,7 +49,7 @@ def _edits(spark, sf_dir):
     kind = F.element_at(F.array(*(F.lit(k) for k in ("text", "pdf", "docx", "pptx", "image", "voice", "document"))), (n + 1).cast("int"))
     parts = (F.col("turn") % 4).cast("string")
     extra = F.map_from_arrays(F.array(*(F.lit(x) for x in ("page_count", "section_count", "slide_count", "segment_count", "page_0_text", "ocr_text"))), F.array(parts, parts, parts, parts, F.lit("first page"), F.lit("read text")))
-    return m.select("account_id", "chat_id", "message_id", kind.alias("content_type"), F.when(F.col("turn") % 5 != 0, F.substring("text", 1, 20)).alias("text"), extra.alias("extra"))
+    return m.select("account_id", "chat_id", "message_id", kind.alias("content_type"), F.when(F.col("turn") % 5 != 0, F.col("text")).alias("text"), extra.alias("extra"))
 
 
 def replacement_chunks(spark, sf_dir):
@@ -161,7 +161,7 @@ def stream_once(spark, sf_dir):
     """Redelivered updates of a stream, counted once."""
     base = f"{jobs_dir(spark)}/{uuid.uuid4().hex}"
     u = tables.updates(spark, sf_dir).withColumns({"key": F.concat_ws(":", "kind", "message_id", "update_id"), "edit_ts": F.col("edit_ts").cast("timestamp")})
-    u.coalesce(1).write.parquet(f"{base}/in")
+    u.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(u.schema).parquet(f"{base}/in")
     jobs.run_to_end(jobs.once(stream, "key", "edit_ts", "400 days"), jobs.append_once(f"{base}/out"), f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -182,8 +182,8 @@ s6 AS (SELECT *, CASE kind WHEN 'delete' THEN CASE WHEN tomb THEN 'skipped' WHEN
 classified AS (SELECT *, CASE WHEN status IN ('apply', 'upsert', 'created') THEN CAST(sum(CASE WHEN status = 'apply' THEN 1 ELSE 0 END) OVER (PARTITION BY message_id ORDER BY arrival, update_id) + 1 AS BIGINT) END AS version FROM s6)"""
 _C = with_tables("updates", more=_CLASSIFIED)
 _CLASSIFY = _C + "SELECT message_id, arrival, kind, update_id, status, version FROM classified"
-_EDITS = """edits AS (SELECT account_id, chat_id, message_id, turn, ['text', 'pdf', 'docx', 'pptx', 'image', 'voice', 'document'][(conv_id + turn) % 7 + 1] AS kind, coalesce(trim(CASE WHEN turn % 5 <> 0 THEN text[1:20] END), '') AS caption,
-  coalesce(CASE WHEN turn % 5 <> 0 THEN text[1:20] END, '') AS body FROM messages),
+_EDITS = """edits AS (SELECT account_id, chat_id, message_id, turn, ['text', 'pdf', 'docx', 'pptx', 'image', 'voice', 'document'][(conv_id + turn) % 7 + 1] AS kind, coalesce(trim(CASE WHEN turn % 5 <> 0 THEN text END), '') AS caption,
+  coalesce(CASE WHEN turn % 5 <> 0 THEN text END, '') AS body FROM messages),
 repl AS (SELECT *, CASE WHEN kind IN ('pdf', 'docx', 'pptx', 'voice') THEN turn % 4 ELSE 1 END AS n FROM edits),
 repl1 AS (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS chunk_index FROM repl),
 repl2 AS (SELECT *, 'telegram:' || account_id || ':' || chat_id || ':' || message_id || ':' || kind || ':' || chunk_index AS vector_id, CASE kind WHEN 'text' THEN body WHEN 'image' THEN trim(concat_ws(' ', nullif(caption, ''), 'read text')) WHEN 'document' THEN caption

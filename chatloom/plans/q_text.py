@@ -70,9 +70,9 @@ def query_terms(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Each question with the chat texts of the conversations whose number it divides into ten."""
-    q = tables.query_vectors(spark, sf_dir).select("query_id", F.substring_index("question", " ", 12).alias("question"))
-    texts = tables.chat_lines(spark, sf_dir).withColumn("q", F.col("conv_id") % 10)
+    """Every conversation's chat text with one whole question; the first 25 queries, which all sizes have, in turn."""
+    q = tables.query_vectors(spark, sf_dir).select("query_id", "question")
+    texts = tables.chat_lines(spark, sf_dir).withColumn("q", F.col("conv_id") % 25 * 20)
     return texts.join(q, F.col("q") == F.col("query_id")).select("query_id", "conv_id", "question", "text")
 
 
@@ -162,8 +162,8 @@ def _terms(column):
     return _TERMS.format(_CLEAN.format(column), _STOP)
 
 
-_PAIRS_SQL = f"""{_SEGMENTS}, asked AS (SELECT query_id, {_terms("array_to_string(string_split(question, ' ')[:12], ' ')")} AS terms FROM query_vectors),
-tokens AS (SELECT s.conv_id, s.message_no, query_id, lower(message) AS low, terms, regexp_extract_all(lower(message), '[\\p{{L}}\\p{{N}}_]+') AS tokens_of FROM segments s JOIN asked ON conv_id % 10 = query_id),
+_PAIRS_SQL = f"""{_SEGMENTS}, asked AS (SELECT query_id, {_terms("question")} AS terms FROM query_vectors),
+tokens AS (SELECT s.conv_id, s.message_no, query_id, lower(message) AS low, terms, regexp_extract_all(lower(message), '[\\p{{L}}\\p{{N}}_]+') AS tokens_of FROM segments s JOIN asked ON conv_id % 25 * 20 = query_id),
 counted AS (SELECT *, list_transform(terms, lambda t: len(list_filter(tokens_of, lambda x: x = t))) AS found FROM tokens),
 scored AS (SELECT query_id, conv_id, message_no, CAST(coalesce(list_sum(found), 0) AS INT) AS exact,
   CAST(len(list_filter(range(1, len(terms) + 1), lambda i: found[i] = 0 AND contains(low, terms[i]))) AS INT) AS partial FROM counted)"""

@@ -26,8 +26,8 @@ _TABLES = {
       doc_id % 5 AS chunk_index, CAST(ceil(n_chars / 4) AS BIGINT) AS token_count, doc_id % 3 + 1 AS message_count, doc_id % 8 = 3 AS contains_images, doc_id % 17 = 0 AS is_deleted, doc_id, CAST(label AS BIGINT) AS label
       FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id""",
     "query_vectors": f"""SELECT vec_id AS query_id, embedding AS query_vector, text AS question, 'owner_' || label % 3 AS owner_id, 5 AS top_k,
-      CASE WHEN vec_id % 3 = 0 THEN 'telegram' END AS source, CASE WHEN vec_id % 2 = 1 THEN {EPOCH} + to_hours(100) END AS time_from,
-      CASE WHEN vec_id % 4 = 1 THEN {EPOCH} + to_hours(1500) END AS time_to FROM embeddings JOIN benchmark ON vec_id = item_id WHERE vec_id < 10""",
+      CASE WHEN vec_id // 20 % 3 = 0 THEN 'telegram' END AS source, CASE WHEN vec_id // 20 % 2 = 1 THEN {EPOCH} + to_hours(100) END AS time_from,
+      CASE WHEN vec_id // 20 % 4 = 1 THEN {EPOCH} + to_hours(1500) END AS time_to FROM embeddings JOIN benchmark ON vec_id // 20 % 40 = item_id WHERE vec_id % 20 = 0""",
     "event_rows": """SELECT *, (conv_id + turn) AS n FROM messages""",
     "raw_events": """SELECT account_id, CASE WHEN conv_id % 29 <> 3 THEN chat_id END AS chat_id, sender_id, CASE WHEN turn % 6 = 5 THEN '  ' ELSE sender_name END AS sender_name, message_id,
       ['text', 'photo', 'document', 'voice', 'video', 'poll', 'gift'][n % 7 + 1] AS message_type,

@@ -84,12 +84,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """Queries: vectors 0 to n - 1 with the benchmark texts of the same number, each scoped to its own owner."""
-    v, b = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n), table(spark, sf_dir, "benchmark")
-    return v.join(b, v["vec_id"] == b["item_id"]).select(
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every vector whose id is divisible by 20, with the benchmark texts in turn as questions, each scoped to its own owner."""
+    v, b = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0), table(spark, sf_dir, "benchmark")
+    n = F.expr("vec_id DIV 20")
+    return v.join(b, n % 40 == b["item_id"]).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("text").alias("question"), F.concat(F.lit("owner_"), F.col("label") % 3).alias("owner_id"),
-        F.lit(5).alias("top_k"), F.when(F.col("vec_id") % 3 == 0, F.lit(CHAT_SOURCE)).alias("source"), F.when(F.col("vec_id") % 2 == 1, _after(F.lit(100 * 60))).alias("time_from"), F.when(F.col("vec_id") % 4 == 1, _after(F.lit(1500 * 60))).alias("time_to"),
+        F.lit(5).alias("top_k"), F.when(n % 3 == 0, F.lit(CHAT_SOURCE)).alias("source"), F.when(n % 2 == 1, _after(F.lit(100 * 60))).alias("time_from"), F.when(n % 4 == 1, _after(F.lit(1500 * 60))).alias("time_to"),
     )
 
 

@@ -232,3 +232,21 @@ def test_reconcile_twice(spark):
     assert sorted((r.rule, r.subject) for r in found.collect()) == [(1, "k1"), (2, "a:c:1"), (4, "a:c:2")]
     repaired = sync.reconcile(messages.withColumn("is_edited", F.lit(False)), sync.apply_deletes(chunks, messages.where("is_deleted")), operations.where("idempotency_key <> 'k1'"), none, now)
     assert repaired.count() == 0
+
+
+def test_equal_vectors_go_by_the_smaller_id(spark):
+    chunks = spark.createDataFrame([(f"v{i}", "ann", "x", "text", [1.0, 0.0], False) for i in range(99, 49, -1)], "vector_id string, owner_id string, source string, text string, embedding array<float>, is_deleted boolean").coalesce(1)
+    queries = spark.createDataFrame([(1, "ann", [1.0, 0.0], 3)], "query_id bigint, owner_id string, query_vector array<float>, top_k int")
+    want = ["v50", "v51", "v52"]
+    assert [r.vector_id for r in search.knn(chunks, queries).orderBy("rank").collect()] == want
+    assert [r.vector_id for r in search.knn_by_matrix(chunks, queries, k=3).orderBy("rank").collect()] == want
+
+
+def test_top_k_is_cut_before_its_shuffle(spark):
+    from chatloom.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    queries = tables.query_vectors(spark, sf).withColumn("top_k", (F.col("query_id") % 3 + 1).cast("int"))
+    plan = search.knn(tables.chunks(spark, sf), queries)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("WindowGroupLimit") :]
+    assert "Partial" in plan and "Exchange hashpartitioning(query_id" in below
