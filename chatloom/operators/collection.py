@@ -137,13 +137,22 @@ def migration_report(legacy: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def migrate(legacy: DataFrame, target: DataFrame, path: str, dry_run: bool = True) -> DataFrame:
-    """The report; unless it is a dry run, the missing rows are appended to the collection at ``path``."""
+    """The report; unless it is a dry run, the missing rows are appended to the collections at ``path``, one collection after another.
+
+    After each write the store is read again: a collection that lacks one of its rows is ``failed``, and the migration stops there.
+    """
     report = migration_report(legacy, target)
-    if not dry_run:
-        rows = report.collect()  # one row a collection, before the write changes what it counts
-        write_collection(legacy.join(target.select("collection", "vector_id"), ["collection", "vector_id"], "left_anti"), path)
-        return legacy.sparkSession.createDataFrame(rows, report.schema)
-    return report
+    if dry_run:
+        return report
+    spark, keys, done = legacy.sparkSession, ["collection", "vector_id"], []
+    for row in sorted(report.collect(), key=lambda r: r["collection"]):  # one row a collection, before the writes change what it counts
+        own = legacy.where(F.col("collection") == row["collection"])
+        write_collection(own.join(target.select(*keys), keys, "left_anti"), path)
+        there = own.select(*keys).distinct().join(read_collection(spark, path, collection=row["collection"]).select(*keys), keys, "left_semi").count()
+        done.append((*row[:-1], row["status"] if there == row["old_count"] else "failed"))
+        if there != row["old_count"]:
+            break
+    return spark.createDataFrame(done, report.schema)
 
 
 def migration_totals(report: DataFrame) -> DataFrame:
