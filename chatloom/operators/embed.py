@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 BATCH = 32
 UNIT_TOLERANCE = 1e-4
+WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
 
 def cache_key(text: Column) -> Column:
@@ -39,13 +41,12 @@ def evict(cache: DataFrame, most: int, inserted: str = "inserted_at", key: str =
 
 
 def hashing_embedder(dim: int) -> Callable[[list[str]], np.ndarray]:
-    """A stand-in for a model: words counted in hashed dimensions, normalised. Needs no weights."""
+    """A stand-in for a model: words in lower case, counted in hashed dimensions, normalised. Needs no weights."""
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1
+            for w in WORD.findall(t.lower()):
+                out[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim] += 1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return embed

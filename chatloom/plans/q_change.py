@@ -118,13 +118,13 @@ def stream_edit_state(spark, sf_dir):
 
 
 def stream_stateful_edits(spark, sf_dir):
-    """``edit_classify`` by keyed state, over updates that come in order of arrival, a file a batch."""
+    """``edit_classify`` by keyed state, over updates that come in order of arrival; a file, which holds all of a message's updates of its time, a batch."""
     base = f"{jobs_dir(spark)}/{uuid.uuid4().hex}"
     u = tables.updates(spark, sf_dir)
     cuts = [0, *u.approxQuantile("arrival", [0.3, 0.6], 0.01), None]
     for low, high in zip(cuts, cuts[1:], strict=False):
         some = u.where(F.col("arrival") >= low) if high is None else u.where((F.col("arrival") >= low) & (F.col("arrival") < high))
-        some.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        some.repartition(4, "message_id").write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     jobs.run_to_end(classified_stream(stream), jobs.append_once(f"{base}/out"), f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("message_id", "arrival", "kind", "update_id", "status", "version")

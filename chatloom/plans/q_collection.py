@@ -123,7 +123,9 @@ def embed_corpus(spark, sf_dir):
     """All documents embedded by the stand-in model, equal texts once; what is returned can be recomputed by the tests."""
     d = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = embed.embed(d, lambda: embed.hashing_embedder(DIM), DIM)
-    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(embed.squared_norm(F.col("embedding")), 4).alias("squared_norm"))
+    used = F.size(F.filter("embedding", lambda x: x > 0))
+    top = F.when(used > 0, F.array_position("embedding", F.array_max("embedding")))
+    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(embed.squared_norm(F.col("embedding")), 4).alias("squared_norm"), used.alias("used"), top.alias("top"))
 
 
 QUERIES = {q.__name__: q for q in (
@@ -155,5 +157,7 @@ ORACLE_SQL = {
     "cache_stats": f"WITH {_CACHED}, s AS (SELECT sha256(text) IN (SELECT key FROM cached) AS hit FROM documents) SELECT (SELECT count(*) FROM cached) AS size, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM s",
     "cache_evict": f"WITH {_CACHED} SELECT * FROM cached ORDER BY inserted_at DESC, key LIMIT 100",
     "vector_quality": "SELECT CASE vec_id % 7 WHEN 1 THEN 'empty' WHEN 2 THEN 'zero' WHEN 3 THEN 'wrong dimension' ELSE 'ok' END AS problem, vec_id % 7 NOT IN (1, 2, 3, 4) AS unit, count(*) AS n FROM embeddings GROUP BY 1, 2",
-    "embed_corpus": "SELECT doc_id, 64 AS dim, CAST(CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE 1 END AS DOUBLE) AS squared_norm FROM documents",
+    "embed_corpus": rf"""WITH counted AS (SELECT doc_id, CAST('0x' || md5(w)[1:8] AS BIGINT) % {DIM} AS d, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS w FROM documents) GROUP BY 1, 2),
+      per AS (SELECT doc_id, CAST(count(*) AS INT) AS used, arg_min(d, {DIM} * -n + d) + 1 AS top FROM counted GROUP BY doc_id)
+      SELECT doc_id, {DIM} AS dim, CAST(CASE WHEN used > 0 THEN 1 ELSE 0 END AS DOUBLE) AS squared_norm, coalesce(used, 0) AS used, top FROM documents LEFT JOIN per USING (doc_id)""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatloom.operators import rag, search
+from chatloom.operators import embed, rag, search, snippet
 from chatloom.plans.sql_tables import with_tables
 from chatloom.sources import tables
 
@@ -120,6 +120,32 @@ def answer_bundle(spark, sf_dir):
     return strong.join(rag.confidence(queries, hits), "query_id").join(srcs, "query_id", "left").fillna({"n_sources": 0})
 
 
+DIM = 64
+
+
+def _embedded(spark, sf_dir):
+    """Chunks and questions, both embedded by the stand-in model."""
+    model = lambda: embed.hashing_embedder(DIM)
+    chunks = embed.embed(tables.chunks(spark, sf_dir).drop("embedding"), model, DIM)
+    asked = tables.query_vectors(spark, sf_dir).select("query_id", "owner_id", "top_k", "question")
+    ready = asked.withColumn("prepared", snippet.preprocess(F.col("question")))
+    return chunks, embed.embed(ready, model, DIM, text="prepared").withColumnRenamed("embedding", "query_vector").drop("prepared")
+
+
+def question_search(spark, sf_dir):
+    """From a question to its hits: preparation, embedding, search."""
+    return _thin(search.knn(*_embedded(spark, sf_dir)))
+
+
+def question_sources(spark, sf_dir):
+    """The whole way: question, embedding, search, the snippet of each hit, and the sources that show it."""
+    chunks, queries = _embedded(spark, sf_dir)
+    hits = search.knn(chunks, queries)
+    keys = ["query_id", "vector_id"]
+    cut = snippet.snippets(hits.join(queries.select("query_id", "question"), "query_id").select(*keys, "question", "text"), keys).select(*keys, "focused_snippet")
+    return rag.sources(hits.join(cut, keys, "left"))
+
+
 def retrieval_report(spark, sf_dir):
     from chatloom.operators import views
 
@@ -128,7 +154,7 @@ def retrieval_report(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (
     knn_cosine_topk, knn_l2, knn_ip, scoped_knn, time_window_knn, time_postfilter_knn, knn_matrix, knn_lsh, metadata_filter, visible_chunks, ownership_reason,
-    request_errors, no_strong_match, chat_sources, citations, context_budget, confidence, prompt_rows, answer_bundle, retrieval_report)}
+    request_errors, no_strong_match, chat_sources, citations, context_budget, confidence, prompt_rows, answer_bundle, question_search, question_sources, retrieval_report)}
 
 _IN_TIME = "(q.time_from IS NULL OR c.ts >= q.time_from) AND (q.time_to IS NULL OR c.ts <= q.time_to)"
 _IN_SOURCE = "(q.source IS NULL OR c.source = q.source)"
@@ -162,6 +188,13 @@ def _over_hits(select, *, more="", **options):
     return with_tables("chunks", "query_vectors", more=_hits_sql(**options) + (", " + more if more else "")) + select
 
 
+def _vectors_sql(name, table, key, text):
+    return rf"""{name}_n AS (SELECT {key}, CAST('0x' || md5(w)[1:8] AS BIGINT) % {DIM} AS d, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[^\x20\x09-\x0D]+')) AS w FROM {table}) GROUP BY 1, 2),
+{name}_l AS (SELECT {key}, sqrt(CAST(sum(n * n) AS DOUBLE)) AS len FROM {name}_n GROUP BY 1), {name}_v AS (SELECT {key}, list(CAST(coalesce(n, 0) / len AS FLOAT) ORDER BY d) AS vector FROM {name}_l CROSS JOIN (SELECT unnest(range({DIM})) AS d) LEFT JOIN {name}_n USING ({key}, d) GROUP BY 1),
+{name}_e AS (SELECT t.* EXCLUDE (__V__), coalesce(vector, list_transform(range({DIM}), lambda x: CAST(0 AS FLOAT))) AS __V__ FROM {table} t LEFT JOIN {name}_v USING ({key}))"""
+
+
+_QUESTIONS = _vectors_sql("c", "chunks", "vector_id", "text").replace("__V__", "embedding") + ",\n" + _vectors_sql("q", "query_vectors", "query_id", "question").replace("__V__", "query_vector") + ",\n"
 _POST = "(time_from IS NULL OR ts >= time_from) AND (time_to IS NULL OR ts <= time_to)"
 _BLOCK = """'[Document ' || rank || ']' || chr(10) || 'Similarity : ' || format('{:.4f}', similarity) || chr(10) || 'ID         : ' || vector_id || chr(10)
   || 'Source     : ' || coalesce(nullif(trim(conversation_title), ''), 'Unknown') || chr(10) || 'Timestamp  : N/A' || chr(10) || 'Chunk      : ' || chunk_index || chr(10) || chr(10) || text"""
@@ -195,6 +228,7 @@ ORACLE_SQL = {
     "time_window_knn": _knn_sql(scope=_IN_TIME),
     "time_postfilter_knn": _knn_sql(k="least(greatest(4 * top_k, 20), 200)", post=_POST),
     "knn_matrix": _over_hits("SELECT query_id, vector_id, similarity, rank FROM hits"),
+    "question_search": with_tables("chunks", "query_vectors", more=_QUESTIONS + _hits_sql().replace("FROM chunks c JOIN query_vectors q", "FROM c_e c JOIN q_e q").replace("1.0 - list_dot_product", "CASE WHEN list_sum(c.embedding) = 0 OR list_sum(q.query_vector) = 0 THEN 1.0 ELSE 1.0 - list_dot_product").replace("q.query_vector::DOUBLE[])))", "q.query_vector::DOUBLE[]))) END")) + "SELECT query_id, vector_id, rank, similarity, low_confidence FROM hits",
     "metadata_filter": with_tables("chunks") + "SELECT vector_id, token_count, chunk_index, message_count FROM chunks WHERE token_count >= 100 AND chunk_index < 3 AND NOT contains_images AND message_count <> 2",
     "visible_chunks": with_tables("chunks") + "SELECT source, is_deleted, count(*) AS n FROM chunks WHERE NOT (source = 'telegram' AND is_deleted) GROUP BY ALL",
     "ownership_reason": with_tables("chats", more=_REQUESTS) + """SELECT r.owner_id, r.chat_id, CASE WHEN c.chat_id IS NULL THEN 'not_found' WHEN c.is_deleted THEN 'deleted' WHEN c.owner_id <> r.owner_id THEN 'not_owned' ELSE 'ok' END AS reason,
