@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a row of slots, each one block of equally many words. Slot ``i`` belongs to the source on which
+The mix is a row of slots, each one block of words. Slot ``i`` belongs to the source on which
 the golden-ratio point ``frac(i * phi)`` falls when the sources lie side by side as long as their targets, so
 that every stretch of the mix, not only its whole, has nearly the target shares. A source's documents,
-shuffled by a seeded hash, lie end to end and are cut into blocks of the same number of words; the source's
-r-th slot takes its r-th block, starting over after the last one.
+shuffled by a seeded hash, lie end to end, start over after the last one, and are cut up to the target into as many
+blocks of the same number of words as the source has slots; its r-th slot takes its r-th block. So every source's words
+taken are its target, whatever the corpus' size and however small the source.
 
 Sizes are words. Points are 32-bit integers (a multiple of 2**32 / phi, modulo 2**32), so that every engine
 gets the same schedule.
@@ -22,9 +23,12 @@ GOLDEN_STEP = 2654435769
 POINTS = 1 << 32
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: The mix is cut into this many slots at least (fewer only if it has fewer words) and twice as many at most,
-#: which bounds the schedule whatever the corpus' size.
+#: The mix is cut into this many slots, which bounds the schedule whatever the corpus' size.
 SLOTS = 1 << 18
+#: Each source has nearly this many slots at least (fewer only beside thousands of others).
+LEAST_SLOTS = 64
+#: A source's part of the circle is rounded to one of this many, so that products fit 63 bits.
+PARTS = 1 << 29
 #: Shuffled documents are dealt into this many runs a source; the position of a document is a sum over whole
 #: runs and a running sum inside its own, so no task holds a source.
 RUNS_DIGITS = 3
@@ -62,56 +66,40 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 
 def slot_takes(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Slots of each source, with the block each takes: ``slot, source_no, rank, block, block_words, source_words``.
+    """Slots of each source, with the block each takes, from ``(source_no, words)``: ``slot, source_no, block, slots_of``.
 
-    ``source_no`` numbers the sources in code-point order. The schedule has ``slots`` to ``2 * slots`` rows.
-    A slot past ``MAX_REPEATS`` rounds of its source, which only rounding can make, is dropped.
+    A source's r-th slot takes its r-th block; ``slots_of`` is the number of its slots, by which its target of ``words`` is
+    cut into blocks. A source's part of the circle is as long as its target, but long enough for LEAST_SLOTS slots, so
+    that a tiny source beside a huge one has its blocks too.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    every = Window.partitionBy()
-    total = F.sum("source_size").over(every)
+    in_order, every = Window.orderBy("source_no"), Window.partitionBy()
+    share = F.col("words") / F.sum("words").over(every)
+    least = F.least(F.lit(LEAST_SLOTS / slots), F.lit(0.5) / F.count(F.lit(1)).over(every))
     edges = (
-        targets.withColumn("source_no", F.row_number().over(by_name))
-        .withColumn("block_words", F.greatest(F.lit(1), F.floor(total / slots)).cast("long"))
-        .withColumn("total", total)
-        .withColumn("slots", F.floor(total / F.col("block_words")).cast("long"))
-        .where("total > 0")
-        .withColumn("width", F.floor(F.col("target") / F.col("total") * POINTS).cast("long"))
-        .withColumn("hi", F.sum("width").over(by_name.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0)).cast("long"))
+        targets.where("words > 0")
+        .withColumn("part", F.floor(F.greatest(share, least) * PARTS).cast("long"))
+        .withColumn("upto", F.sum("part").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("parts", F.sum("part").over(every))
+        .withColumn("hi", F.expr(f"upto * {POINTS} div parts"))
+        .withColumn("lo", F.coalesce(F.lag("hi").over(in_order), F.lit(0)).cast("long"))
     )
-    last = F.max("source_no").over(every)
-    edges = edges.withColumn("hi", F.when(F.col("source_no") == last, F.lit(POINTS)).otherwise(F.col("hi")))
-    edges = edges.select("source_no", "source_size", "block_words", "slots", "lo", "hi")
+    edges = edges.select("source_no", "lo", "hi")
     # cut the circle of points into cells so that slots meet their source by an equal key, not by a range
     cell_bits = 20
     cells = edges.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", cell_bits), F.shiftright(F.greatest(F.col("hi") - 1, F.col("lo")), cell_bits))))
-    points = (
-        edges.select("slots").distinct()
-        .select(F.explode(F.sequence(F.lit(0), F.shiftright(F.col("slots"), 9))).alias("run"), "slots")
-        .repartition("run")
-        .select(F.explode(F.sequence(F.col("run") * 512, F.least(F.col("run") * 512 + 511, F.col("slots") - 1))).alias("slot"), F.col("slots").alias("n"), "run")
-        .where("slot < n and slot >= run * 512")
-        .select("slot", (F.col("slot") * GOLDEN_STEP % POINTS).alias("point"))
-        .withColumn("cell", F.shiftright("point", cell_bits))
-    )
+    points = targets.sparkSession.range(slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN_STEP % POINTS).alias("point")).withColumn("cell", F.shiftright("point", cell_bits))
     dealt = points.join(cells, "cell").where("point >= lo and point < hi")
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source_no").orderBy("slot")) - 1)
-    blocks = F.ceil(F.col("source_size") / F.col("block_words"))
-    return (
-        ranked.withColumn("blocks", blocks.cast("long"))
-        .where(F.col("rank") < F.col("blocks") * MAX_REPEATS)
-        .select("slot", "source_no", F.col("rank").cast("long").alias("rank"), (F.col("rank") % F.col("blocks")).cast("long").alias("block"), "block_words")
-    )
+    of_source = Window.partitionBy("source_no")
+    return dealt.select("slot", "source_no", (F.row_number().over(of_source.orderBy("slot")) - 1).cast("long").alias("block"), F.count(F.lit(1)).over(of_source).alias("slots_of"))
 
 
 def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = "mix",
           weights: tuple[int, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
     """The rows of ``df`` without their text, with what the mix takes of each.
 
-    Returns ``key, source, size, source_size, target, taken, starts``: ``taken`` counts words, repeats included;
-    ``starts`` counts how often the document's first word is taken, which is how often the mix begins the
-    document. Other columns of ``df`` don't matter, whatever their names.
+    Returns ``key, source, size, source_size, target, taken, starts, first_slot``: ``taken`` counts words, repeats
+    included; ``starts`` counts how often the document's first word is taken, which is how often the mix begins the
+    document, ``first_slot`` is the first slot that does (null if none). Other columns of ``df`` don't matter, whatever their names.
 
     Null text: size 0, taken 0. Null source: a source of its own, last. Null or repeated keys: rows of their
     own; rows with equal key, source and size are alike and interchangeable. Empty table: no rows.
@@ -125,39 +113,42 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str =
     sizes = runs.groupBy("source").agg(F.sum("run_size").alias("source_size"))
     targets = written(source_targets(sizes, weights), "mix-targets")
     numbered = targets.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))))
+    numbered = numbered.withColumn("words", F.floor(F.col("target") + 1e-6).cast("long"))
     per_source = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.withColumn("before", F.coalesce(F.sum("run_size").over(per_source), F.lit(0))).drop("run_size")
     same_source = F.col("a.source").eqNullSafe(F.col("b.source"))
-    starts = starts.alias("a").join(numbered.alias("b"), same_source).select("a.source", "run", "before", "source_size", "target", "source_no")
+    starts = starts.alias("a").join(numbered.alias("b"), same_source).select("a.source", "run", "before", "source_size", "target", "words", "source_no")
 
-    takes = slot_takes(targets, slots)
-    times = takes.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    block_words = F.greatest(F.lit(1), F.floor(F.sum("source_size").over(Window.partitionBy()) / slots)).cast("long")
-    starts = starts.join(
-        targets.withColumn("block_words", block_words).select(F.col("source").alias("s"), "block_words"), F.col("source").eqNullSafe(F.col("s"))
-    ).drop("s")
+    takes = written(slot_takes(numbered.select("source_no", "words"), slots), "mix-takes")
+    blocks = takes.groupBy("source_no").agg(F.first("slots_of").alias("slots_of"))
+    starts = starts.join(blocks, "source_no", "left").withColumn("slots_of", F.coalesce("slots_of", F.lit(0)))
 
     placed = (
         rows.alias("a").join(starts.alias("b"), same_source & (F.col("a.run") == F.col("b.run")))
-        .select("a.key", "a.source", "a.size", "a.mix_order", "a.run", "b.before", "b.source_size", "b.target", "b.source_no", "b.block_words")
+        .select("a.key", "a.source", "a.size", "a.mix_order", "a.run", "b.before", "b.source_size", "b.target", "b.words", "b.source_no", "b.slots_of")
     )
     inside = Window.partitionBy("source_no", "run").orderBy("mix_order", F.col("key"), "size")
     start = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = placed.withColumn("start", start).withColumn("nth", F.row_number().over(inside))
-    last_word = F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1
-    parts = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("block_words")), F.floor(last_word / F.col("block_words")))))
-    lo = F.greatest(F.col("start"), F.col("block") * F.col("block_words"))
-    hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words"))
-    met = parts.join(times, ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    met = met.withColumn("words", (hi - lo) * F.col("times"))
-    first = F.floor(F.col("start") / F.col("block_words")) == F.col("block")
+    # block b is the words from b * width to (b + 1) * width of the source's row of words, gone through again and again
+    width = F.greatest(F.ceil(F.col("words") / F.greatest("slots_of", F.lit(1))), F.lit(1)).cast("long")
+    placed = placed.withColumn("width", width).withColumn("round", F.explode(F.array(*map(F.lit, range(MAX_REPEATS)))))
+    placed = placed.withColumn("at", F.col("start") + F.col("round") * F.col("source_size"))
+    last_word = F.col("at") + F.greatest(F.col("size"), F.lit(1)) - 1
+    parts = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / F.col("width")), F.floor(last_word / F.col("width")))))
+    lo = F.greatest(F.col("at"), F.col("block") * F.col("width"))
+    end = F.least((F.col("block") + 1) * F.col("width"), F.col("words"))
+    hi = F.least(F.col("at") + F.col("size"), end)
+    met = parts.join(takes.select("source_no", "block", "slot"), ["source_no", "block"], "left")
+    met = met.withColumn("here", F.when(F.col("slot").isNotNull(), F.greatest(hi - lo, F.lit(0))).otherwise(0))
+    first = F.col("slot").isNotNull() & (F.floor(F.col("at") / F.col("width")) == F.col("block")) & (F.col("at") < end)
     return (
         met.groupBy("source_no", "run", "nth")
         .agg(
             F.first("key").alias(key), F.first("source").alias(source), F.first("size").alias("size"), F.first("source_size").alias("source_size"),
-            F.first("target").alias("target"), F.sum("words").cast("long").alias("taken"), F.sum(F.when(first, F.col("times")).otherwise(0)).cast("long").alias("starts"),
+            F.first("target").alias("target"), F.sum("here").cast("long").alias("taken"), F.sum(first.cast("long")).alias("starts"), F.min(F.when(first, F.col("slot"))).alias("first_slot"),
         )
-        .select(key, source, "size", "source_size", "target", "taken", "starts")
+        .select(key, source, "size", "source_size", "target", "taken", "starts", "first_slot")
     )
 
 

@@ -18,31 +18,33 @@ weighed AS (
 ), targets AS (
   SELECT source, source_no, source_size, coalesce(least(cap, (SELECT max(level) FROM levels WHERE level * weight <= cap) * weight), cap) AS target
   FROM levels
-), params AS (
-  SELECT CAST(sum(source_size) AS BIGINT) AS total, greatest(1, CAST(floor(sum(source_size) / 262144) AS BIGINT)) AS block_words, max(source_no) AS last_no FROM targets
+), wanted AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS words FROM targets
 ), widths AS (
-  SELECT t.*, p.*, sum(CAST(floor(target / total * 4294967296) AS BIGINT)) OVER (ORDER BY source_no) AS upto FROM targets t, params p WHERE total > 0
+  SELECT source_no, words, CAST(floor(greatest(words / sum(words) OVER (), least(CAST(64 AS DOUBLE) / 262144, CAST(0.5 AS DOUBLE) / count(*) OVER ())) * 536870912) AS BIGINT) AS part
+  FROM wanted WHERE words > 0
+), cumulated AS (SELECT source_no, words, CAST(sum(part) OVER (ORDER BY source_no) AS BIGINT) AS upto, CAST(sum(part) OVER () AS BIGINT) AS parts FROM widths
 ), edges AS (
-  SELECT *, CASE WHEN source_no = last_no THEN 4294967296 ELSE upto END AS hi, coalesce(lag(upto) OVER (ORDER BY source_no), 0) AS lo,
-         CAST(ceil(source_size / block_words) AS BIGINT) AS blocks
-  FROM widths
+  SELECT source_no, words, upto * 4294967296 // parts AS hi, coalesce(lag(upto) OVER (ORDER BY source_no), 0) * 4294967296 // parts AS lo FROM cumulated
 ), points AS (
-  SELECT slot, slot * 2654435769 % 4294967296 AS point FROM (SELECT unnest(range((SELECT CAST(floor(total / block_words) AS BIGINT) FROM params))) AS slot)
-), ranked AS (
-  SELECT source_no, blocks, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rank
+  SELECT slot, slot * 2654435769 % 4294967296 AS point FROM (SELECT unnest(range(262144)) AS slot)
+), takes AS (
+  SELECT slot, source_no, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS block, count(*) OVER (PARTITION BY source_no) AS slots_of
   FROM points JOIN edges ON point >= lo AND point < hi
-), times AS (
-  SELECT source_no, rank % blocks AS block, count(*) AS times FROM ranked WHERE rank < 3 * blocks GROUP BY 1, 2
+), block_sizes AS (
+  SELECT DISTINCT source_no, CAST(ceil(words / slots_of) AS BIGINT) AS width FROM takes JOIN edges USING (source_no)
 ), placed AS (
-  SELECT d.*, t.source_no, t.source_size, t.target, p.block_words, row_number() OVER () AS row_no,
-         sum(size) OVER (PARTITION BY t.source_no ORDER BY mix_order, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source, params p
+  SELECT d.*, w.source_no, w.source_size, w.target, w.words, row_number() OVER () AS row_no,
+         CAST(sum(size) OVER (PARTITION BY w.source_no ORDER BY mix_order, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+  FROM docs d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source
+), rounds AS (
+  SELECT p.*, coalesce(width, 1) AS width, start + r * source_size AS pos FROM placed p LEFT JOIN block_sizes USING (source_no), (SELECT unnest([0, 1, 2]) AS r)
 ), parts AS (
-  SELECT *, unnest(range(CAST(start // block_words AS BIGINT), CAST((start + greatest(size, 1) - 1) // block_words AS BIGINT) + 1)) AS block FROM placed
+  SELECT *, unnest(range(pos // width, (pos + greatest(size, 1) - 1) // width + 1)) AS block FROM rounds
 )
-SELECT doc_id, size, source_size, target, CAST(sum((least(start + size, (block + 1) * block_words) - greatest(start, block * block_words)) * coalesce(times, 0)) AS BIGINT) AS taken,
-       source, CAST(sum(CASE WHEN start // block_words = block THEN coalesce(times, 0) ELSE 0 END) AS BIGINT) AS starts
-FROM parts LEFT JOIN times USING (source_no, block)
+SELECT doc_id, size, source_size, target,
+       CAST(sum(CASE WHEN slot IS NULL THEN 0 ELSE greatest(least(pos + size, (block + 1) * width, words) - greatest(pos, block * width), 0) END) AS BIGINT) AS taken, source,
+       CAST(count(slot) FILTER (pos // width = block AND pos < words) AS BIGINT) AS starts, min(slot) FILTER (pos // width = block AND pos < words) AS first_slot
+FROM parts LEFT JOIN takes USING (source_no, block)
 GROUP BY row_no, doc_id, size, source_size, target, source
 """
 
