@@ -52,8 +52,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"), 7)
-    model, counts = lm_scores.trained(docs.where(~held))
-    found = lm_scores.scored(docs, model, counts)
+    model, weights = lm_scores.trained(docs.where(~held))
+    found = lm_scores.scored(docs, model, weights)
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

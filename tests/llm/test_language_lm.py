@@ -1,10 +1,10 @@
 import collections
 import math
-import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from chatloom.llm import language, lm_scores
+from chatloom.llm import arrays, language, lm_scores
 
 SF = "/root/testdata/sf0.01"
 
@@ -64,25 +64,74 @@ def test_lm_base_score_against_plain_python(awkward, nothing):
     assert lm_scores.scored(awkward, empty, none).where("n_known <> 0 OR train_tokens <> 0").count() == 0
 
 
-def test_lm_tail_tokens_count_like_head_ones(spark, awkward, monkeypatch):
-    whole = {(r.doc_id, r.n_tokens): (round(r.score, 6), r.n_known) for r in lm_scores.scored(awkward, *lm_scores.trained(awkward)).collect()}
-    monkeypatch.setattr(lm_scores._head, "__defaults__", (300,))
-    few = {(r.doc_id, r.n_tokens): (round(r.score, 6), r.n_known) for r in lm_scores.scored(awkward, *lm_scores.trained(awkward)).collect()}
-    assert {k: v[1] for k, v in few.items()} == {k: v[1] for k, v in whole.items()}
-
-
-def test_lm_head_is_never_empty(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(20)], "doc_id bigint, text string")
-    counts = lm_scores.trained(docs)[1]
-    assert lm_scores._head(counts, 300).filled == 300 and lm_scores._head(counts, 5000).filled == 1001
-
-
-def test_lm_is_a_distribution_and_beats_the_base(spark):
+def plain_weight(n, seen, share, normaliser):
+    """The root of the penalised likelihood's derivative, by halving."""
+    lo, hi = -60.0, 60.0
+    for _ in range(100):
+        w = (lo + hi) / 2
+        lo, hi = (w, hi) if n - seen * share * math.exp(w) / normaliser - lm_scores.PENALTY * w > 0 else (lo, w)
+    return lo
+
+
+def test_lm_score_against_plain_python(awkward):
+    """Everything but the class softmax anew, token by token: pairs, weights by halving, normalisers, sums."""
+    model, table = lm_scores.trained(awkward)
+    raw = {r.text or "" for r in awkward.collect()}
+    place = {}  # text -> (token, bucket before, two before, class) by the model's own hashing
+    for t in raw:
+        names, tails, bounds = lm_scores.tokens(*arrays.text_bytes(pa.array([t])))
+        contexts = model.top.contexts(names, tails, bounds)
+        place[t] = list(zip(names.tolist(), (contexts % lm_scores.BUCKETS).tolist(), contexts.tolist(), model.top.classes(names, tails).tolist(), strict=True))
+    tokens_, pairs, seen, size = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    class_of = {}
+    for r in awkward.collect():
+        for w, b, _, c in place[r.text or ""]:
+            tokens_[w] += 1
+            pairs[w, b] += 1
+            seen[b, c] += 1
+            class_of[w] = c
+    for w, n in tokens_.items():
+        size[class_of[w]] += n + 1
+    size = {c: n + (c >= lm_scores.OWN_CLASSES) for c, n in size.items()}
+    share = {w: (n + 1) / size[class_of[w]] for w, n in tokens_.items()}
+    z = dict.fromkeys(seen, 1.0)
+    for _ in range(lm_scores.INSIDE_ROUNDS + 1):
+        weights = {(w, b): plain_weight(n, seen[b, class_of[w]], share[w], z[b, class_of[w]]) if class_of[w] >= lm_scores.OWN_CLASSES else 0.0 for (w, b), n in pairs.items()}
+        z = dict.fromkeys(seen, 1.0)
+        for (w, b), x in weights.items():
+            z[b, class_of[w]] += share[w] * math.expm1(x)
+    for b, c in seen:  # a distribution: all tokens of the class and the unseen one
+        if c >= lm_scores.OWN_CLASSES:
+            whole = sum(share[w] * math.exp(weights.get((w, b), 0)) for w in tokens_ if class_of[w] == c) + 1 / size[c]
+            assert math.isclose(whole / z[b, c], 1, rel_tol=1e-9)
+    want = {t: sum(float(model.classes[k * lm_scores.CLASSES + c]) + math.log10(share[w]) + weights[w, b] * math.log10(math.e) - math.log10(z[b, c]) for w, b, k, c in x) for t, x in place.items()}
+    for most in (1 << 20, 300):
+        model.head = lm_scores._head(table, most)
+        for r in lm_scores.scored(awkward, model, table, keep=("doc_id", "text")).collect():
+            assert math.isclose(r.score, want[r.text or ""], rel_tol=1e-5, abs_tol=1e-4)
+
+
+def test_lm_tail_tokens_count_like_head_ones(awkward):
+    model, weights = lm_scores.trained(awkward)
+    results = []
+    for most in (1 << 20, 300, 0):
+        model.head = lm_scores._head(weights, most)
+        results.append(sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in lm_scores.scored(awkward, model, weights).collect()))
+    assert results[0] == results[1] == results[2]
+
+
+def test_lm_weights_grow_with_the_corpus_and_lists_are_bounded(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % (50 + i)}x" for j in range(80))) for i in range(60)], "doc_id bigint, text string")
+    few, many = (lm_scores.trained(docs.where(f"doc_id < {n}"))[1].agg(F.sum(F.size("weights")).alias("n"), F.max(F.size("weights")).alias("most")).first() for n in (20, 60))
+    assert many.n > 1.2 * few.n and many.most <= lm_scores.BUCKETS
+
+
+def test_lm_is_a_distribution_over_classes_and_beats_the_base(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = language.held_out(F.col("doc_id"), 7)
-    model, counts = lm_scores.trained(docs.where(~held))
+    model, weights = lm_scores.trained(docs.where(~held))
     total = 10 ** model.classes.reshape(lm_scores.CONTEXTS, lm_scores.CLASSES).astype(float)
     assert abs(total.sum(axis=1) - 1).max() < 1e-4
-    r = lm_scores.scored(docs.where(held), model, counts).agg(F.sum("score").alias("m"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    r = lm_scores.scored(docs.where(held), model, weights).agg(F.sum("score").alias("m"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    print("held-out log10 a token", r.m / r.n, r.b / r.n)
     assert r.m / r.n > r.b / r.n + 0.05
-    assert zlib.crc32(b"1") % 7 is not None
