@@ -1,11 +1,14 @@
-"""Licence scans: TF-IDF cosine of every line, and of whole licence files, to templates; then inheritance down the directories.
-
-A word's weight is its inverse document frequency over all texts: exact for the templates' words, which a first pass
-counts; other words weigh as much as one that no text has, so they make a line less like a template. A line is
-compared as a sparse vector of its words; a running bound on its cosine, from sums over the batch, leaves few lines to be
-computed in full. A file has the licence of its best line if that is like enough to some template, else that of the
-nearest directory above it with a licence file that has one. Directories are resolved first, one row each, by a join of their
-ancestors with those that have a licence; files then join their directory.
+"""Licence scans: TF-IDF cosine of headers and licence files to templates; then inheritance down the directories.
+
+A word's weight is its inverse document frequency over all texts. A first pass counts the texts of every word into a
+table; the templates' words are few and go to all tasks. Units are windows of one to some twenty neighbouring lines, which
+headers may be wrapped over, and whole licence files. A unit is compared as a sparse vector of its words: its products with
+all templates need the templates' words only, its length needs the others too. With the least weight that a word can
+have, 1, for those, few units are still like enough to a template; only their other words are joined with the table.
+
+A file has the licence of its best unit if that is like enough to some template, else that of the nearest directory above
+it with a licence file that has one. Directories are resolved first, one row each, by a join of their ancestors with
+those that have a licence; files then join their directory.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +28,39 @@ from chatloom.llm.decontamination import words
 from chatloom.llm.scratch import written
 
 THRESHOLD = 0.7
+#: Windows of these many neighbouring lines are compared.
+WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16, 20)
+#: A task's count of words is sent off beyond this many.
+FLUSH = 1 << 20
 LICENCE_FILE = "(?i)(^|/)(licen[cs]e|copying|unlicense)(\\.[a-z]+)?$"
 
-#: Public wordings by which works state their licence.
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_FORMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Public wordings by which works state their licence, headers and whole licence texts.
 TEMPLATES = (
+    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", _BSD_FORMS + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD_FORMS + _BSD_NAMES + _BSD_AS_IS),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -46,21 +79,27 @@ def _vocabulary(templates: tuple[tuple[str, str], ...]) -> np.ndarray:
     return np.unique(words(*arrays.text_bytes(pa.array([t for _, t in templates])))[0])
 
 
-def _document_frequency(vocabulary: np.ndarray):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(vocabulary), np.int64), 0
-        for batch in batches:
-            for first, last, raw, offsets in arrays.pieces(batch.column(0)):
-                hashes, bounds = words(raw, offsets)
-                at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                hit = np.flatnonzero(vocabulary[at] == hashes)
-                row = np.searchsorted(bounds, hit, side="right") - 1
-                counts += np.bincount(np.unique(row * len(vocabulary) + at[hit]) % len(vocabulary), minlength=len(vocabulary))
-                n += last - first
-        if n:
-            yield pa.record_batch([pa.array(np.append(np.arange(len(vocabulary)), -1), pa.int32()), pa.array(np.append(counts, n))], ["word", "n"])
+def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(word, n)``: how many of a task's texts, or of each stretch of them that fits into memory, hold each word."""
+    def rows(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(part[0].view(np.int64)), pa.array(part[1])], ["word", "n"])
 
-    return task
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for _, _, raw, offsets in arrays.pieces(batch.column(0)):
+            held.append(np.unique(arrays.sets(*words(raw, offsets))[0], return_counts=True))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                held = [_summed(held)]
+                if len(held[0][0]) > FLUSH // 2:
+                    yield rows(held.pop())
+    if held:
+        yield rows(_summed(held))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    names, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found, back = np.unique(names, return_inverse=True)
+    return found, np.bincount(back, weights=n).astype(np.int64)
 
 
 @dataclass
@@ -68,46 +107,42 @@ class Matcher:
     names: list[str]
     vocabulary: np.ndarray
     idf: np.ndarray
-    unseen: float
     #: weight of each word in each template, scaled to length 1
     templates: np.ndarray
 
     @staticmethod
-    def of(templates: tuple[tuple[str, str], ...], counts: dict[int, int]) -> Matcher:
-        vocabulary, n = _vocabulary(templates), counts.get(-1, 0)
-        idf = np.array([math.log((n + 1) / (counts.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))])
+    def of(templates: tuple[tuple[str, str], ...], counts: dict[int, int], n: int) -> Matcher:
+        vocabulary = _vocabulary(templates)
+        idf = np.array([math.log((n + 1) / (counts.get(x, 0) + 1)) + 1 for x in vocabulary.view(np.int64).tolist()])
         table = np.zeros((len(vocabulary), len(templates)))
         for j, (_, text) in enumerate(templates):
             hashes, _ = words(*arrays.text_bytes(pa.array([text])))
             np.add.at(table[:, j], np.searchsorted(vocabulary, hashes), 1)
         table *= idf[:, None]
-        return Matcher([x for x, _ in templates], vocabulary, idf, math.log(n + 1) + 1, table / np.linalg.norm(table, axis=0))
+        return Matcher([x for x, _ in templates], vocabulary, idf, table / np.linalg.norm(table, axis=0))
+
+    def candidates(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float, float, np.ndarray, np.ndarray]]:
+        """``(unit, template, product, square of the length by known words, other words, their times)`` of units that may be like enough.
 
-    def best(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
-        """``(row, template, cosine)`` of each row that is like enough to some template."""
-        hashes, bounds = words(raw, offsets)
+        Unit u is the words from ``starts[u]`` to ``ends[u]``.
+        """
         if not len(hashes):
-            return []
+            return
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == hashes
-        idf = np.where(known, self.idf[at], self.unseen)
-        # the length of a row's vector is at least that of one with every word counted once a time
-        length = np.sqrt(np.maximum(arrays.row_sums(idf**2, bounds), 1e-12))
-        most = arrays.row_sums(np.where(known, self.idf[at] * self.templates[at].max(axis=1), 0.0), bounds)
-        out = []
-        for row in np.flatnonzero(most >= THRESHOLD * length - 1e-9).tolist():
-            a, b = bounds[row], bounds[row + 1]
-            if a == b:
-                continue
-            own, times = np.unique(hashes[a:b], return_counts=True)
+        upto = lambda x: np.append(0.0, np.cumsum(x))
+        # a unit's vector is at least as long as with every word counted once a time and weight 1 for those in no template
+        square, most = upto(np.where(known, self.idf[at] ** 2, 1.0)), upto(np.where(known, self.idf[at] * self.templates[at].max(axis=1), 0.0))
+        near = most[ends] - most[starts] >= THRESHOLD * np.sqrt(np.maximum(square[ends] - square[starts], 0)) - 1e-6
+        for unit in np.flatnonzero(near & (ends > starts)).tolist():
+            own, times = np.unique(hashes[starts[unit] : ends[unit]], return_counts=True)
             place = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
             hit = self.vocabulary[place] == own
-            vector = times * np.where(hit, self.idf[place], self.unseen)
-            scores = (vector[hit, None] * self.templates[place[hit]]).sum(axis=0) / np.linalg.norm(vector)
-            j = int(scores.argmax())
-            if scores[j] >= THRESHOLD:
-                out.append((row, j, float(scores[j])))
-        return out
+            vector = times[hit] * self.idf[place[hit]]
+            products = (vector[:, None] * self.templates[place[hit]]).sum(axis=0)
+            j, square_known = int(products.argmax()), float((vector**2).sum())
+            if products[j] >= THRESHOLD * math.sqrt(square_known + float((times[~hit] ** 2).sum())) - 1e-9:
+                yield unit, j, float(products[j]), square_known, own[~hit], times[~hit]
 
 
 def _lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,31 +154,48 @@ def _lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", path: str = "path", key: str = "doc_id") -> DataFrame:
     """``key, path, is_licence_file, licence, score`` of every file, by its own text; licence null if none is like enough."""
     spark = files.sparkSession
-    vocabulary = _vocabulary(templates)
-    counted = files.select(F.col(text).alias("text")).mapInArrow(_document_frequency(vocabulary), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    matcher = spark.sparkContext.broadcast(Matcher.of(templates, {r["word"]: r["n"] for r in counted.collect()}))  # as many rows as the templates have words
+    counts = files.select(F.col(text).alias("text")).mapInArrow(_document_frequency, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts, n = written(counts, "licences-words"), files.count()
+    of_templates = counts.where(F.col("word").isin(_vocabulary(templates).view(np.int64).tolist())).collect()  # as many rows as the templates have words
+    matcher = spark.sparkContext.broadcast(Matcher.of(templates, {r["word"]: r["n"] for r in of_templates}, n))
+    near = pa.list_(pa.struct([("template", pa.int32()), ("product", pa.float64()), ("square", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher.value
+        m, serial = matcher.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            whole = batch.column(3).to_numpy(zero_copy_only=False)
+            whole = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
             for first, last, raw, offsets in arrays.pieces(batch.column(2)):
-                n = last - first
-                found, score = np.full(n, -1), np.zeros(n)
-                line_offsets, row_of = _lines_of(raw, offsets)
-                units = [(row_of[u], j, s) for u, j, s in m.best(raw, line_offsets)]
-                units += [(row, j, s) for row, j, s in m.best(raw, offsets) if whole[first + row]]
-                for row, j, s in units:
-                    if s > score[row]:
-                        found[row], score[row] = j, s
-                licence = pa.array([m.names[j] if j >= 0 else None for j in found], pa.string())
-                yield pa.record_batch([*(batch.column(c).slice(first, n) for c in (0, 1, 3)), licence, pa.array(score)], ["key", "path", "is_licence_file", "licence", "score"])
+                rows = last - first
+                cuts, row_of = _lines_of(raw, offsets)
+                hashes, bounds = words(raw, cuts)
+                found: list[list[dict]] = [[] for _ in range(rows)]
+                units = [(bounds[: len(row_of) + 1 - k], bounds[k:], row_of[: len(row_of) + 1 - k], row_of[k - 1 :]) for k in WINDOWS if k <= len(row_of)]
+                units = [(a[x == y], b[x == y], x[x == y]) for a, b, x, y in units]
+                ends = np.searchsorted(row_of, np.arange(rows + 1))
+                files_ = np.flatnonzero(whole[first:last])
+                units.append((bounds[ends[files_]], bounds[ends[files_ + 1]], files_))
+                for a, b, row in units:
+                    for unit, j, product, square, others, times in m.candidates(hashes, a, b):
+                        found[row[unit]].append({"template": j, "product": product, "square": square, "words": others.view(np.int64), "times": times})
+                own = [batch.column(c).slice(first, rows) for c in (0, 1, 3)]
+                yield pa.record_batch([pa.array(serial + np.arange(rows)), *own, pa.array(found, near)], ["row", "key", "path", "is_licence_file", "near"])
+                serial += rows
 
     kind = files.select(F.col(key)).schema[0].dataType.simpleString()
     named = F.coalesce(F.col(path).rlike(LICENCE_FILE), F.lit(False))
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"), named.alias("is_licence_file"))
-    out = rows.mapInArrow(task, f"key {kind}, path string, is_licence_file boolean, licence string, score double")
-    return out.withColumnRenamed("key", key)
+    schema = f"row bigint, key {kind}, path string, is_licence_file boolean, near array<struct<template int, product double, square double, words array<bigint>, times array<bigint>>>"
+    rows = written(rows.mapInArrow(task, schema), "licences-near")
+    units = rows.select("row", F.posexplode("near").alias("unit", "u")).select("row", "unit", "u.*")
+    others = units.select("row", "unit", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "unit", F.col("w.words").alias("word"), "w.times")
+    idf = F.log((F.lit(float(n)) + 1) / (F.col("n") + 1)) + 1
+    lengths = others.join(counts, "word").groupBy("row", "unit").agg(F.sum((F.col("times") * idf) ** 2).alias("more"))
+    score = F.col("product") / F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
+    scored = units.drop("words", "times").join(lengths, ["row", "unit"], "left").withColumn("score", F.round(score, 9)).where(F.col("score") >= THRESHOLD)
+    best = scored.groupBy("row").agg(F.max(F.struct("score", (-F.col("template")).alias("before"))).alias("best"))
+    licence = F.element_at(F.array(*(F.lit(x) for x, _ in templates)), 1 - F.col("best.before"))
+    out = rows.drop("near").join(best, "row", "left")
+    return out.select(F.col("key").alias(key), "path", "is_licence_file", F.when(F.col("best").isNotNull(), licence).alias("licence"), F.coalesce("best.score", F.lit(0.0)).alias("score"))
 
 
 def directory(path: Column) -> Column:

@@ -1,4 +1,8 @@
+import collections
+import math
 import random
+import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -170,3 +174,44 @@ def test_licences(spark, awkward, nothing):
     }
     assert licenses.licensed(nothing.selectExpr("doc_id", "text", "source AS path")).count() == 0
     assert licenses.licensed(awkward.selectExpr("doc_id", "text", "source AS path")).count() == awkward.count()
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    """Every template wrapped as a comment inside other text is found, and so is a changed copy as a licence file; plain text isn't."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i, (name, text) in enumerate(licenses.TEMPLATES):
+        lines = ["# " + x for x in textwrap.wrap(text, 72)]
+        before, after = ([" ".join(sentence(rng, 12)) for _ in range(30)] for _ in range(2))
+        rows.append((i, f"d{i}/x.py", "\n".join([*before, *lines, *after])))
+        changed = text.split()
+        for _ in range(len(changed) // 20):
+            changed[rng.randrange(len(changed))] = f"w{rng.randrange(4000)}"
+        rows.append((100 + i, f"d{i}/LICENSE", "Copyright 2020 Some One\n" + " ".join(changed)))
+        want[i] = want[100 + i] = name
+    rows += [(200 + i, "e/y.py", "we hold that the use of this software is without limitation\n" + " ".join(sentence(rng, 80))) for i in range(20)]
+    got = {r.doc_id: r for r in licenses.licensed(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert {k: got[k].licence for k in want} == want
+    assert {got[k].how for k in want if k < 100} == {"header"} and all(got[200 + i].licence is None for i in range(20))
+
+
+def test_own_licences_against_plain_python(spark):
+    """The best cosine of any window, with document frequencies of all words, computed plainly."""
+    rng = random.Random(12)
+    pool = "licensed under the mit license apache version 2 0 cc by nc 4 released this work is we use it".split()
+    rows = [(i, "\n".join(" ".join(rng.choices(pool, k=rng.randint(1, 6))) for _ in range(rng.randint(0, 5)))) for i in range(200)]
+    texts = [t.split("\n") for _, t in rows]
+    n = len(texts)
+    df = collections.Counter(w for t in texts for w in {w for line in t for w in line.split()})
+    split = lambda t: re.findall("[a-z0-9]+", t.lower())
+    vector = lambda ws: {w: c * (math.log((n + 1) / (df[w] + 1)) + 1) for w, c in collections.Counter(ws).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [vector(split(t)) for _, t in licenses.TEMPLATES]
+    want = {}
+    for (d, _), lines in zip(rows, texts, strict=True):
+        units = [split(" ".join(lines[a : a + k])) for k in licenses.WINDOWS for a in range(len(lines) - k + 1)]
+        scores = [sum(x * t.get(w, 0) for w, x in v.items()) / size(v) / size(t) for v in map(vector, filter(None, units)) for t in templates]
+        want[d] = max([x for x in scores if x >= licenses.THRESHOLD], default=0.0)
+    df_ = spark.createDataFrame([(d, None, t) for d, t in rows], "doc_id bigint, path string, text string").repartition(3)
+    got = {r.doc_id: r.score for r in licenses.own_licences(df_).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want) and sum(x > 0 for x in want.values()) > 10
