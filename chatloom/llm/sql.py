@@ -117,3 +117,41 @@ FROM p JOIN s USING (anchor_id) WHERE NOT s.alike AND 50 * positive_score <= 100
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
 QUALIFY rank <= 3
 """
+
+op12_prefix_trie = r"""
+WITH own AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS dg, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, max(place) AS n, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, c:
+           list_reduce(list_prepend(xor(a, c), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 4 AS h
+  FROM own GROUP BY conv_id
+), openings AS (
+  SELECT c.conv_id, o.place AS depth, o.dg, o.words FROM convs c JOIN own o ON o.conv_id = c.base AND o.place <= c.h
+), befores AS (SELECT conv_id, count(*) AS before FROM openings GROUP BY conv_id),
+seqs AS (
+  SELECT * FROM openings
+  UNION ALL
+  SELECT o.conv_id, coalesce(b.before, 0) + o.place - c.h, o.dg, o.words FROM own o JOIN convs c USING (conv_id) LEFT JOIN befores b USING (conv_id) WHERE o.place > c.h
+), keyed AS (
+  SELECT conv_id, depth, words, string_agg(dg, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS k FROM seqs
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), paths AS (
+  SELECT conv_id, depth, words, min(conv_id) OVER (PARTITION BY depth, k) AS node, max(depth) OVER (PARTITION BY conv_id) AS length FROM keyed
+), above AS (
+  SELECT p.*, q.node AS parent FROM paths p LEFT JOIN paths q ON q.conv_id = p.conv_id AND q.depth = p.depth - 1
+), nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * max(words) AS tokens,
+         sha256(coalesce(string_agg(CASE WHEN depth = length THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM above GROUP BY node, depth
+), children AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+filled AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (node, depth)),
+totals AS (
+  SELECT p.node, p.depth, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(v.tokens) AS saved_tokens
+  FROM filled v JOIN paths p ON p.conv_id = v.node AND p.depth <= v.depth GROUP BY 1, 2
+)
+SELECT node AS conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM filled JOIN totals USING (node, depth)
+"""
