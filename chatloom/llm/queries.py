@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontamination, hard_negatives, language, licenses, line_dedup, lm_scores, mixing, ngram_join, prefix_trie, quality, sharding, token_counts
+from chatloom.llm import chat_format, decontamination, hard_negatives, language, licenses, line_dedup, lm_scores, mixing, ngram_join, prefix_trie, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +76,12 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says what the template's own marks say."""
+    kind = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], kind.schema)
+    template = chat_format.Instruct()
+    return chat_format.read_back(chat_format.formatted(kind.union(added), template), template)

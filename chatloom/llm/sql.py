@@ -155,3 +155,20 @@ totals AS (
 SELECT node AS conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
 FROM filled JOIN totals USING (node, depth)
 """
+
+op11_chat_format = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)
+), sized AS (
+  SELECT *, sha256(length(role) || ':' || role || text) AS dg,
+         length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]|\[/?ROLE\]|\[TEXT\]')) AS body,
+         length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]|\[/?ROLE\]|\[TEXT\]')) AS name
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, dg)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, dg) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(body + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 7 ELSE 22 + name END) AS BIGINT) AS formatted_chars, CAST(NULL AS BIGINT) AS rewritten_at
+FROM sized GROUP BY conv_id
+"""
