@@ -16,7 +16,7 @@ def cleaned(phone: Column) -> Column:
 def problem(phone: Column) -> Column:
     """The first thing wrong with a number, else null."""
     bare = cleaned(phone)
-    digits = F.substring(bare, 2, 1000)
+    digits = F.substr(bare, F.lit(2))
     return (
         F.when(F.coalesce(F.trim(phone), F.lit("")) == "", "empty_input").when(bare == "", "empty_after_strip").when(~bare.startswith("+"), "missing_plus_prefix")
         .when(digits == "", "no_digits").when(~digits.rlike("^[0-9]+$"), "contains_non_digits").when(F.length(digits) < SHORTEST, "too_short").when(F.length(digits) > LONGEST, "too_long")
@@ -30,7 +30,7 @@ def normalized(phone: Column) -> Column:
 
 def masked(number: Column) -> Column:
     """A normal number with only its country code and last four digits; none of the rest if that is six digits or fewer."""
-    digits = F.substring(number, 2, 1000)
+    digits = F.substr(number, F.lit(2))
     code = F.when((F.length(digits) == 11) & digits.startswith("1"), 1).otherwise(2)
     rest = F.length(digits) - code
     shown = F.concat(F.lit("+"), digits.substr(F.lit(1), code), F.lit(" ******"))

@@ -207,15 +207,20 @@ def no_strong_match(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_hits"), F.coalesce("low", F.lit(True)).alias("no_strong_match"))
 
 
+def _whole(vector: str) -> Column:
+    """There is a vector and none of its components is null."""
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+
+
 def knn_by_matrix(chunks: DataFrame, queries: DataFrame, k: int = 5, most: int = MOST_QUERIES) -> DataFrame:
-    """Cosine top-k within each query's owner by one matrix product a batch, for long vectors.
+    """Cosine top-k within each query's owner by one matrix product a batch, for long vectors; rows and queries without a whole vector take no part.
 
     Each task keeps its own k best rows a query, so the shuffle carries k rows a query and task.
     """
     schema = "query_id bigint, vector_id string, distance double"
     out = None
     for some in _slices(queries, most):
-        rows = some.select("query_id", "owner_id", "query_vector").toPandas()  # a slice, which has a bound
+        rows = some.where(_whole("query_vector")).select("query_id", "owner_id", "query_vector").toPandas()  # a slice, which has a bound
         if not len(rows):
             continue
         matrix = np.stack(rows["query_vector"].to_numpy()).astype(np.float64)
@@ -240,7 +245,7 @@ def knn_by_matrix(chunks: DataFrame, queries: DataFrame, k: int = 5, most: int =
             if best is not None:
                 yield best
 
-        part = chunks.where(not_deleted()).select("vector_id", "owner_id", "embedding").mapInPandas(task, schema)
+        part = chunks.where(not_deleted() & _whole("embedding")).select("vector_id", "owner_id", "embedding").mapInPandas(task, schema)
         out = part if out is None else out.union(part)
     if out is None:
         return chunks.sparkSession.createDataFrame([], "query_id bigint, vector_id string, similarity double, rank int")
@@ -265,12 +270,17 @@ def lsh_buckets(rows: DataFrame, vector: str, dim: int, tables: int, bits: int,
 
 
 def knn_lsh(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, tables: int = 48, bits: int = 5, seed: int = 7) -> DataFrame:
-    """Approximate cosine top-k: candidates share a bucket of ``lsh_buckets`` and the owner with the query, then exact ranking."""
+    """Approximate cosine top-k: candidates share a bucket of ``lsh_buckets`` and the owner with the query, then exact ranking.
+
+    Candidates are ids; vectors are joined to the distinct ones. ``vector_index`` tries far fewer of them.
+    """
+    chunks, queries = chunks.where(_whole("embedding")), queries.where(_whole("query_vector"))
     c = lsh_buckets(chunks.where(not_deleted()).select("vector_id", "owner_id", "embedding"), "embedding", dim, tables, bits, seed)
-    c = c.select("vector_id", "owner_id", "embedding", F.explode("buckets").alias("bucket"))
+    c = c.select("vector_id", "owner_id", F.explode("buckets").alias("bucket"))
     q = lsh_buckets(queries.select("query_id", F.col("owner_id").alias("q_owner"), "query_vector"), "query_vector", dim, tables, bits, seed)
-    q = q.select("query_id", "q_owner", "query_vector", F.explode("buckets").alias("q_bucket"))
-    met = c.join(q, (F.col("bucket") == F.col("q_bucket")) & (F.col("owner_id") == F.col("q_owner"))).select("query_id", "vector_id", "embedding", "query_vector").dropDuplicates(["query_id", "vector_id"])
+    q = q.select("query_id", "q_owner", F.explode("buckets").alias("q_bucket"))
+    met = c.join(q, (F.col("bucket") == F.col("q_bucket")) & (F.col("owner_id") == F.col("q_owner"))).select("query_id", "vector_id").distinct()
+    met = met.join(chunks.select("vector_id", "embedding"), "vector_id").join(queries.select("query_id", "query_vector"), "query_id")
     met = met.withColumn("similarity", F.round(similarity(distance(F.col("embedding"), F.col("query_vector"), "cosine"), "cosine"), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
     return met.select("query_id", "vector_id", "similarity", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatloom.operators import embed, rag, search, snippet
+from chatloom.operators import embed, rag, search, snippet, vector_index
 from chatloom.plans.sql_tables import with_tables
+from chatloom.scratch import new_folder
 from chatloom.sources import tables
 
 SYSTEM = "Answer from the context only."
@@ -53,6 +54,12 @@ def knn_lsh(spark, sf_dir):
     return search.knn_lsh(tables.chunks(spark, sf_dir), tables.query_vectors(spark, sf_dir))
 
 
+def knn_ivf(spark, sf_dir):
+    """All queries against the inverted-file index, whose quantisers are fitted and whose rows are written first."""
+    index = vector_index.build(tables.chunks(spark, sf_dir), new_folder(spark, "vector-index"))
+    return vector_index.search(index, tables.query_vectors(spark, sf_dir).select(*_PLAIN))
+
+
 def metadata_filter(spark, sf_dir):
     keep = search.metadata_filter({"token_count": {"$gte": 100}, "chunk_index": {"$lt": 3}, "contains_images": False, "message_count": {"$ne": 2}})
     return tables.chunks(spark, sf_dir).where(keep).select("vector_id", "token_count", "chunk_index", "message_count")
@@ -153,7 +160,7 @@ def retrieval_report(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    knn_cosine_topk, knn_l2, knn_ip, scoped_knn, time_window_knn, time_postfilter_knn, knn_matrix, knn_lsh, metadata_filter, visible_chunks, ownership_reason,
+    knn_cosine_topk, knn_l2, knn_ip, scoped_knn, time_window_knn, time_postfilter_knn, knn_matrix, knn_lsh, knn_ivf, metadata_filter, visible_chunks, ownership_reason,
     request_errors, no_strong_match, chat_sources, citations, context_budget, confidence, prompt_rows, answer_bundle, question_search, question_sources, retrieval_report)}
 
 _IN_TIME = "(q.time_from IS NULL OR c.ts >= q.time_from) AND (q.time_to IS NULL OR c.ts <= q.time_to)"

@@ -16,13 +16,14 @@ EVENT = (
     .add("forwarded_from", "string").add("is_edited", "boolean").add("is_deleted", "boolean")
 )
 
-#: Columns of a stored vector that a filter may name, with their kinds.
+#: Columns of a stored vector that a filter may name, with their kinds.
 FILTER_FIELDS = {
     "source_chat": "string", "start_timestamp": "string", "end_timestamp": "string", "chunk_index": "number", "message_count": "number",
     "token_count": "number", "attachment_count": "number", "contains_images": "boolean", "contains_audio": "boolean",
     "contains_video": "boolean", "contains_documents": "boolean",
 }
 
+#: All content types.
 CONTENT_TYPES = ("text", "link", "pdf", "docx", "pptx", "image", "voice", "video", "sticker", "document", "system")
 
 #: What the message types of an event stand for.
@@ -42,3 +43,37 @@ MIME_TYPES = {
     "image/jpeg": "image", "image/png": "image", "image/gif": "image", "image/webp": "image", "video/mp4": "video", "video/webm": "video",
     "audio/ogg": "voice", "audio/mpeg": "voice", "audio/mp4": "voice",
 }
+
+#: The operational tables: columns and key. Ids are strings, and a table's key is what makes a row unique in it.
+OPERATIONAL = {
+    "accounts": (
+        "owner_id string, account_id string, display_name string, username string, phone string, authorization_status string, session_status string, is_active boolean, "
+        "connected_at timestamp, last_active_at timestamp, created_at timestamp, updated_at timestamp",
+        ("owner_id", "account_id"),
+    ),
+    "chats": (
+        "owner_id string, account_id string, chat_id string, title string, chat_type string, indexing_enabled boolean, enabled_at timestamp, last_processed_message_id string, is_deleted boolean, "
+        "created_at timestamp, updated_at timestamp",
+        ("account_id", "chat_id"),
+    ),
+    "messages": (
+        "account_id string, chat_id string, message_id string, current_version bigint, is_edited boolean, is_deleted boolean, is_known boolean, n_applied bigint, latest_ts timestamp, latest_update_id string, "
+        "last_update_id string, took_at bigint, n_updates bigint",
+        ("account_id", "chat_id", "message_id"),
+    ),
+    "attachments": (
+        "account_id string, chat_id string, message_id string, file_id string, filename string, mime_type string, file_size bigint, checksum string, download_status string, processing_status string, is_deleted boolean",
+        ("account_id", "chat_id", "message_id", "file_id"),
+    ),
+    "message_chunks": (
+        "owner_id string, account_id string, chat_id string, message_id string, vector_id string, content_part string, chunk_index int, page_number int, slide_number int, text string, embedding array<float>, "
+        "message_version bigint, is_active boolean",
+        ("vector_id",),
+    ),
+    "processing_states": (
+        "idempotency_key string, account_id string, chat_id string, message_id string, operation_type string, status string, attempt_count int, last_error_code string, started_at timestamp, completed_at timestamp",
+        ("idempotency_key",),
+    ),
+    "deletion_tombstones": ("account_id string, chat_id string, message_id string, deleted_at timestamp", ("account_id", "chat_id", "message_id")),
+    "checkpoints": ("account_id string, last_message_id string, last_ts timestamp, last_arrival bigint", ("account_id",)),
+}
