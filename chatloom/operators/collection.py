@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.schemas import METADATA
+
 INSERT_BATCH = 100
 OWNER_BUCKETS = 64
 
@@ -173,6 +175,36 @@ def flat_metadata(rows: DataFrame) -> DataFrame:
     )
 
 
+def vector_metadata(rows: DataFrame, key: str = "vector_id") -> DataFrame:
+    """``key, metadata``: all fields of ``schemas.METADATA`` and whatever ``extra`` has, as one map of typed scalars (VARIANT).
+
+    Fields that ``rows`` lacks, or has as null, get their kind's default; ``timestamp`` comes from ``ts`` if there is no such column and is an ISO text;
+    ``source_chat`` falls back on the chat's title and its id. ``extra`` (a map to VARIANT) goes on top: a key that a field has too
+    takes the field's place, with a type of its own; null values of it are left out. Owner and source are checked by ``mandatory_split``.
+    """
+    have = set(rows.columns)
+    zero = {"string": F.lit(""), "bigint": F.lit(0).cast("bigint"), "boolean": F.lit(False)}
+
+    def field(name: str, kind: str) -> Column:
+        if name == "source_chat":
+            options = [F.nullif(F.col(c), F.lit("")) for c in ("source_chat", "conversation_title", "conversation_id") if c in have]
+            return F.coalesce(*options, zero[kind])
+        if name == "timestamp" and "timestamp" not in have and "ts" in have:
+            return F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), zero[kind])
+        return F.coalesce(F.col(name).cast(kind), zero[kind]) if name in have else zero[kind]
+
+    fields = F.create_map(*(x for name, kind in METADATA.items() for x in (F.lit(name), field(name, kind).cast("variant"))))
+    if "extra" not in have:
+        return rows.select(key, fields.alias("metadata"))
+    extra = F.map_filter(F.coalesce("extra", F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, v: v.isNotNull() & ~F.is_variant_null(v))
+    return rows.select(key, F.map_concat(F.map_filter(fields, lambda k, v: ~F.map_contains_key(extra, k)), extra).alias("metadata"))
+
+
+def typed(metadata: Column, field: str) -> Column:
+    """A field of ``vector_metadata`` by its own kind; null where ``extra`` put something there that has no such value."""
+    return F.try_variant_get(F.element_at(metadata, field), "$", METADATA[field])
+
+
 def mandatory_split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(valid, quarantine)``: rows need an owner and a source."""
     ok = (F.coalesce(F.trim("owner_id"), F.lit("")) != "") & (F.coalesce(F.trim("source"), F.lit("")) != "")

@@ -81,7 +81,7 @@ def normalize(events: DataFrame) -> DataFrame:
         *(["owner_id"] if "owner_id" in events.columns else []), F.lit(CHAT_SOURCE).alias("source"), F.col("account_id").alias("source_account_id"), F.col("chat_id").alias("conversation_id"),
         F.col("part.source_message_id").alias("source_message_id"), blank_to_null(F.col("sender_id")).alias("sender_id"), blank_to_null(F.col("sender_name")).alias("sender_name"),
         F.col("part.content_type").alias("content_type"), F.col("part.text").alias("text"), parse_time(F.col("timestamp")).alias("ts"), F.col("part.attachment").alias("attachment"),
-        F.coalesce("is_edited", F.lit(False)).alias("is_edited"), deleted.alias("is_deleted"), event_kind(F.col("is_deleted"), F.col("is_edited")).alias("kind"),
+        *([parse_time(F.col("edited_at")).alias("edited_at")] if "edited_at" in events.columns else []), F.coalesce("is_edited", F.lit(False)).alias("is_edited"), deleted.alias("is_deleted"), event_kind(F.col("is_deleted"), F.col("is_edited")).alias("kind"),
     ).withColumns({
         "stable_id": stable_id(),
         "has_text": F.coalesce(F.trim("text"), F.lit("")) != "",

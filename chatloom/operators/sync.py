@@ -12,7 +12,7 @@ MESSAGE = ("account_id", "chat_id", "message_id")
 STUCK_MINUTES = 15
 
 
-def classify_updates(updates: DataFrame) -> DataFrame:
+def classify_updates(updates: DataFrame, state: DataFrame | None = None, completed: DataFrame | None = None) -> DataFrame:
     """``updates`` in arrival order with ``status`` and ``version``; all updates of all messages at once.
 
     Needs account_id, chat_id, message_id, kind, edit_ts, update_id, arrival; optional ``reconstructible`` (an edit whose
@@ -24,7 +24,9 @@ def classify_updates(updates: DataFrame) -> DataFrame:
       completed; ``stale`` if a live edit with a later time, or the same time and a greater update id, came before;
       ``upsert`` if the message is unknown; else ``apply``, with the next version.
 
-    Two windows over the rows of a message and one over those of a message's key; all are partitioned by message.
+    ``state`` (``state_after`` of earlier updates, one row a message) and ``completed`` (idempotency_key of edits that took their turn)
+    stand for all that arrived before; without them there was nothing. Two windows over the rows of a message and one
+    over those of a message's key; all are partitioned by message.
     """
     if "reconstructible" not in updates.columns:
         updates = updates.withColumn("reconstructible", F.lit(True))
@@ -32,20 +34,29 @@ def classify_updates(updates: DataFrame) -> DataFrame:
     earlier = by_message.rowsBetween(Window.unboundedPreceding, -1)
     edit = F.col("kind") == "edit"
     u = updates.withColumn("key", idempotency_key(F.col("kind"), *map(F.col, MESSAGE), F.col("update_id"), F.col("edit_ts")))
+    if state is None:
+        u = u.withColumns({"was_deleted": F.lit(False), "was_known": F.lit(False), "was_latest": F.lit(None).cast("struct<ts: timestamp, uid: string>"), "was_applied": F.lit(0).cast("bigint")})
+    else:
+        before = state.select(*MESSAGE, F.col("is_deleted").alias("was_deleted"), F.col("is_known").alias("was_known"), F.when(F.col("latest_ts").isNotNull(), F.struct(F.col("latest_ts").alias("ts"), F.col("latest_update_id").alias("uid"))).alias("was_latest"), F.col("n_applied").alias("was_applied"))
+        u = u.join(before, list(MESSAGE), "left").withColumns({"was_deleted": F.coalesce("was_deleted", F.lit(False)), "was_known": F.coalesce("was_known", F.lit(False)), "was_applied": F.coalesce("was_applied", F.lit(0).cast("bigint"))})
+    if completed is None:
+        u = u.withColumn("was_completed", F.lit(False))
+    else:
+        u = u.join(completed.select(F.col("idempotency_key").alias("key")).distinct().withColumn("was_completed", F.lit(True)), "key", "left").withColumn("was_completed", F.coalesce("was_completed", F.lit(False)))
 
     def any_earlier(test: Column) -> Column:
         return F.coalesce(F.max(F.when(test, True).otherwise(False)).over(earlier), F.lit(False))
 
-    u = u.withColumns({"tomb": any_earlier(F.col("kind") == "delete"), "exists": any_earlier((F.col("kind") == "new") | (edit & F.col("reconstructible")))})
+    u = u.withColumns({"tomb": F.col("was_deleted") | any_earlier(F.col("kind") == "delete"), "exists": F.col("was_known") | any_earlier((F.col("kind") == "new") | (edit & F.col("reconstructible")))})
     u = u.withColumn("live", edit & ~F.col("tomb") & (F.col("exists") | F.col("reconstructible")))
-    mark = F.struct(F.col("edit_ts").alias("ts"), F.coalesce("update_id", F.lit("")).alias("uid"))
-    latest = F.max(F.when(F.col("live") & F.col("edit_ts").isNotNull(), mark)).over(earlier)
+    mark = F.struct(F.col("edit_ts").cast("timestamp").alias("ts"), F.coalesce("update_id", F.lit("")).alias("uid"))
+    latest = F.greatest(F.max(F.when(F.col("live") & F.col("edit_ts").isNotNull(), mark)).over(earlier), F.col("was_latest"))
     u = u.withColumn("latest", latest)
     same_time = (F.col("edit_ts") == F.col("latest.ts")) & F.col("update_id").isNotNull() & (F.col("latest.uid") != "") & (F.col("update_id") < F.col("latest.uid"))
     u = u.withColumn("late", F.col("live") & F.coalesce((F.col("edit_ts") < F.col("latest.ts")) | same_time, F.lit(False)))
     of_key = Window.partitionBy(*MESSAGE, "key", "live").orderBy("arrival", "update_id")
     first_late = F.first("late").over(of_key)
-    u = u.withColumn("duplicate", F.col("live") & (F.row_number().over(of_key) > 1) & ~first_late)
+    u = u.withColumn("duplicate", F.col("live") & (F.col("was_completed") | (F.row_number().over(of_key) > 1) & ~first_late))
     status = (
         F.when(F.col("kind") == "delete", F.when(F.col("tomb"), "skipped").when(~F.col("exists"), "not_found").otherwise("ok"))
         .when(F.col("kind") == "new", F.when(F.col("tomb"), "blocked").when(F.col("exists"), "ignore").otherwise("created"))
@@ -53,9 +64,35 @@ def classify_updates(updates: DataFrame) -> DataFrame:
         .when(F.col("duplicate"), "duplicate").when(F.col("late"), "stale").when(~F.col("exists"), "upsert").otherwise("apply")
     )
     u = u.withColumn("status", status)
-    applied = F.sum(F.when(F.col("status") == "apply", 1).otherwise(0)).over(by_message.rowsBetween(Window.unboundedPreceding, 0))
+    applied = F.col("was_applied") + F.sum(F.when(F.col("status") == "apply", 1).otherwise(0)).over(by_message.rowsBetween(Window.unboundedPreceding, 0))
     version = F.when(F.col("status").isin("apply", "upsert", "created"), applied + 1)
-    return u.withColumn("version", version).drop("tomb", "exists", "live", "latest", "late", "duplicate", "reconstructible")
+    return u.withColumn("version", version).drop("tomb", "exists", "live", "latest", "late", "duplicate", "reconstructible", "was_deleted", "was_known", "was_latest", "was_applied", "was_completed")
+
+
+def state_after(classified: DataFrame, state: DataFrame) -> DataFrame:
+    """The state of each message after ``classified`` updates, one row a message, of bounded size: what ``classify_updates`` has to know of them.
+
+    Messages without updates keep their row. ``state``: the columns of the operational table "messages".
+    """
+    took = F.col("status").isin("created", "upsert", "apply")
+    # live edits are those that got as far as being compared with the latest one
+    live = (F.col("kind") == "edit") & F.col("status").isin("duplicate", "stale", "upsert", "apply")
+    mark = F.struct(F.col("edit_ts").cast("timestamp").alias("ts"), F.coalesce("update_id", F.lit("")).alias("uid"))
+    new = classified.groupBy(*MESSAGE).agg(
+        F.max("version").alias("n_version"), F.bool_or((F.col("kind") == "edit") & took).alias("n_edited"), F.bool_or(F.col("kind") == "delete").alias("n_deleted"),
+        F.bool_or((F.col("kind") == "new") | ((F.col("kind") == "edit") & (F.col("status") != "failed"))).alias("n_known"), F.count_if(F.col("status") == "apply").alias("n_apply"),
+        F.max(F.when(live & F.col("edit_ts").isNotNull(), mark)).alias("n_latest"), F.max_by("update_id", F.when(took, F.col("arrival"))).alias("n_last"), F.max(F.when(took, F.col("arrival"))).alias("n_took"), F.count(F.lit(1)).alias("n_rows"),
+    )
+    met = state.join(new, list(MESSAGE), "full_outer")
+    either = lambda a, b: F.coalesce(F.col(a), F.lit(False)) | F.coalesce(F.col(b), F.lit(False))
+    latest = F.greatest(F.when(F.col("latest_ts").isNotNull(), F.struct(F.col("latest_ts").alias("ts"), F.col("latest_update_id").alias("uid"))), F.col("n_latest"))
+    zero = F.lit(0).cast("bigint")
+    newer = F.col("n_took").isNotNull() & (F.col("took_at").isNull() | (F.col("n_took") >= F.col("took_at")))
+    return met.select(
+        *MESSAGE, F.greatest("current_version", "n_version").cast("bigint").alias("current_version"), either("is_edited", "n_edited").alias("is_edited"), either("is_deleted", "n_deleted").alias("is_deleted"),
+        either("is_known", "n_known").alias("is_known"), (F.coalesce("n_applied", zero) + F.coalesce("n_apply", zero)).alias("n_applied"), latest["ts"].alias("latest_ts"), latest["uid"].alias("latest_update_id"),
+        F.when(newer, F.col("n_last")).otherwise(F.col("last_update_id")).alias("last_update_id"), F.greatest("took_at", "n_took").cast("bigint").alias("took_at"), (F.coalesce("n_updates", zero) + F.coalesce("n_rows", zero)).alias("n_updates"),
+    )
 
 
 def message_state(classified: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from chatloom.operators import policy, state, sync
-from chatloom.plans.q_text import jobs_dir
+from chatloom.operators import embed, policy, state, sync
+from chatloom.plans.q_text import _decisions
 from chatloom.plans.sql_tables import with_tables
-from chatloom.sources import tables
-from chatloom.streaming import jobs
+from chatloom.scratch import new_folder
+from chatloom.scratch import scratch_dir as jobs_dir
+from chatloom.sources import feed, tables
+from chatloom.streaming import jobs, sinks
 from chatloom.streaming.edits import classified_stream
 
 _TS = "yyyy-MM-dd HH:mm:ss"
@@ -130,6 +133,93 @@ def stream_stateful_edits(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("message_id", "arrival", "kind", "update_id", "status", "version")
 
 
+def stream_message_table(spark, sf_dir):
+    """``message_state`` as a stored table, kept by a stream of updates in order of arrival; the writer dies once inside a batch and starts again."""
+    base = new_folder(spark, "message-table")
+    u = tables.updates(spark, sf_dir)
+    _waves(u, f"{base}/in", 3)
+    run = lambda after: jobs.run_to_end(spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), sinks.message_sink(sinks.open_store(spark, f"{base}/store", 16), after), f"{base}/checkpoint")
+    _dying(run, "messages", 2)
+    store = sinks.open_store(spark, f"{base}/store", 16)
+    return store.read("messages").where("current_version IS NOT NULL OR is_deleted").select("message_id", "current_version", "is_edited", "is_deleted", "last_update_id", "n_updates")
+
+
+def stream_update_results(spark, sf_dir):
+    """``edit_classify`` as the log of the same job, over other batches."""
+    base = new_folder(spark, "update-results")
+    u = tables.updates(spark, sf_dir)
+    _waves(u, f"{base}/in", 3)
+    stream = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    store = sinks.open_store(spark, f"{base}/store", 16)
+    jobs.run_to_end(stream, sinks.message_sink(store), f"{base}/checkpoint")
+    return store.read_log("sync_results").select("message_id", "arrival", "kind", "update_id", "status", "version")
+
+
+class Died(Exception):
+    """The writer's end inside a batch."""
+
+
+def _dying(run, table, nth):
+    """Run a job whose writer dies after it wrote ``table`` for the ``nth`` time, then run it to the end."""
+    left = [nth]
+
+    def die(written_table):
+        left[0] -= written_table == table
+        if not left[0]:
+            raise Died(table)
+
+    try:
+        run(die)
+    except StreamingQueryException:
+        pass
+    run(lambda table: None)
+
+
+def _waves(rows, path, n):
+    """Rows by arrival in ``n`` files that a stream takes one after the other."""
+    cuts = [None, *rows.approxQuantile("arrival", [i / n for i in range(1, n)], 0.01), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        some = rows if low is None else rows.where(F.col("arrival") >= low)
+        (some if high is None else some.where(F.col("arrival") < high)).coalesce(1).write.mode("append").parquet(path)
+
+
+def _event_waves(spark, sf_dir):
+    """Events of new messages, then edits of some and deletions of others, then all of the first again."""
+    e, n = tables.events(spark, sf_dir), F.substring_index("message_id", "_", 1).cast("int") * 3 + F.substring_index("message_id", "_", -1).cast("int")
+    first = e.withColumn("edited_at", F.lit(None).cast("string"))
+    later = F.date_format(F.try_to_timestamp("timestamp") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    change = e.withColumns({"is_deleted": n % 9 == 2, "is_edited": n % 9 != 2, "text": F.concat("text", F.lit(" (edited)")), "edited_at": later}).where((n % 4 == 1) | (n % 9 == 2))
+    return [first, change, first]
+
+
+def ingest_chunks(spark, sf_dir):
+    """Chunks that continuous ingest stored of three waves of events; the writer dies inside the second batch and starts again."""
+    base = new_folder(spark, "ingest")
+    for wave in _event_waves(spark, sf_dir):
+        wave.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    accounts, chats = tables.accounts(spark, sf_dir), tables.chats(spark, sf_dir)
+    schema = spark.read.parquet(f"{base}/in").schema
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    model = lambda: embed.hashing_embedder(64)
+    run = lambda after: jobs.run_to_end(stream(), sinks.ingest_sink(sinks.open_store(spark, f"{base}/store", 16), accounts, chats, model, 64, after=after), f"{base}/checkpoint")
+    _dying(run, "message_chunks", 2)
+    found = sinks.open_store(spark, f"{base}/store", 16).read("message_chunks")
+    return found.select("vector_id", "owner_id", "content_part", F.md5("text").alias("text_md5"), "message_version", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("embedding_sum"))
+
+
+def stream_feed_updates(spark, sf_dir):
+    """Updates through the feed source: a third of the records, a stream that takes them and stops, the next third, and so on from its offsets."""
+    base = new_folder(spark, "feed")
+    u = tables.updates(spark, sf_dir).withColumn("edit_ts", F.col("edit_ts").cast("timestamp"))
+    low, high = u.approxQuantile("arrival", [1 / 3, 2 / 3], 0.01)
+    at = F.col("arrival")
+    for part in (at < low, (at >= low) & (at < high), at >= high):
+        feed.append_to_feed(u.where(part), f"{base}/feed", 4, "arrival", ["message_id"])
+        jobs.run_to_end(feed.stream_feed(spark, f"{base}/feed", u.schema), jobs.append_once(f"{base}/out"), f"{base}/checkpoint")
+    found = spark.read.parquet(f"{base}/out")
+    return found.select("message_id", "arrival", "kind", "update_id", F.date_format("edit_ts", _TS).alias("edit_ts"))
+
+
 def operation_log(spark, sf_dir):
     m, n = tables.messages(spark, sf_dir), F.col("conv_id") + F.col("turn")
     key = F.col("message_id").alias("idempotency_key")
@@ -169,7 +259,7 @@ def stream_once(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (
     edit_classify, status_counts, delete_status, message_state, tombstones, replay_protection, replacement_chunks, vector_set_diff, apply_edits, embedding_reuse, reconcile_findings,
-    reconcile_report, checkpoints, account_owner, stream_edit_state, stream_once, stream_stateful_edits, operation_log, chunk_activity, owned_chats, effective_scope)}
+    reconcile_report, checkpoints, account_owner, stream_edit_state, stream_once, stream_stateful_edits, stream_message_table, stream_update_results, stream_feed_updates, ingest_chunks, operation_log, chunk_activity, owned_chats, effective_scope)}
 
 _CLASSIFIED = """s1 AS (SELECT *, kind || ':' || message_id || ':' || update_id AS key, coalesce(bool_or(kind = 'delete') OVER earlier, false) AS tomb, coalesce(bool_or(kind IN ('new', 'edit')) OVER earlier, false) AS known
   FROM updates WINDOW earlier AS (PARTITION BY message_id ORDER BY arrival, update_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -197,13 +287,25 @@ findings AS (
   UNION ALL SELECT 4, subject, 'reconciliation_no_active_chunks' FROM m WHERE is_edited AND NOT is_deleted AND processing_status IN ('processing', 'failed') AND NOT (has_chunk AND active)
   UNION ALL SELECT 5, subject, 'delete_vectors' FROM m WHERE n % 12 = 0 AND has_chunk)"""
 
+_STATE_SQL = _C + """SELECT message_id, max(version) AS current_version, bool_or(kind = 'edit' AND version IS NOT NULL) AS is_edited, bool_or(kind = 'delete') AS is_deleted, max_by(update_id, CASE WHEN version IS NOT NULL THEN arrival END) AS last_update_id, count(*) AS n_updates
+      FROM classified GROUP BY message_id HAVING max(version) IS NOT NULL OR bool_or(kind = 'delete')"""
+#: Of each piece of content that was let in: the text that it ends up with, whether it was there before its edit, and the sum of its embedding.
+_STORED = _decisions("false") + r""",
+pieces AS (SELECT p.*, c.indexing_enabled AND CAST(p.timestamp[1:19] AS TIMESTAMP) >= c.enabled_at AS let_in, CAST(split_part(message_id, '_', 1) AS BIGINT) * 3 + CAST(split_part(message_id, '_', 2) AS BIGINT) AS k FROM parts p JOIN chats c USING (owner_id, account_id, chat_id)),
+fate AS (SELECT *, k % 9 = 2 AND NOT is_deleted AS later_gone, (k % 4 = 1) AND k % 9 <> 2 AS edited FROM pieces WHERE let_in AND NOT is_deleted),
+kept AS (SELECT *, coalesce(body, att_name) AS name, CASE WHEN edited AND NOT att THEN body || ' (edited)' ELSE coalesce(body, att_name) END AS said FROM fate WHERE NOT later_gone),
+bodies AS (SELECT *, trim(said) AS cap, CASE WHEN content_type IN ('voice', 'video') THEN upper(content_type[1]) || content_type[2:] || ' segment 1 content' WHEN content_type = 'pdf' THEN 'PDF page 1 content' WHEN content_type = 'docx' THEN 'DOCX section 1 content' END AS stand_in FROM kept),
+stored AS (SELECT owner_id, content_type, edited AND NOT att AS edited, true AS was, 'telegram:' || account_id || ':' || chat_id || ':' || sid || ':' || CASE WHEN content_type = 'link' THEN 'text' ELSE content_type END || ':0' AS vector_id,
+  CASE WHEN content_type IN ('text', 'link') THEN said WHEN stand_in IS NOT NULL THEN trim(concat_ws(' ', nullif(cap, ''), stand_in)) ELSE cap END AS content FROM bodies),
+words AS (SELECT vector_id, CAST('0x' || md5(w)[1:8] AS BIGINT) % 64 AS d, count(*) AS n FROM (SELECT vector_id, unnest(regexp_extract_all(lower(content), '[^\x20\x09-\x0D]+')) AS w FROM stored) GROUP BY 1, 2),
+sums AS (SELECT vector_id, sum(n) / sqrt(sum(n * n)) AS total FROM words GROUP BY 1)"""
+
 ORACLE_SQL = {
     "edit_classify": _CLASSIFY,
     "stream_edit_state": _CLASSIFY,
     "status_counts": _C + "SELECT CASE kind WHEN 'delete' THEN 'delete_sync' WHEN 'edit' THEN 'edit_sync' ELSE 'ingest' END AS handler, status, count(*) AS n FROM classified GROUP BY 1, 2",
     "delete_status": _C + "SELECT message_id, arrival, status FROM classified WHERE kind = 'delete'",
-    "message_state": _C + """SELECT message_id, max(version) AS current_version, bool_or(kind = 'edit' AND version IS NOT NULL) AS is_edited, bool_or(kind = 'delete') AS is_deleted, max_by(update_id, CASE WHEN version IS NOT NULL THEN arrival END) AS last_update_id, count(*) AS n_updates
-      FROM classified GROUP BY message_id HAVING max(version) IS NOT NULL OR bool_or(kind = 'delete')""",
+    "message_state": _STATE_SQL,
     "tombstones": with_tables("updates") + "SELECT message_id, strftime(min(edit_ts), '%Y-%m-%d %H:%M:%S') AS deleted_at FROM updates WHERE kind = 'delete' GROUP BY message_id",
     "replay_protection": with_tables("updates") + "SELECT message_id, arrival, kind FROM updates WHERE kind <> 'delete' AND message_id NOT IN (SELECT message_id FROM updates WHERE kind = 'delete')",
     "replacement_chunks": with_tables("messages", more=_EDITS) + "SELECT vector_id, kind AS content_part, CAST(chunk_index AS INT) AS chunk_index, md5(content) AS text_md5, CAST(CASE WHEN kind = 'pdf' THEN chunk_index + 1 END AS INT) AS page_number, CAST(CASE WHEN kind = 'pptx' THEN chunk_index + 1 END AS INT) AS slide_number FROM repl2",
@@ -216,6 +318,11 @@ ORACLE_SQL = {
     "checkpoints": with_tables("updates") + "SELECT account_id, arg_max(message_id, printf('%012d', arrival) || update_id) AS last_message_id, strftime(max(edit_ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM updates GROUP BY account_id",
     "account_owner": with_tables("updates", "accounts") + "SELECT u.account_id, coalesce(a.owner_id, 'default') AS owner_id, count(*) AS n FROM updates u LEFT JOIN accounts a ON u.account_id = a.account_id AND a.account_id <> 'acc_3' GROUP BY 1, 2",
     "stream_stateful_edits": _CLASSIFY,
+    "stream_update_results": _CLASSIFY,
+    "stream_message_table": _STATE_SQL,
+    "stream_feed_updates": with_tables("updates") + "SELECT message_id, arrival, kind, update_id, strftime(edit_ts, '%Y-%m-%d %H:%M:%S') AS edit_ts FROM updates",
+    "ingest_chunks": with_tables("raw_events", "chats", more=_STORED) + """SELECT vector_id, owner_id, CASE WHEN content_type = 'link' THEN 'text' ELSE content_type END AS content_part, md5(content) AS text_md5, CAST(CASE WHEN was AND edited THEN 2 ELSE 1 END AS BIGINT) AS message_version, round(coalesce(total, 0), 4) AS embedding_sum
+      FROM stored LEFT JOIN sums USING (vector_id)""",
     "operation_log": with_tables("messages") + """SELECT message_id AS idempotency_key, CASE n % 3 WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'processing' END AS status, CAST(CASE WHEN n % 3 = 2 THEN 2 ELSE 1 END AS INT) AS attempt_count,
       CASE WHEN n % 3 = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS completed_at, CASE WHEN n % 3 = 2 THEN 'write failed' END AS error FROM (SELECT *, conv_id + turn AS n FROM messages)""",
     "chunk_activity": with_tables("chunks") + """SELECT CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN 'active' ELSE 'inactive' END AS state, count(*) AS n FROM chunks GROUP BY 1

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatloom.operators import collection, embed
+from chatloom.operators import collection, embed, stored
 from chatloom.plans.sql_tables import with_tables
+from chatloom.scratch import new_folder
 from chatloom.sources import tables
 
 DIM = 64
@@ -86,6 +87,25 @@ def flatten_metadata(spark, sf_dir):
     return collection.flat_metadata(tables.chunks(spark, sf_dir))
 
 
+def _with_extra(spark, sf_dir):
+    """Chunks with an open map of pages, and of keys that clash with fields."""
+    d = F.col("doc_id")
+    extra = F.to_json(F.struct(F.when(d % 3 == 0, d % 7).alias("page_number"), F.when(d % 5 == 0, "another name").alias("sender_name"), F.when(d % 7 == 0, d / 4).alias("chunk_index"), F.when(d % 11 == 0, True).alias("is_edited")))
+    return tables.chunks(spark, sf_dir).withColumn("extra", F.when(d % 13 != 1, F.from_json(extra, "map<string,variant>")))
+
+
+def vector_metadata(spark, sf_dir):
+    """Every field of every chunk's metadata, as text and kind."""
+    found = collection.vector_metadata(_with_extra(spark, sf_dir)).select("vector_id", F.explode("metadata").alias("field", "v"))
+    kind = F.regexp_replace(F.schema_of_variant("v"), r"DECIMAL.*|DOUBLE", "NUMBER")
+    return found.select("vector_id", "field", F.when(kind == "NUMBER", F.col("v").cast("double").cast("string")).otherwise(F.col("v").cast("string")).alias("value"), kind.alias("kind"))
+
+
+def typed_metadata(spark, sf_dir):
+    found = collection.vector_metadata(_with_extra(spark, sf_dir))
+    return found.select("vector_id", *(collection.typed(F.col("metadata"), f).alias(f) for f in ("sender_name", "token_count", "is_edited", "contains_audio", "source_chat")))
+
+
 def mandatory_metadata(spark, sf_dir):
     c = tables.chunks(spark, sf_dir).withColumn("owner_id", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("owner_id")))
     good, bad = collection.mandatory_split(c)
@@ -128,15 +148,54 @@ def embed_corpus(spark, sf_dir):
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(embed.squared_norm(F.col("embedding")), 4).alias("squared_norm"), used.alias("used"), top.alias("top"))
 
 
+def stored_chats(spark, sf_dir):
+    """The chat table in store: written, then some of its keys upserted (nulls leave old values), some added, some deleted, each by the buckets of its keys."""
+    store = stored.Store(spark, new_folder(spark, "store"), buckets=16)
+    c, n = tables.chats(spark, sf_dir), F.regexp_extract("chat_id", r"\d+", 0).cast("long")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = c.select("owner_id", "account_id", "chat_id", "title", none("string").alias("chat_type"), "indexing_enabled", "enabled_at", none("string").alias("last_processed_message_id"), "is_deleted", F.col("enabled_at").alias("created_at"), F.col("enabled_at").alias("updated_at"))
+    merge = stored.latest_by(["account_id", "chat_id"], "updated_at", keep_old_values=True)
+    later = F.expr("enabled_at + INTERVAL 1 DAY")
+    changed = rows.where(n % 10 == 3).withColumns({"title": F.when(n % 20 == 3, F.concat("title", F.lit("!"))), "is_deleted": ~F.col("is_deleted"), "updated_at": F.when(n % 30 == 13, F.expr("enabled_at - INTERVAL 1 DAY")).otherwise(later)})
+    added = rows.where(n % 10 == 7).withColumns({"chat_id": F.concat("chat_id", F.lit("_new")), "updated_at": later})
+    for batch, some in enumerate((rows, changed.union(added))):
+        store.upsert("chats", some, batch, merge)
+        store.commit(batch)
+    store.delete("chats", rows.where(n % 13 == 5).union(added.where(n % 20 == 7)), 2)
+    store.commit(2)
+    store.vacuum()
+    return store.read("chats").select("account_id", "chat_id", "title", "is_deleted", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
 QUERIES = {q.__name__: q for q in (
     insert_ignore, storage_summary, upsert_latest, update_missing, delete_by_ids, delete_by_message, get_by_ids, list_collections, collection_guard, migration_report,
-    migration_totals, flatten_metadata, mandatory_metadata, embed_cache_split, cache_stats, cache_evict, vector_quality, embed_corpus)}
+    migration_totals, flatten_metadata, vector_metadata, typed_metadata, mandatory_metadata, embed_cache_split, cache_stats, cache_evict, vector_quality, embed_corpus, stored_chats)}
 
 _REPORT = """report AS (SELECT collection, count(*) FILTER (old) AS old_count, count(*) FILTER (old AND NOT there) AS inserted, count(*) FILTER (old AND there) AS skipped, count(*) AS new_count,
   CASE WHEN count(*) FILTER (old AND NOT there) > 0 THEN 'migrated' ELSE 'already_done' END AS status FROM (SELECT collection, doc_id % 2 = 0 AS old, doc_id % 3 = 0 AS there FROM chunks) WHERE old OR there GROUP BY collection HAVING old_count > 0)"""
 _CACHED = "cached AS (SELECT sha256(text) AS key, doc_id AS inserted_at FROM documents WHERE doc_id % 5 = 0)"
 
+_FIELDS = {
+    "owner_id": "owner_id", "source": "source", "source_account_id": "''", "conversation_id": "conversation_id", "conversation_title": "coalesce(conversation_title, '')", "conversation_type": "''", "sender_id": "sender_id",
+    "source_message_id": "source_message_id", "content_type": "content_type", "timestamp": "strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00')", "filename": "coalesce(filename, '')", "mime_type": "''", "attachment_id": "''",
+    "reply_to_message_id": "''", "is_deleted": "is_deleted", "source_chat": "coalesce(conversation_title, conversation_id)", "start_timestamp": "''", "end_timestamp": "''", "message_count": "message_count",
+    "token_count": "token_count", "attachment_count": "0", "contains_images": "contains_images", "contains_audio": "false", "contains_video": "false", "contains_documents": "false", "embedding_model": "''", "schema_version": "''",
+}
+_KINDS = {"chunk_index": "BIGINT", "message_count": "BIGINT", "token_count": "BIGINT", "attachment_count": "BIGINT", "is_edited": "BOOLEAN", "is_deleted": "BOOLEAN"} | {f"contains_{x}": "BOOLEAN" for x in ("images", "audio", "video", "documents")}
+_HAS_EXTRA = "doc_id % 13 <> 1"
+_METADATA = "c AS (SELECT * FROM chunks)\n" + "\nUNION ALL ".join(["SELECT vector_id, 'owner_id' AS field, owner_id AS value, 'STRING' AS kind FROM chunks"] + [f"SELECT vector_id, '{f}', CAST({x} AS VARCHAR), '{_KINDS.get(f, 'STRING')}' FROM chunks" for f, x in _FIELDS.items() if f != "owner_id"] + [
+    f"SELECT vector_id, 'page_number', CAST(doc_id % 7 AS VARCHAR), 'BIGINT' FROM chunks WHERE doc_id % 3 = 0 AND {_HAS_EXTRA}",
+    f"SELECT vector_id, 'sender_name', CASE WHEN doc_id % 5 = 0 AND {_HAS_EXTRA} THEN 'another name' ELSE sender_name END, 'STRING' FROM chunks",
+    f"SELECT vector_id, 'chunk_index', CASE WHEN doc_id % 7 = 0 AND {_HAS_EXTRA} THEN CAST(doc_id / 4 AS VARCHAR) ELSE CAST(chunk_index AS VARCHAR) END, CASE WHEN doc_id % 7 = 0 AND {_HAS_EXTRA} THEN 'NUMBER' ELSE 'BIGINT' END FROM chunks",
+    f"SELECT vector_id, 'is_edited', CAST(doc_id % 11 = 0 AND {_HAS_EXTRA} AS VARCHAR), 'BOOLEAN' FROM chunks",
+])
+
 ORACLE_SQL = {
+    "vector_metadata": with_tables("chunks", more=_METADATA.partition("\n")[0]) + _METADATA.partition("\n")[2],
+    "typed_metadata": with_tables("chunks") + f"SELECT vector_id, CASE WHEN doc_id % 5 = 0 AND {_HAS_EXTRA} THEN 'another name' ELSE sender_name END AS sender_name, token_count, doc_id % 11 = 0 AND {_HAS_EXTRA} AS is_edited, false AS contains_audio, coalesce(conversation_title, conversation_id) AS source_chat FROM chunks",
+    "stored_chats": with_tables("chats", more="""c AS (SELECT *, CAST(substr(chat_id, 6) AS BIGINT) AS n, n % 10 = 3 AND n % 30 <> 13 AS changed FROM chats),
+both_kinds AS (SELECT account_id, chat_id, CASE WHEN changed AND n % 20 = 3 THEN title || '!' ELSE title END AS title, is_deleted <> changed AS is_deleted, enabled_at + CASE WHEN changed THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS upd FROM c WHERE n % 13 <> 5
+  UNION ALL SELECT account_id, chat_id || '_new', title, is_deleted, enabled_at + INTERVAL 1 DAY FROM c WHERE n % 10 = 7 AND n % 20 <> 7)""") + "SELECT account_id, chat_id, title, is_deleted, strftime(upd, '%Y-%m-%d %H:%M:%S') AS updated_at FROM both_kinds",
     "insert_ignore": with_tables("chunks") + "SELECT collection, vector_id, doc_id FROM chunks WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0",
     "storage_summary": with_tables("chunks") + """SELECT collection, count(*) FILTER (doc_id % 2 = 0) AS received, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 <> 0) AS inserted, count(*) FILTER (doc_id % 6 = 0) AS skipped,
       count(*) AS final_count FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY collection""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatloom.operators import normalize, policy, snippet
 from chatloom.plans.sql_tables import with_tables
+from chatloom.scratch import scratch_dir as jobs_dir
 from chatloom.sources import tables
 from chatloom.streaming import jobs
 
@@ -98,19 +99,6 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def jobs_dir(spark):
-    """The shared folder for checkpoints; a local session may use a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 QUERIES = {q.__name__: q for q in (
     normalize_events, rejected_events, content_type_map, ingest_decisions, decision_summary, dedup_new, segment_messages, parsed_messages, chunk_stats, query_terms, message_scores, snippets, stream_ingest)}
 

@@ -44,7 +44,17 @@ MIME_TYPES = {
     "audio/ogg": "voice", "audio/mpeg": "voice", "audio/mp4": "voice",
 }
 
-#: The operational tables: columns and key. Ids are strings, and a table's key is what makes a row unique in it.
+#: The fields of a stored vector's flat metadata, with their kinds; a missing value becomes "", 0 or false.
+METADATA = {
+    "owner_id": "string", "source": "string", "source_account_id": "string", "conversation_id": "string", "conversation_title": "string", "conversation_type": "string",
+    "sender_id": "string", "sender_name": "string", "source_message_id": "string", "content_type": "string", "timestamp": "string", "filename": "string", "mime_type": "string",
+    "attachment_id": "string", "reply_to_message_id": "string", "chunk_index": "bigint", "is_edited": "boolean", "is_deleted": "boolean", "source_chat": "string",
+    "start_timestamp": "string", "end_timestamp": "string", "message_count": "bigint", "token_count": "bigint", "attachment_count": "bigint", "contains_images": "boolean",
+    "contains_audio": "boolean", "contains_video": "boolean", "contains_documents": "boolean", "embedding_model": "string", "schema_version": "string",
+}
+
+#: The operational tables: columns, and those that rows are dealt by. Ids are strings. The latter make a row unique, but for chunks,
+#: which lie together by message and are unique by vector_id.
 OPERATIONAL = {
     "accounts": (
         "owner_id string, account_id string, display_name string, username string, phone string, authorization_status string, session_status string, is_active boolean, "
@@ -66,9 +76,9 @@ OPERATIONAL = {
         ("account_id", "chat_id", "message_id", "file_id"),
     ),
     "message_chunks": (
-        "owner_id string, account_id string, chat_id string, message_id string, vector_id string, content_part string, chunk_index int, page_number int, slide_number int, text string, embedding array<float>, "
-        "message_version bigint, is_active boolean",
-        ("vector_id",),
+        "owner_id string, account_id string, chat_id string, message_id string, source_message_id string, vector_id string, content_part string, chunk_index int, page_number int, slide_number int, "
+        "text string, embedding array<float>, message_version bigint, as_of timestamp, is_active boolean",
+        ("account_id", "chat_id", "message_id"),
     ),
     "processing_states": (
         "idempotency_key string, account_id string, chat_id string, message_id string, operation_type string, status string, attempt_count int, last_error_code string, started_at timestamp, completed_at timestamp",
