@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -42,10 +42,6 @@ def query_terms(question: Column) -> Column:
     return F.filter(words, lambda w: ~F.array_contains(stop, w) & (F.char_length(w) > 1))
 
 
-def whole_count(text: Column, term: Column) -> Column:
-    return F.regexp_count(text, F.concat(F.lit(r"(?U)\b"), term, F.lit(r"\b")))
-
-
 def content_tokens(message: Column) -> Column:
     """Words of three letters or more of a message's body, as a set without stop words."""
     first_only = F.regexp_replace(message, r"\n", " ")
@@ -56,38 +52,55 @@ def content_tokens(message: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"(?U)\b([a-z]{3,})\b"), F.lit(1))), stop)
 
 
+def _cut(texts: DataFrame, text: str) -> DataFrame:
+    """Each distinct text once, with its messages in order: text, words in lower case, content tokens, lines."""
+    one = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct().withColumn("text_id", F.sha2("text", 256))
+    m = segment(one, "text_id", "text").withColumn("low", F.lower("message"))
+    words = F.regexp_extract_all("low", F.lit(r"(?U)\b(\w+)\b"), F.lit(1))
+    m = m.select("text_id", "fallback_split", F.struct("message_no", F.col("message").alias("text"), "low", words.alias("words"), content_tokens(F.col("message")).alias("tokens"), F.greatest("n_lines", F.lit(1)).alias("lines")).alias("m"))
+    return m.groupBy("text_id").agg(F.array_sort(F.collect_list("m")).alias("messages"), F.first("fallback_split").alias("fallback_split"))
+
+
+def _scored(pairs: DataFrame, keys: list[str], question: str, text: str) -> DataFrame:
+    """One row a pair: its keys, ``terms``, and ``scored``, its messages with exact and partial scores.
+
+    A term is first looked for anywhere in a message, which costs no pattern, and only one that is there is counted among its words.
+    """
+    asked = pairs.select(*keys, F.sha2(text, 256).alias("text_id"), query_terms(preprocess(F.col(question))).alias("terms"))
+    met = asked.join(_cut(pairs, text), "text_id").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    there = lambda m: F.filter("terms", lambda t: F.contains(m["low"], t))
+    counts = lambda m: F.transform(there(m), lambda t: F.size(F.filter(m["words"], lambda w: w == t)))
+    kept = lambda m: [m[c].alias(c) for c in ("no", "text", "lines", "tokens")]
+    met = met.withColumn("counted", F.transform("messages", lambda m: F.struct(m["message_no"].alias("no"), m["text"].alias("text"), m["lines"].alias("lines"), m["tokens"].alias("tokens"), counts(m).alias("counts"))))
+    exact = lambda m: F.aggregate(m["counts"], F.lit(0), lambda s, n: s + n)
+    partial = lambda m: F.size(F.filter(m["counts"], lambda n: n == 0))
+    met = met.withColumn("counted", F.transform("counted", lambda m: F.struct(*kept(m), exact(m).alias("exact"), partial(m).alias("partial"))))
+    score = lambda m: m["exact"] * EXACT + m["partial"] * PARTIAL
+    return met.withColumn("scored", F.transform("counted", lambda m: F.struct(*kept(m), m["exact"].alias("exact"), m["partial"].alias("partial"), score(m).alias("score"))))
+
+
 def scored_messages(pairs: DataFrame, keys: list[str], question: str = "question", text: str = "text") -> DataFrame:
     """Each message of each chunk with its exact and partial score for the query: one row a message.
 
-    ``pairs`` has one row for each query and chunk. Chunks are cut into messages once a pair; the windows that follow are
-    partitioned by pair, never by chat.
+    ``pairs`` has one row for each query and chunk. Equal chunks are cut into messages once, whatever the number of queries.
     """
-    keyed = pairs.withColumn("pair", F.struct(*keys))
-    messages = segment(keyed, "pair", text)
-    terms = keyed.select("pair", query_terms(preprocess(F.col(question))).alias("terms"))
-    m = messages.join(terms, "pair").withColumn("low", F.lower("message"))
-    exact = F.aggregate("terms", F.lit(0), lambda s, t: s + whole_count(F.col("low"), t))
-    partial = F.aggregate("terms", F.lit(0), lambda s, t: s + F.when((whole_count(F.col("low"), t) == 0) & F.contains(F.col("low"), t), 1).otherwise(0))
-    m = m.withColumns({"exact": exact, "partial": partial})
-    return m.withColumn("score", F.col("exact") * EXACT + F.col("partial") * PARTIAL)
+    rows = _scored(pairs, keys, question, text).select(*keys, F.explode("scored").alias("m"))
+    return rows.select(*keys, F.col("m.no").alias("message_no"), F.col("m.text").alias("message"), "m.exact", "m.partial", "m.score")
 
 
 def snippets(pairs: DataFrame, keys: list[str], question: str = "question", text: str = "text") -> DataFrame:
-    """The snippet of each query and chunk: the best messages, with neighbours that share a word, in at most eight lines."""
-    m = scored_messages(pairs, keys, question, text)
-    w = Window.partitionBy("pair").orderBy("message_no")
-    m = m.withColumn("tokens", content_tokens(F.col("message")))
-
-    def shares(other: Column, other_score: Column) -> Column:
-        return F.coalesce((other_score > 0) & (F.size(F.array_intersect("tokens", other)) > 0), F.lit(False))
-
-    near = shares(F.lag("tokens").over(w), F.lag("score").over(w)) | shares(F.lead("tokens").over(w), F.lead("score").over(w))
-    m = m.withColumn("taken", (F.col("score") > 0) | near)
-    one = F.struct((-F.col("score")).alias("rank"), F.col("message_no").alias("no"), F.col("message").alias("text"), F.greatest("n_lines", F.lit(1)).alias("lines"), "exact", "partial", "score")
-    hits = F.array_distinct(F.flatten(F.collect_list(F.filter("terms", lambda t: F.contains(F.col("low"), t)))))
-    per = m.groupBy("pair").agg(
-        F.array_sort(F.collect_list(F.when(F.col("taken"), one))).alias("candidates"), F.first("terms").alias("terms"), hits.alias("hit_terms"), F.first("fallback_split").alias("fallback_split"),
-    )
+    """The snippet of each query and chunk: the best messages, with neighbours that share a word, in at most eight lines.
+
+    One row a pair all the way: messages lie in an array, in order, and what is asked of neighbours is asked of the array.
+    """
+    per = _scored(pairs, keys, question, text)
+
+    def shares(m: Column, other: Column) -> Column:
+        return F.coalesce((other["score"] > 0) & F.arrays_overlap(m["tokens"], other["tokens"]), F.lit(False))
+
+    taken = F.filter("scored", lambda m, i: (m["score"] > 0) | shares(m, F.get("scored", i - 1)) | shares(m, F.get("scored", i + 1)))
+    one = lambda m: F.struct((-m["score"]).alias("rank"), *(m[c].alias(c) for c in ("no", "text", "lines", "exact", "partial", "score")))
+    per = per.withColumn("candidates", F.array_sort(F.transform(taken, one)))
     kind = "array<struct<rank:int,no:bigint,text:string,lines:int,exact:int,partial:int,score:int>>"
     start = F.struct(F.lit(0).alias("used"), F.expr(f"CAST(array() AS {kind})").alias("own"))
 
@@ -98,7 +111,7 @@ def snippets(pairs: DataFrame, keys: list[str], question: str = "question", text
 
     per = per.withColumn("candidates", F.col("candidates").cast(kind)).withColumn("picked", F.aggregate("candidates", start, add)["own"])
     per = per.withColumn("picked", F.array_sort(F.transform("picked", lambda x: F.struct(x["no"].alias("no"), x["text"].alias("text"), x["exact"].alias("exact"), x["partial"].alias("partial"), x["score"].alias("score")))))
-    per = per.withColumn("matched_terms", F.array_distinct(F.filter("terms", lambda t: F.array_contains(F.col("hit_terms"), t))))
+    per = per.withColumn("matched_terms", F.array_distinct(F.filter("terms", lambda t: F.exists("messages", lambda m: F.contains(m["low"], t)))))
     lines = F.slice(F.flatten(F.transform("picked", lambda x: F.split(x["text"], "\n"))), 1, LINE_CAP)
     found = F.size("picked") > 0
     total = lambda field, only=None: F.aggregate(F.filter("picked", lambda x: x["score"] > 0) if only else F.col("picked"), F.lit(0), lambda s, x: s + x[field])
@@ -112,8 +125,7 @@ def snippets(pairs: DataFrame, keys: list[str], question: str = "question", text
         F.when((total("partial", True) > 0) & (total("exact", True) == 0), F.concat(F.lit("Substring match "), times(total("partial", True)))),
     )
     out = per.select(
-        *(F.col(f"pair.{k}").alias(k) for k in keys), F.when(found, F.array_join(lines, "\n")).alias("focused_snippet"), F.when(found, F.array_join("matched_terms", ",")).alias("matched_terms"),
-        F.when(found, F.nullif(reason, F.lit(""))).alias("relevance_reason"), F.when(found, F.array_join(F.transform(F.filter("picked", lambda x: x["score"] > 0), lambda x: x["no"].cast("string")), ",")).alias("matched_messages"),
-        ~found, "fallback_split",
+        *keys, F.when(found, F.array_join(lines, "\n")).alias("focused_snippet"), F.when(found, F.array_join("matched_terms", ",")).alias("matched_terms"), F.when(found, F.nullif(reason, F.lit(""))).alias("relevance_reason"),
+        F.when(found, F.array_join(F.transform(F.filter("picked", lambda x: x["score"] > 0), lambda x: x["no"].cast("string")), ",")).alias("matched_messages"), (~found).alias("no_strong_passage"), "fallback_split",
     )
-    return pairs.select(*keys).join(out.toDF(*keys, "focused_snippet", "matched_terms", "relevance_reason", "matched_messages", "no_strong_passage", "fallback_split"), keys, "left").fillna({"no_strong_passage": True, "fallback_split": False})
+    return pairs.select(*keys).join(out, keys, "left").fillna({"no_strong_passage": True, "fallback_split": False})

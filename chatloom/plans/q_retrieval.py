@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatloom.operators import embed, rag, search, snippet, vector_index
+from chatloom.plans.q_text import _SEGMENTS, snippet_sql
 from chatloom.plans.sql_tables import with_tables
 from chatloom.scratch import new_folder
 from chatloom.sources import tables
@@ -224,6 +225,10 @@ chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_key ORDER
 sources AS (SELECT query_id, vector_id, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS position, conversation_id, source_message_id AS message_id, {content_type} AS content_type, similarity AS score FROM chosen)"""
 
 
+_QUESTION_HITS = _QUESTIONS + _hits_sql().replace("FROM chunks c JOIN query_vectors q", "FROM c_e c JOIN q_e q").replace("1.0 - list_dot_product", "CASE WHEN list_sum(c.embedding) = 0 OR list_sum(q.query_vector) = 0 THEN 1.0 ELSE 1.0 - list_dot_product").replace("q.query_vector::DOUBLE[])))", "q.query_vector::DOUBLE[]))) END")
+#: Messages of the chunks that were hit, and the snippet of each hit.
+_HIT_SNIPPETS = "hit_texts AS (SELECT DISTINCT vector_id, text FROM hits),\n" + _SEGMENTS.replace("chat_lines", "hit_texts").replace("conv_id", "vector_id") + ",\nasked AS (SELECT h.query_id, h.vector_id AS key, q.question FROM hits h JOIN query_vectors q USING (query_id)),\n" + snippet_sql("parsed", "asked", "s.vector_id = t.key")
+
 _REQUESTS = """requests AS (SELECT CASE WHEN n % 4 = 3 THEN 'owner_' || (n + 1) % 5 ELSE owner_id END AS owner_id, CASE WHEN n % 6 = 5 THEN 'gone_' || n ELSE chat_id END AS chat_id
 FROM (SELECT *, CAST(substr(chat_id, 6) AS BIGINT) AS n FROM chats))"""
 
@@ -235,7 +240,9 @@ ORACLE_SQL = {
     "time_window_knn": _knn_sql(scope=_IN_TIME),
     "time_postfilter_knn": _knn_sql(k="least(greatest(4 * top_k, 20), 200)", post=_POST),
     "knn_matrix": _over_hits("SELECT query_id, vector_id, similarity, rank FROM hits"),
-    "question_search": with_tables("chunks", "query_vectors", more=_QUESTIONS + _hits_sql().replace("FROM chunks c JOIN query_vectors q", "FROM c_e c JOIN q_e q").replace("1.0 - list_dot_product", "CASE WHEN list_sum(c.embedding) = 0 OR list_sum(q.query_vector) = 0 THEN 1.0 ELSE 1.0 - list_dot_product").replace("q.query_vector::DOUBLE[])))", "q.query_vector::DOUBLE[]))) END")) + "SELECT query_id, vector_id, rank, similarity, low_confidence FROM hits",
+    "question_search": with_tables("chunks", "query_vectors", more=_QUESTION_HITS) + "SELECT query_id, vector_id, rank, similarity, low_confidence FROM hits",
+    "question_sources": with_tables("chunks", "query_vectors", more=_QUESTION_HITS + ",\n" + _HIT_SNIPPETS + ",\n" + _sources_sql("content_type")) + """SELECT s.*, substr(coalesce(nullif(o.focused_snippet, ''), c.text, ''), 1, 200) AS snippet
+      FROM sources s JOIN chunks c USING (vector_id) LEFT JOIN cut_out o ON o.query_id = s.query_id AND o.key = s.vector_id""",
     "metadata_filter": with_tables("chunks") + "SELECT vector_id, token_count, chunk_index, message_count FROM chunks WHERE token_count >= 100 AND chunk_index < 3 AND NOT contains_images AND message_count <> 2",
     "visible_chunks": with_tables("chunks") + "SELECT source, is_deleted, count(*) AS n FROM chunks WHERE NOT (source = 'telegram' AND is_deleted) GROUP BY ALL",
     "ownership_reason": with_tables("chats", more=_REQUESTS) + """SELECT r.owner_id, r.chat_id, CASE WHEN c.chat_id IS NULL THEN 'not_found' WHEN c.is_deleted THEN 'deleted' WHEN c.owner_id <> r.owner_id THEN 'not_owned' ELSE 'ok' END AS reason,

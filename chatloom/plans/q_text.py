@@ -71,15 +71,14 @@ def query_terms(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Every conversation's chat text with one whole question; the first 25 queries, which all sizes have, in turn."""
-    q = tables.query_vectors(spark, sf_dir).select("query_id", "question")
-    texts = tables.chat_lines(spark, sf_dir).withColumn("q", F.col("conv_id") % 25 * 20)
-    return texts.join(q, F.col("q") == F.col("query_id")).select("query_id", "conv_id", "question", "text")
+    """Whole questions with whole chat texts: each query asks the conversations of one remainder by 25, so all queries and texts take part."""
+    q = tables.query_vectors(spark, sf_dir).select("query_id", "question", F.expr("query_id DIV 20 % 25").alias("q"))
+    return tables.chat_lines(spark, sf_dir).join(q, F.col("conv_id") % 25 == F.col("q")).select("query_id", "conv_id", "question", "text")
 
 
 def message_scores(spark, sf_dir):
     scored = snippet.scored_messages(_pairs(spark, sf_dir), ["query_id", "conv_id"])
-    return scored.select("pair.query_id", "pair.conv_id", "message_no", "exact", "partial", "score")
+    return scored.select("query_id", "conv_id", "message_no", "exact", "partial", "score")
 
 
 def snippets(spark, sf_dir):
@@ -150,11 +149,37 @@ def _terms(column):
     return _TERMS.format(_CLEAN.format(column), _STOP)
 
 
-_PAIRS_SQL = f"""{_SEGMENTS}, asked AS (SELECT query_id, {_terms("question")} AS terms FROM query_vectors),
-tokens AS (SELECT s.conv_id, s.message_no, query_id, lower(message) AS low, terms, regexp_extract_all(lower(message), '[\\p{{L}}\\p{{N}}_]+') AS tokens_of FROM segments s JOIN asked ON conv_id % 25 * 20 = query_id),
-counted AS (SELECT *, list_transform(terms, lambda t: len(list_filter(tokens_of, lambda x: x = t))) AS found FROM tokens),
-scored AS (SELECT query_id, conv_id, message_no, CAST(coalesce(list_sum(found), 0) AS INT) AS exact,
-  CAST(len(list_filter(range(1, len(terms) + 1), lambda i: found[i] = 0 AND contains(low, terms[i]))) AS INT) AS partial FROM counted)"""
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def snippet_sql(messages, asked, on):
+    """Expressions up to ``cut_out``, one row for each of ``asked(query_id, key, question)``, over the messages of ``_SEGMENTS``."""
+    body = "CASE WHEN contains(s.message, chr(10)) THEN s.message ELSE s.body END"
+    return f"""terms_of AS (SELECT *, coalesce({_terms("question")}, []) AS terms FROM {asked}),
+met AS (SELECT t.*, s.message_no, s.message, s.n_lines, s.fallback_split, lower(s.message) AS low, {_WORDS.format("s.message")} AS words,
+  list_distinct(list_filter({_WORDS.format(body)}, lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains([{_STOP}], w))) AS tokens
+  FROM terms_of t JOIN {messages} s ON {on}),
+counted AS (SELECT *, list_transform(terms, lambda t: len(list_filter(words, lambda x: x = t))) AS found FROM met),
+rated AS (SELECT *, CAST(coalesce(list_sum(found), 0) AS INT) AS exact, CAST(len(list_filter(range(1, len(terms) + 1), lambda i: found[i] = 0 AND contains(low, terms[i]))) AS INT) AS partial, exact * 10 + partial * 2 AS score FROM counted),
+beside AS (SELECT *, score > 0 OR coalesce(lag(score) OVER w > 0 AND list_has_any(tokens, lag(tokens) OVER w), false) OR coalesce(lead(score) OVER w > 0 AND list_has_any(tokens, lead(tokens) OVER w), false) AS taken
+  FROM rated WINDOW w AS (PARTITION BY query_id, key ORDER BY message_no)),
+chains AS (SELECT query_id, key, any_value(terms) AS terms, bool_or(fallback_split) AS fallback_split, string_agg(low, chr(10)) AS all_low,
+  list({{'used': CAST(0 AS BIGINT), 'own': [message_no], 'lines': CAST(greatest(n_lines, 1) AS BIGINT)}} ORDER BY -score, message_no) FILTER (taken) AS chain FROM beside GROUP BY query_id, key),
+chosen_nos AS (SELECT *, list_reduce(list_prepend({{'used': CAST(0 AS BIGINT), 'own': CAST([] AS BIGINT[]), 'lines': CAST(0 AS BIGINT)}}, coalesce(chain, [])), lambda a, x:
+  CASE WHEN a.used + x.lines <= 8 OR a.used = 0 AND x.lines > 8 THEN {{'used': a.used + x.lines, 'own': list_concat(a.own, x.own), 'lines': a.lines}} ELSE a END).own AS nos,
+  list_filter(terms, lambda t, i: list_position(terms, t) = i AND contains(all_low, t)) AS hit FROM chains),
+summed AS (SELECT c.query_id, c.key, any_value(c.hit) AS hit, bool_or(c.fallback_split) AS fallback_split, string_agg(b.message, chr(10) ORDER BY b.message_no) AS joined, count(b.message_no) AS n, coalesce(sum(b.exact), 0) AS e,
+  coalesce(sum(b.partial) FILTER (b.score > 0), 0) AS p1, coalesce(sum(b.exact) FILTER (b.score > 0), 0) AS e1, coalesce(string_agg(CAST(b.message_no AS VARCHAR), ',' ORDER BY b.message_no) FILTER (b.score > 0), '') AS nos
+  FROM chosen_nos c LEFT JOIN beside b ON b.query_id = c.query_id AND b.key = c.key AND list_contains(c.nos, b.message_no) GROUP BY c.query_id, c.key),
+cut_out AS (SELECT a.query_id, a.key, CASE WHEN n > 0 THEN array_to_string(list_slice(string_split(joined, chr(10)), 1, 8), chr(10)) END AS focused_snippet, CASE WHEN n > 0 THEN array_to_string(hit, ',') END AS matched_terms,
+  CASE WHEN n > 0 THEN nullif(concat_ws('; ', CASE WHEN len(hit) > 0 AND e > 0 THEN 'Matched keyword: ''' || hit[1] || ''' (' || e || ' occurrence' || CASE WHEN e <> 1 THEN 's' ELSE '' END || ')' END,
+    CASE WHEN len(hit) > 1 THEN 'also matched: ' || array_to_string(list_transform(hit[2:], lambda t: '''' || t || ''''), ', ') END,
+    CASE WHEN p1 > 0 AND e1 = 0 THEN 'Substring match (' || p1 || ' occurrence' || CASE WHEN p1 <> 1 THEN 's' ELSE '' END || ')' END), '') END AS relevance_reason,
+  CASE WHEN n > 0 THEN nos END AS matched_messages, coalesce(n, 0) = 0 AS no_strong_passage, coalesce(fallback_split, false) AS fallback_split FROM {asked} a LEFT JOIN summed USING (query_id, key))"""
+
+
+_PAIRS_SQL = f"""{_SEGMENTS}, asked AS (SELECT query_id, conv_id AS key, question FROM query_vectors JOIN (SELECT DISTINCT conv_id FROM chat_lines) ON query_id // 20 % 25 = conv_id % 25),
+""" + snippet_sql("parsed", "asked", "s.conv_id = t.key")
 
 ORACLE_SQL = {
     "normalize_events": with_tables("raw_events", more=_OBJECTS) + "SELECT * EXCLUDE (account_id, chat_id) FROM objects",
@@ -171,5 +196,6 @@ ORACLE_SQL = {
       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_timestamp, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS duration_seconds
       FROM (SELECT *, lower(regexp_extract(message, '(image|video|audio|document|sticker)\s+omitted', 1, 'i')) AS left_out FROM parsed) GROUP BY conv_id""",
     "query_terms": f"SELECT item_id, array_to_string({_terms('text')}, ' ') AS terms FROM benchmark",
-    "message_scores": with_tables("chat_lines", "query_vectors", more=_PAIRS_SQL) + "SELECT *, exact * 10 + partial * 2 AS score FROM scored",
+    "message_scores": with_tables("chat_lines", "query_vectors", more=_PAIRS_SQL) + "SELECT query_id, key AS conv_id, message_no, exact, partial, score FROM rated",
+    "snippets": with_tables("chat_lines", "query_vectors", more=_PAIRS_SQL) + "SELECT query_id, key AS conv_id, * EXCLUDE (query_id, key) FROM cut_out",
 }
