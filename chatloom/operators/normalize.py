@@ -7,8 +7,10 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.scan import running
 from chatloom.schemas import CHAT_SOURCE, MESSAGE_TYPES, MIME_TYPES
 
+#: The forms that an exported chat's lines have.
 STAMP = r"\d{1,2}/\d{1,2}/\d{2,4},\s*\d{1,2}:\d{2}(?:\s*[AP]M)?"
 SENT = rf"^({STAMP})\s*-\s*([^:]+?):\s*(.*)$"
 STATED = rf"^({STAMP})\s*-\s*(.+)$"
@@ -116,6 +118,27 @@ def segment(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return joined.select(F.col("key").alias(key), "message_no", text_of.alias("message"), F.size("own").alias("n_lines"), "fallback_split")
 
 
+def segment_lines(lines: DataFrame, keys: list[str], order: list[str], line: str = "line") -> DataFrame:
+    """What ``segment`` finds, of texts that come as one row a line: ``keys, message_no, message, n_lines, fallback_split``.
+
+    An export of any length is cut by a running count of the lines that open a message, computed in parts of the lines (``scan.running``); a
+    message that goes on from one part to the next is one message. ``order`` gives the lines' order within a text, without ties. What is
+    asked of a whole text (does any line open a message, does its first one) is one aggregate a text.
+    """
+    marked = lines.withColumn("_opens", F.coalesce(F.col(line).rlike(SENT) | F.col(line).rlike(STATED), F.lit(False)))
+    per = marked.groupBy(*keys).agg((~F.bool_or("_opens")).alias("fallback_split"), F.min_by("_opens", F.struct(*order)).alias("_first_opens"))
+    same = None
+    for i, k in enumerate(keys):
+        one = F.col(k).eqNullSafe(F.col(f"_key{i}"))
+        same = one if same is None else same & one
+    met = marked.join(per.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)}), same).where(~F.col("fallback_split") | (F.trim(line) != ""))
+    met = met.select(*keys, *order, line, "fallback_split", "_first_opens", (F.col("_opens") | F.col("fallback_split")).cast("bigint").alias("_starts"))
+    counted = running(met, keys, order, {"_opened": (F.col("_starts"), F.sum)}, "lines")
+    number = F.col("_opened") - 1 + F.when(F.col("fallback_split") | F.col("_first_opens"), 0).otherwise(1)
+    rows = counted.withColumn("message_no", number).groupBy(*keys, "message_no").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("_line")))).alias("_own"), F.first("fallback_split").alias("fallback_split"))
+    return rows.select(*keys, "message_no", F.array_join(F.transform("_own", lambda x: x["_line"]), "\n").alias("message"), F.size("_own").alias("n_lines"), "fallback_split")
+
+
 def parse_line(line: Column) -> dict[str, Column]:
     """Time stamp, sender and body of a message's first line."""
     sent = line.rlike(SENT)

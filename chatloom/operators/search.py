@@ -110,11 +110,28 @@ def ownership(requests: DataFrame, chats: DataFrame) -> DataFrame:
     The owner's own chat of that id is looked at first, then any other. Chats that aren't indexed stay searchable.
     """
     c = chats.select(F.col("chat_id").alias("c_chat"), F.col("owner_id").alias("c_owner"), F.col("is_deleted").alias("c_deleted"))
-    own = F.col("c_owner") == F.col("owner_id")
-    met = requests.join(c, F.col("chat_id") == F.col("c_chat"), "left")
-    best = met.groupBy(*requests.columns).agg(F.max_by(F.struct("c_chat", "c_owner", "c_deleted"), F.struct(F.coalesce(own, F.lit(False)), F.coalesce(~F.col("c_deleted"), F.lit(False)), "c_owner")).alias("c"))
-    reason = F.when(F.col("c.c_chat").isNull(), "not_found").when(F.col("c.c_deleted"), "deleted").when(F.col("c.c_owner") != F.col("owner_id"), "not_owned").otherwise("ok")
-    return best.withColumn("reason", reason).drop("c").withColumn("allowed", F.col("reason") == "ok")
+    own = F.col("c_owner") == F.col("r_owner")
+    met = requests.select(F.col("owner_id").alias("r_owner"), F.col("chat_id").alias("r_chat")).distinct().join(c, F.col("r_chat") == F.col("c_chat"), "left")
+    best = met.groupBy("r_owner", "r_chat").agg(F.max_by(F.struct("c_chat", "c_owner", "c_deleted"), F.struct(F.coalesce(own, F.lit(False)), F.coalesce(~F.col("c_deleted"), F.lit(False)), "c_owner")).alias("c"))
+    reason = F.when(F.col("c.c_chat").isNull(), "not_found").when(F.col("c.c_deleted"), "deleted").when(~F.col("c.c_owner").eqNullSafe(F.col("r_owner")), "not_owned").otherwise("ok")
+    best = best.withColumn("reason", reason).drop("c").withColumn("allowed", F.col("reason") == "ok")
+    return requests.join(best, F.col("owner_id").eqNullSafe(F.col("r_owner")) & F.col("chat_id").eqNullSafe(F.col("r_chat"))).drop("r_owner", "r_chat")
+
+
+def validate_conditions(conditions: DataFrame) -> DataFrame:
+    """Filter conditions of many requests at once, ``(request_id, field, operator, kind of value)``, with ``error``: the rules of ``metadata_filter``."""
+    known = F.create_map(*(F.lit(x) for pair in FILTER_FIELDS.items() for x in pair))
+    wanted, alone = F.element_at(known, F.col("field")), F.count(F.lit(1)).over(Window.partitionBy("request_id", "field"))
+    error = (
+        F.when(wanted.isNull(), "unknown field").when(alone > 1, "more than one operator").when(~F.col("operator").isin(*OPERATORS), "unknown operator").when(wanted != F.col("kind"), "wrong kind of value")
+        .when(~F.col("operator").isin("$eq", "$ne") & (wanted != "number"), "ordered comparison of what isn't a number")
+    )
+    return conditions.withColumn("error", error)
+
+
+def condition_counts(validated: DataFrame) -> DataFrame:
+    """``request_id, n_conditions, usable``: how many conditions a request has, and whether all of them can be used."""
+    return validated.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_conditions"), F.bool_and(F.col("error").isNull()).alias("usable"))
 
 
 def _dot(a: Column, b: Column) -> Column:

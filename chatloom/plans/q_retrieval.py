@@ -66,6 +66,27 @@ def metadata_filter(spark, sf_dir):
     return tables.chunks(spark, sf_dir).where(keep).select("vector_id", "token_count", "chunk_index", "message_count")
 
 
+def _conditions(spark, sf_dir):
+    """Three conditions for each document: fields, operators and values' kinds in turn, most of them with a mistake."""
+    d, at = F.col("doc_id"), F.col("at")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("at"))
+    return rows.select(F.concat(F.lit("r"), d).alias("request_id"), pick(_CONDITION_FIELDS, d + at * F.floor(d / 7) % 5).alias("field"), pick(_CONDITION_OPERATORS, d + at * 2).alias("operator"), pick(_CONDITION_KINDS, F.floor(d / 3) + at).alias("kind"))
+
+
+_CONDITION_FIELDS = ("chunk_index", "source_chat", "contains_images", "token_count", "colour", "end_timestamp", "message_count")
+_CONDITION_OPERATORS = ("$eq", "$gte", "$in", "$ne", "$lt")
+_CONDITION_KINDS = ("number", "string", "boolean")
+
+
+def condition_errors(spark, sf_dir):
+    return search.validate_conditions(_conditions(spark, sf_dir)).select("request_id", "field", "operator", "kind", "error")
+
+
+def condition_counts(spark, sf_dir):
+    return search.condition_counts(search.validate_conditions(_conditions(spark, sf_dir)))
+
+
 def visible_chunks(spark, sf_dir):
     return tables.chunks(spark, sf_dir).where(search.not_deleted()).groupBy("source", "is_deleted").agg(F.count(F.lit(1)).alias("n"))
 
@@ -98,11 +119,14 @@ def no_strong_match(spark, sf_dir):
 def chat_sources(spark, sf_dir):
     queries = tables.query_vectors(spark, sf_dir).select("query_id", "owner_id", "query_vector", F.lit(40).alias("top_k"))
     hits = search.knn(tables.chunks(spark, sf_dir), queries).withColumn("content_type", F.lit("text"))
-    return rag.sources(hits).drop("snippet")
+    return rag.sources(hits)
 
 
 def citations(spark, sf_dir):
-    return rag.citations(_hits(spark, sf_dir)[1]).drop("start_timestamp", "end_timestamp")
+    hits = _hits(spark, sf_dir)[1]
+    at = lambda minutes: F.date_format(F.timestamp_seconds(F.unix_timestamp("ts") + minutes * 60), "yyyy-MM-dd HH:mm:ss")
+    times = {"start_timestamp": F.when(F.col("chunk_index") != 1, at(F.lit(0))), "end_timestamp": F.when(F.col("chunk_index") % 2 == 0, F.concat(at(F.col("chunk_index")), F.lit(" ")))}
+    return rag.citations(hits.withColumns(times))
 
 
 def context_budget(spark, sf_dir):
@@ -161,7 +185,7 @@ def retrieval_report(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    knn_cosine_topk, knn_l2, knn_ip, scoped_knn, time_window_knn, time_postfilter_knn, knn_matrix, knn_lsh, knn_ivf, metadata_filter, visible_chunks, ownership_reason,
+    knn_cosine_topk, knn_l2, knn_ip, scoped_knn, time_window_knn, time_postfilter_knn, knn_matrix, knn_lsh, knn_ivf, metadata_filter, condition_errors, condition_counts, visible_chunks, ownership_reason,
     request_errors, no_strong_match, chat_sources, citations, context_budget, confidence, prompt_rows, answer_bundle, question_search, question_sources, retrieval_report)}
 
 _IN_TIME = "(q.time_from IS NULL OR c.ts >= q.time_from) AND (q.time_to IS NULL OR c.ts <= q.time_to)"
@@ -232,7 +256,17 @@ _HIT_SNIPPETS = "hit_texts AS (SELECT DISTINCT vector_id, text FROM hits),\n" +
 _REQUESTS = """requests AS (SELECT CASE WHEN n % 4 = 3 THEN 'owner_' || (n + 1) % 5 ELSE owner_id END AS owner_id, CASE WHEN n % 6 = 5 THEN 'gone_' || n ELSE chat_id END AS chat_id
 FROM (SELECT *, CAST(substr(chat_id, 6) AS BIGINT) AS n FROM chats))"""
 
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_CONDITIONS = f"""WITH rows AS (SELECT doc_id, unnest([0, 1, 2]) AS nth FROM documents), conditions AS (SELECT 'r' || doc_id AS request_id, {_LIST(_CONDITION_FIELDS)}[CAST((doc_id + nth * (doc_id // 7) % 5) % 7 + 1 AS INT)] AS field,
+  {_LIST(_CONDITION_OPERATORS)}[CAST((doc_id + nth * 2) % 5 + 1 AS INT)] AS operator, {_LIST(_CONDITION_KINDS)}[CAST((doc_id // 3 + nth) % 3 + 1 AS INT)] AS kind FROM rows),
+wanted AS (SELECT *, CASE WHEN field IN ('source_chat', 'end_timestamp') THEN 'string' WHEN field = 'contains_images' THEN 'boolean' WHEN field <> 'colour' THEN 'number' END AS want, count(*) OVER (PARTITION BY request_id, field) AS n FROM conditions),
+judged AS (SELECT request_id, field, operator, kind, CASE WHEN want IS NULL THEN 'unknown field' WHEN n > 1 THEN 'more than one operator' WHEN operator = '$in' THEN 'unknown operator' WHEN want <> kind THEN 'wrong kind of value'
+  WHEN operator IN ('$gte', '$lt') AND want <> 'number' THEN 'ordered comparison of what isn''t a number' END AS error FROM wanted)
+"""
+
 ORACLE_SQL = {
+    "condition_errors": _CONDITIONS + "SELECT * FROM judged",
+    "condition_counts": _CONDITIONS + "SELECT request_id, count(*) AS n_conditions, bool_and(error IS NULL) AS usable FROM judged GROUP BY 1",
     "knn_cosine_topk": _knn_sql(),
     "knn_l2": _knn_sql(metric="l2"),
     "knn_ip": _knn_sql(metric="ip", threshold=0.2),
@@ -250,8 +284,8 @@ ORACLE_SQL = {
     "request_errors": with_tables("chats") + """SELECT chat_id AS request_id, CASE WHEN n % 9 = 0 THEN 'blank source' WHEN n % 4 = 0 THEN 'both conversation_id and conversation_ids' WHEN n % 3 = 2 THEN 'unknown content_type'
       WHEN n % 5 = 0 THEN 'bad from_time' END AS error FROM (SELECT *, CAST(substr(chat_id, 6) AS BIGINT) AS n FROM chats)""",
     "no_strong_match": _over_hits(_STRONG, scope=_IN_TIME),
-    "chat_sources": with_tables("chunks", "query_vectors", more=_hits_sql(k="40").replace("rank <= top_k", "rank <= 40") + ", " + _sources_sql()) + "SELECT * FROM sources",
-    "citations": _over_hits("SELECT query_id, rank, vector_id, similarity, coalesce(nullif(trim(conversation_title), ''), 'Unknown') AS source_chat, greatest(CAST(chunk_index AS INT), 0) AS chunk_index FROM hits"),
+    "chat_sources": with_tables("chunks", "query_vectors", more=_hits_sql(k="40").replace("rank <= top_k", "rank <= 40") + ", " + _sources_sql()) + "SELECT s.*, substr(coalesce(text, ''), 1, 200) AS snippet FROM sources s JOIN chunks USING (vector_id)",
+    "citations": _over_hits("SELECT query_id, rank, vector_id, similarity, coalesce(nullif(trim(conversation_title), ''), 'Unknown') AS source_chat, greatest(CAST(chunk_index AS INT), 0) AS chunk_index, CASE WHEN chunk_index <> 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE '' END AS start_timestamp, CASE WHEN chunk_index % 2 = 0 THEN strftime(ts + to_minutes(CAST(chunk_index AS BIGINT)), '%Y-%m-%d %H:%M:%S') ELSE '' END AS end_timestamp FROM hits"),
     "context_budget": _context_sql(6000, "SELECT query_id, n_documents, chars, md5(coalesce(context, '')) AS context_md5, CASE WHEN n_documents = 0 THEN 'the context budget is too small for the first document' END AS error FROM contexts"),
     "confidence": _over_hits(_CONFIDENCE),
     "prompt_rows": _context_sql(12000, f"SELECT query_id, '{SYSTEM}' AS system, md5('Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || question) AS user_md5 FROM contexts JOIN query_vectors USING (query_id) WHERE n_documents > 0"),

@@ -55,6 +55,13 @@ def segment_messages(spark, sf_dir):
     return normalize.segment(tables.chat_lines(spark, sf_dir), "conv_id").select("conv_id", "message_no", F.md5("message").alias("message_md5"), "n_lines", "fallback_split")
 
 
+def segment_lines(spark, sf_dir):
+    """The same of exports that come line by line, in no order, over many partitions."""
+    lines = tables.chat_lines(spark, sf_dir).select("conv_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    found = normalize.segment_lines(lines.repartition(17, "pos"), ["conv_id"], ["pos"])
+    return found.select("conv_id", "message_no", F.md5("message").alias("message_md5"), "n_lines", "fallback_split")
+
+
 def parsed_messages(spark, sf_dir):
     rows = normalize.segment(tables.chat_lines(spark, sf_dir), "conv_id")
     rows = rows.withColumns(normalize.parse_line(F.split("message", "\n")[0]))
@@ -62,7 +69,7 @@ def parsed_messages(spark, sf_dir):
 
 
 def chunk_stats(spark, sf_dir):
-    return normalize.chunk_stats(tables.chat_lines(spark, sf_dir), "conv_id").drop("average_message_length")
+    return normalize.chunk_stats(tables.chat_lines(spark, sf_dir), "conv_id")
 
 
 def query_terms(spark, sf_dir):
@@ -99,7 +106,7 @@ def stream_ingest(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    normalize_events, rejected_events, content_type_map, ingest_decisions, decision_summary, dedup_new, segment_messages, parsed_messages, chunk_stats, query_terms, message_scores, snippets, stream_ingest)}
+    normalize_events, rejected_events, content_type_map, ingest_decisions, decision_summary, dedup_new, segment_messages, segment_lines, parsed_messages, chunk_stats, query_terms, message_scores, snippets, stream_ingest)}
 
 _KIND = """CASE WHEN message_type = 'document' AND has_att THEN CASE mime_type WHEN 'application/pdf; x=1' THEN 'pdf' WHEN 'application/msword' THEN 'docx' WHEN 'image/png' THEN 'image' ELSE 'document' END
   ELSE CASE message_type WHEN 'text' THEN 'text' WHEN 'photo' THEN 'image' WHEN 'document' THEN 'document' WHEN 'voice' THEN 'voice' WHEN 'video' THEN 'video' WHEN 'poll' THEN 'system' ELSE 'document' END END"""
@@ -190,10 +197,11 @@ ORACLE_SQL = {
     "stream_ingest": with_tables("raw_events", "chats", more=_decisions("false")) + "SELECT action, reason, count(*) AS n FROM decided GROUP BY 1, 2",
     "dedup_new": with_tables("updates") + "SELECT DISTINCT 'telegram:' || kind || ':' || account_id || ':' || chat_id || ':' || message_id || ':' || update_id AS vector_id FROM updates WHERE NOT suffix(update_id, '7')",
     "segment_messages": with_tables("chat_lines", more=_SEGMENTS) + "SELECT conv_id, message_no, md5(message) AS message_md5, n_lines, fallback_split FROM segments",
+    "segment_lines": with_tables("chat_lines", more=_SEGMENTS) + "SELECT conv_id, message_no, md5(message) AS message_md5, n_lines, fallback_split FROM segments",
     "parsed_messages": with_tables("chat_lines", more=_SEGMENTS) + "SELECT conv_id, message_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, sender, md5(body) AS body_md5 FROM parsed",
     "chunk_stats": with_tables("chat_lines", more=_SEGMENTS) + r"""SELECT conv_id, count(*) AS message_count, count(*) FILTER (left_out <> '') AS attachment_count, bool_or(left_out = 'image') AS contains_images, bool_or(left_out = 'audio') AS contains_audio,
       bool_or(left_out = 'video') AS contains_video, bool_or(left_out = 'document') AS contains_documents, coalesce(string_agg(DISTINCT sender, ',' ORDER BY sender), '') AS participants, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_timestamp,
-      strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_timestamp, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS duration_seconds
+      strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_timestamp, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS duration_seconds, round(avg(length(message)), 6) AS average_message_length
       FROM (SELECT *, lower(regexp_extract(message, '(image|video|audio|document|sticker)\s+omitted', 1, 'i')) AS left_out FROM parsed) GROUP BY conv_id""",
     "query_terms": f"SELECT item_id, array_to_string({_terms('text')}, ' ') AS terms FROM benchmark",
     "message_scores": with_tables("chat_lines", "query_vectors", more=_PAIRS_SQL) + "SELECT query_id, key AS conv_id, message_no, exact, partial, score FROM rated",

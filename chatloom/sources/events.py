@@ -18,3 +18,9 @@ def stream_events(spark: SparkSession, path: str, files_a_batch: int = 100, sche
     """The same as a stream of the files that arrive in a folder."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
     return reader.option("multiLine", True).json(path) if form == "json" else reader.format(form).load(path)
+
+
+def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, n, line`` of exported chats: a large file is read in blocks by several tasks; block and n, ascending, give the lines' order."""
+    rows = spark.read.text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import phone
 from chatloom.operators import collection, embed, normalize, rag, search, snippet, sync
-from chatloom.sources.events import read_events
+from chatloom.scratch import new_folder
+from chatloom.sources.events import read_events, read_export_lines
 
 
 def test_event_files(spark, tmp_path):
@@ -250,3 +251,48 @@ def test_top_k_is_cut_before_its_shuffle(spark):
     plan = search.knn(tables.chunks(spark, sf), queries)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("WindowGroupLimit") :]
     assert "Partial" in plan and "Exchange hashpartitioning(query_id" in below
+
+
+def test_huge_exports_in_any_split(spark, tmp_path):
+    """Lines of files that many tasks read give the messages of whole texts, wherever blocks begin."""
+    rng = random.Random(9)
+    texts = {}
+    for f in range(3):
+        lines = []
+        for i in range(400):
+            lines.append(rng.choice([f"1/{1 + i % 28}/2024, 10:{i % 60:02d} - Ann: line {i}", "  goes on", f"2/3/2024, 9:05 - Bob joined {i}", "", "more é text"]) if f else f"plain {i}" * (i % 4 > 0))
+        texts[f"file{f}.txt"] = "\n".join(lines)
+        (tmp_path / f"file{f}.txt").write_text(texts[f"file{f}.txt"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        lines = read_export_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 9
+        found = normalize.segment_lines(lines, ["file"], ["block", "n"]).select(F.substring_index("file", "/", -1).alias("file"), "message_no", "message", "n_lines", "fallback_split").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = normalize.segment(spark.createDataFrame(list(texts.items()), "file string, text string"), "file").select("file", "message_no", "message", "n_lines", "fallback_split").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want)) and len(want) > 300
+
+
+def test_a_collection_that_loses_rows_fails(spark, monkeypatch):
+    """The migration reads back what it wrote: a collection that lacks a row is failed, and nothing after it is moved."""
+    whole = collection.write_collection
+    monkeypatch.setattr(collection, "write_collection", lambda rows, path, **options: whole(rows.where("NOT (collection = 'b' AND vector_id = 'b3')"), path, **options))
+    legacy = spark.createDataFrame([(c, f"{c}{i}", "o", "chat") for c in "abc" for i in range(5)], "collection string, vector_id string, owner_id string, conversation_id string")
+    report = collection.migrate(legacy, legacy.where("false"), new_folder(spark, "migrated"), dry_run=False)
+    assert [(r.collection, r.status) for r in report.collect()] == [("a", "migrated"), ("b", "failed")]
+    totals = collection.migration_totals(report).first()
+    assert (totals.failed, totals.verdict) == (1, "FAIL")
+
+
+def test_repeated_requests_stay(spark):
+    chats = spark.createDataFrame([("o1", "c1", False), ("o2", "c1", False), ("o2", "c2", True)], "owner_id string, chat_id string, is_deleted boolean")
+    asks = spark.createDataFrame([(1, "o1", "c1"), (2, "o1", "c1"), (3, "o1", "c2"), (4, None, "c1"), (5, "o1", None)], "n int, owner_id string, chat_id string")
+    assert {r.n: r.reason for r in search.ownership(asks, chats).collect()} == {1: "ok", 2: "ok", 3: "deleted", 4: "not_owned", 5: "not_found"}
+
+
+def test_long_phone_numbers_keep_their_digits(spark):
+    number = "+" + "1" * 3000
+    row = spark.createDataFrame([(number,)], "p string").select(phone.problem(F.col("p")).alias("why"), phone.masked(F.col("p")).alias("shown")).first()
+    assert row.why == "too_long" and row.shown.endswith("1111")
