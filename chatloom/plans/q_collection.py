@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatloom.operators import collection, embed, stored
+from chatloom.operators import collection, embed, embed_cache, stored
 from chatloom.plans.sql_tables import with_tables
 from chatloom.scratch import new_folder
 from chatloom.sources import tables
@@ -148,6 +148,17 @@ def embed_corpus(spark, sf_dir):
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(embed.squared_norm(F.col("embedding")), 4).alias("squared_norm"), used.alias("used"), top.alias("top"))
 
 
+def embed_cache_runs(spark, sf_dir):
+    """Three runs over a stored cache, with room for half of the texts: a third of the documents, all of them, and the last half."""
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = stored.Store(spark, new_folder(spark, "cache"), embed_cache.TABLE, buckets=8)
+    n, seen = d.count(), []
+    for i, some in enumerate((d.where("doc_id % 3 = 0"), d, d.where("doc_id % 2 = 1"))):
+        _, did = embed_cache.run(store, some, lambda: embed.hashing_embedder(DIM), DIM, 2 * i, most=n // 2)
+        seen.append((i, did["hits"], did["misses"], did["evicted"], did["size"]))
+    return spark.createDataFrame(seen, "run int, hits bigint, misses bigint, evicted bigint, size bigint")
+
+
 def stored_chats(spark, sf_dir):
     """The chat table in store: written, then some of its keys upserted (nulls leave old values), some added, some deleted, each by the buckets of its keys."""
     store = stored.Store(spark, new_folder(spark, "store"), buckets=16)
@@ -169,7 +180,7 @@ def stored_chats(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (
     insert_ignore, storage_summary, upsert_latest, update_missing, delete_by_ids, delete_by_message, get_by_ids, list_collections, collection_guard, migration_report,
-    migration_totals, flatten_metadata, vector_metadata, typed_metadata, mandatory_metadata, embed_cache_split, cache_stats, cache_evict, vector_quality, embed_corpus, stored_chats)}
+    migration_totals, flatten_metadata, vector_metadata, typed_metadata, mandatory_metadata, embed_cache_split, cache_stats, cache_evict, vector_quality, embed_corpus, embed_cache_runs, stored_chats)}
 
 _REPORT = """report AS (SELECT collection, count(*) FILTER (old) AS old_count, count(*) FILTER (old AND NOT there) AS inserted, count(*) FILTER (old AND there) AS skipped, count(*) AS new_count,
   CASE WHEN count(*) FILTER (old AND NOT there) > 0 THEN 'migrated' ELSE 'already_done' END AS status FROM (SELECT collection, doc_id % 2 = 0 AS old, doc_id % 3 = 0 AS there FROM chunks) WHERE old OR there GROUP BY collection HAVING old_count > 0)"""
@@ -191,6 +202,16 @@ _METADATA = "c AS (SELECT * FROM chunks)\n" + "\nUNION ALL ".join(["SELECT vecto
 ])
 
 ORACLE_SQL = {
+    "embed_cache_runs": """WITH t AS (SELECT sha256(text) AS key, bool_or(doc_id % 3 = 0) AS third, bool_or(doc_id % 2 = 1) AS odd FROM documents WHERE trim(coalesce(text, '')) <> '' GROUP BY 1),
+room AS (SELECT count(*) // 2 AS most FROM documents),
+run0 AS (SELECT key, 0 AS inserted FROM t WHERE third ORDER BY key LIMIT (SELECT most FROM room)),
+made1 AS (SELECT key, 1 AS inserted FROM t WHERE key NOT IN (SELECT key FROM run0)),
+run1 AS (SELECT * FROM (SELECT * FROM run0 UNION ALL SELECT * FROM made1) ORDER BY inserted DESC, key LIMIT (SELECT most FROM room)),
+made2 AS (SELECT key, 2 AS inserted FROM t WHERE odd AND key NOT IN (SELECT key FROM run1)),
+run2 AS (SELECT * FROM (SELECT * FROM run1 UNION ALL SELECT * FROM made2) ORDER BY inserted DESC, key LIMIT (SELECT most FROM room)),
+n AS (SELECT (SELECT count(*) FROM t) AS t, (SELECT count(*) FROM t WHERE third) AS third, (SELECT count(*) FROM t WHERE odd) AS odd, (SELECT count(*) FROM run0) AS r0, (SELECT count(*) FROM made1) AS m1, (SELECT count(*) FROM run1) AS r1,
+  (SELECT count(*) FROM made2) AS m2, (SELECT count(*) FROM run2) AS r2)
+SELECT CAST(0 AS INT) AS run, 0 AS hits, third AS misses, third - r0 AS evicted, r0 AS size FROM n UNION ALL SELECT 1, t - m1, m1, r0 + m1 - r1, r1 FROM n UNION ALL SELECT 2, odd - m2, m2, r1 + m2 - r2, r2 FROM n""",
     "vector_metadata": with_tables("chunks", more=_METADATA.partition("\n")[0]) + _METADATA.partition("\n")[2],
     "typed_metadata": with_tables("chunks") + f"SELECT vector_id, CASE WHEN doc_id % 5 = 0 AND {_HAS_EXTRA} THEN 'another name' ELSE sender_name END AS sender_name, token_count, doc_id % 11 = 0 AND {_HAS_EXTRA} AS is_edited, false AS contains_audio, coalesce(conversation_title, conversation_id) AS source_chat FROM chunks",
     "stored_chats": with_tables("chats", more="""c AS (SELECT *, CAST(substr(chat_id, 6) AS BIGINT) AS n, n % 10 = 3 AND n % 30 <> 13 AS changed FROM chats),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatloom.functions import phone
-from chatloom.operators import search, views
+from chatloom.operators import increments, search, views
+from chatloom.operators.stored import Store
 from chatloom.plans.sql_tables import with_tables
+from chatloom.scratch import new_folder
 from chatloom.sources import tables
 
 
@@ -57,6 +59,34 @@ def corpus_profile(spark, sf_dir):
     return views.corpus_profile(tables.messages(spark, sf_dir), tables.chunks(spark, sf_dir))
 
 
+def _parts(spark, rows, key, number):
+    """The parts after three increments, the second of which is delivered twice."""
+    store = Store(spark, new_folder(spark, "view-parts"), increments.TABLE, buckets=8)
+    for batch, third in ((0, 0), (1, 1), (1, 1), (2, 2)):
+        increments.add(store, rows.where(F.pmod(number, F.lit(3)) == third), key, batch)
+    return store.read("view_parts")
+
+
+def incremental_people(spark, sf_dir):
+    return increments.people(_parts(spark, tables.chunks(spark, sf_dir), "vector_id", F.col("doc_id")))
+
+
+def incremental_media_tabs(spark, sf_dir):
+    return increments.media_tabs(_parts(spark, tables.chunks(spark, sf_dir), "vector_id", F.col("doc_id")))
+
+
+def incremental_collections(spark, sf_dir):
+    return increments.collections(_parts(spark, tables.chunks(spark, sf_dir), "vector_id", F.col("doc_id")))
+
+
+def incremental_timeline(spark, sf_dir):
+    return increments.timeline(_parts(spark, tables.messages(spark, sf_dir), "message_id", F.col("turn")))
+
+
+def incremental_seen(spark, sf_dir):
+    return increments.first_last_seen(_parts(spark, tables.messages(spark, sf_dir), "message_id", F.col("turn")))
+
+
 def _accounts(spark, sf_dir):
     """Customers with phone numbers, good and bad, made from their keys."""
     k = F.col("c_custkey")
@@ -82,7 +112,7 @@ def phone_audit(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (
     people_directory, first_last_seen, timeline_daily, media_tabs, document_explorer, conversation_detail, conversation_list, dashboard_totals, facets, recent_searches,
-    corpus_profile, phone_quality, phone_masked, phone_audit)}
+    corpus_profile, phone_quality, phone_masked, phone_audit, incremental_people, incremental_media_tabs, incremental_collections, incremental_timeline, incremental_seen)}
 
 _ACCOUNTS = """accounts AS (SELECT c_custkey, CASE c_custkey % 11 WHEN 1 THEN '  ' WHEN 2 THEN ' -- ' WHEN 3 THEN '91 98765' || printf('%06d', c_custkey) WHEN 4 THEN '+' WHEN 5 THEN '+91x' || c_custkey WHEN 6 THEN '+12' || c_custkey % 100
   WHEN 7 THEN '+1234567890123' || printf('%06d', c_custkey) WHEN 8 THEN '+1 (415) 555-' || printf('%04d', c_custkey % 10000) WHEN 9 THEN '+44 12' || printf('%03d', c_custkey % 1000) || '7' WHEN 10 THEN '+91 ******1234'
@@ -120,3 +150,7 @@ def _facets_sql() -> str:
 
 
 ORACLE_SQL["facets"] = _facets_sql()
+
+#: Parts merge to what one aggregate over all rows gives.
+ORACLE_SQL |= {f"incremental_{new}": ORACLE_SQL[old] for new, old in (("people", "people_directory"), ("media_tabs", "media_tabs"), ("timeline", "timeline_daily"), ("seen", "first_last_seen"))}
+ORACLE_SQL["incremental_collections"] = with_tables("chunks") + "SELECT collection, count(*) AS document_count, round(avg(token_count), 6) AS average_tokens, count(DISTINCT sender_id) AS about_senders FROM chunks GROUP BY collection"
