@@ -3,29 +3,36 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns what it keeps of ``docs``; all but the last return the columns of
 ``documents``, the last adds ``shard`` and ``slot``. Stages meet as Parquet tables, so when one begins, its predecessor's
 intermediate tables are no longer needed and go.
+
+Null, empty, repeated and very long texts pass as each stage's operator says: quality rules reject texts without words, so what follows has
+words; rows without a key stay where a stage can't tell them apart. An empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chatloom.llm import decontamination, mixing, ngram_join, quality, sharding
-from chatloom.llm.scratch import recorded, release_paths, written
+from chatloom.scratch import recorded, release_paths, written
 
-#: By stage, the intermediate tables that it has written.
-_tables: dict[str, list[str]] = {}
+#: By stage, the intermediate tables that it has written; each thread has its own.
+_tables: ContextVar[dict[str, list[str]] | None] = ContextVar("tables", default=None)
 
 
 def _stage(after: str | None = None) -> Callable:
     """A stage that removes the intermediate tables of the stage ``after`` which it comes, whose result it is given as a table."""
     def wrap(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
         def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            release_paths(spark, _tables.pop(after, []), keep=docs)
+            own = _tables.get()
+            if own is None:
+                _tables.set(own := {})
+            release_paths(spark, own.pop(after, []), keep=docs)
             with recorded() as made:
                 out = work(spark, docs, sf_dir)
-            _tables.setdefault(work.__name__, []).extend(made)
+            own.setdefault(work.__name__, []).extend(made)
             return out
 
         run.__name__, run.__doc__ = work.__name__, work.__doc__
