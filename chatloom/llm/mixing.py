@@ -16,22 +16,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.scratch import written
+from chatloom.scratch import written
 
 #: 2**32 divided by the golden ratio, odd: multiples of it modulo 2**32 are the schedule's points.
 GOLDEN_STEP = 2654435769
 POINTS = 1 << 32
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: The mix is cut into this many slots, which bounds the schedule whatever the corpus' size.
+#: The mix is cut into this many slots at least; beyond some thousands of sources the slots grow with them.
 SLOTS = 1 << 18
-#: Each source has nearly this many slots at least (fewer only beside thousands of others).
+#: Each source has nearly this many slots at least, or, beside thousands of others, half of ``SLOTS_A_SOURCE``. The points of a golden-ratio
+#: row leave no gap as long as three slots, so every source with words has its slots.
 LEAST_SLOTS = 64
+SLOTS_A_SOURCE = 8
 #: A source's part of the circle is rounded to one of this many, so that products fit 63 bits.
 PARTS = 1 << 29
-#: Shuffled documents are dealt into this many runs a source; the position of a document is a sum over whole
-#: runs and a running sum inside its own, so no task holds a source.
+#: Shuffled documents are dealt into runs by so many hexadecimal digits of their hash at least, and more where a run would hold more than
+#: about ``RUN_ROWS`` of them; the position of a document is a sum over whole runs and a running sum inside its own, so no task holds a source.
 RUNS_DIGITS = 3
+RUN_ROWS = 1 << 20
 WORD_BYTES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -65,6 +68,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return level.select("source", "source_size", F.coalesce(F.least(F.col("cap"), share * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def slots_for(sources: int, least: int = SLOTS) -> int:
+    """Slots of a mix: a power of two, ``SLOTS_A_SOURCE`` or more for each source on average."""
+    return max(least, 1 << (SLOTS_A_SOURCE * sources - 1).bit_length()) if sources else least
+
+
 def slot_takes(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Slots of each source, with the block each takes, from ``(source_no, words)``: ``slot, source_no, block, slots_of``.
 
@@ -107,7 +115,11 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"))
     rows = rows.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")))))
-    rows = written(rows.withColumn("run", F.substring("mix_order", 1, RUNS_DIGITS)), "mix-rows")
+    rows = written(rows, "mix-rows")
+    n_rows, digits = rows.count(), RUNS_DIGITS
+    while n_rows > RUN_ROWS * 16**digits:
+        digits += 1
+    rows = rows.withColumn("run", F.substring("mix_order", 1, digits))
 
     runs = rows.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     sizes = runs.groupBy("source").agg(F.sum("run_size").alias("source_size"))
@@ -119,7 +131,7 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str =
     same_source = F.col("a.source").eqNullSafe(F.col("b.source"))
     starts = starts.alias("a").join(numbered.alias("b"), same_source).select("a.source", "run", "before", "source_size", "target", "words", "source_no")
 
-    takes = written(slot_takes(numbered.select("source_no", "words"), slots), "mix-takes")
+    takes = written(slot_takes(numbered.select("source_no", "words"), slots_for(targets.count(), slots)), "mix-takes")
     blocks = takes.groupBy("source_no").agg(F.first("slots_of").alias("slots_of"))
     starts = starts.join(blocks, "source_no", "left").withColumn("slots_of", F.coalesce("slots_of", F.lit(0)))
 

@@ -31,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from chatloom.llm import arrays
 from chatloom.llm.components import components
-from chatloom.llm.scratch import release, written
+from chatloom.scratch import release, written
 
 WIDTH = 5
 #: Similarity of at least NUM / DEN.
@@ -314,14 +315,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, label: str)
     return links
 
 
+def _near_duplicates_by_number(df: DataFrame, text: str, key: str) -> DataFrame:
+    """``near_duplicates`` for keys of any ordered type: numbers that rise with the keys stand for them, so the least number is the least key's."""
+    own = df.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    numbers = written(own.where("k IS NOT NULL").select("k").distinct().orderBy("k").select("k", F.monotonically_increasing_id().alias("number")), "ngram-keys")
+    docs = written(own.join(numbers, "k", "left").select(F.col("number").alias("doc_id"), "text"), "ngram-numbered")
+    found = near_duplicates(docs)
+    for column, name in (("doc_id", "own_key"), ("component_id", "least_key")):
+        found = found.join(numbers.select(F.col("number").alias(column), F.col("k").alias(name)), column, "left")
+    return found.select(F.col("own_key").alias(key), "n_shingles", F.col("least_key").alias("component_id"))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each row's ``key, n_shingles, component_id``; the component is named by its least key.
 
     Null, empty or blank text: no shingles, linked with nothing, its component is its own key. Fewer than five
     words: one shingle of them all, so such texts link only if equal. Null key: the row takes part in links, and its
     component is the least key that is not null in it, if any. Repeated rows each get a row. Empty table: no rows.
-    Other columns don't matter, whatever their names.
+    Other columns don't matter, whatever their names. Keys may be of any type that has an order; those that aren't whole numbers are
+    numbered in their order first.
     """
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        return _near_duplicates_by_number(df, text, key)
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scan = written(docs.mapInArrow(_scan, "doc_id bigint, n_shingles bigint, class bigint, signature array<bigint>, part int, counts array<bigint>"), "ngram-scan")

@@ -8,6 +8,7 @@ WITH docs AS (
          md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mix_order
   FROM documents
 ), sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+n_slots AS (SELECT greatest(262144, CAST(pow(2, ceil(log2(8 * count(*)))) AS BIGINT)) AS slots FROM sizes),
 numbered AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS source_no FROM sizes),
 weighed AS (
   SELECT *, CAST([5, 2, 1][(source_no - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(3 AS DOUBLE) AS cap FROM numbered
@@ -20,13 +21,13 @@ weighed AS (
   FROM levels
 ), wanted AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS words FROM targets
 ), widths AS (
-  SELECT source_no, words, CAST(floor(greatest(words / sum(words) OVER (), least(CAST(64 AS DOUBLE) / 262144, CAST(0.5 AS DOUBLE) / count(*) OVER ())) * 536870912) AS BIGINT) AS part
+  SELECT source_no, words, CAST(floor(greatest(words / sum(words) OVER (), least(CAST(64 AS DOUBLE) / (SELECT slots FROM n_slots), CAST(0.5 AS DOUBLE) / count(*) OVER ())) * 536870912) AS BIGINT) AS part
   FROM wanted WHERE words > 0
 ), cumulated AS (SELECT source_no, words, CAST(sum(part) OVER (ORDER BY source_no) AS BIGINT) AS upto, CAST(sum(part) OVER () AS BIGINT) AS parts FROM widths
 ), edges AS (
   SELECT source_no, words, upto * 4294967296 // parts AS hi, coalesce(lag(upto) OVER (ORDER BY source_no), 0) * 4294967296 // parts AS lo FROM cumulated
 ), points AS (
-  SELECT slot, slot * 2654435769 % 4294967296 AS point FROM (SELECT unnest(range(262144)) AS slot)
+  SELECT slot, slot * 2654435769 % 4294967296 AS point FROM (SELECT unnest(range(slots)) AS slot FROM n_slots)
 ), takes AS (
   SELECT slot, source_no, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS block, count(*) OVER (PARTITION BY source_no) AS slots_of
   FROM points JOIN edges ON point >= lo AND point < hi

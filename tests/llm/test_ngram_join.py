@@ -76,3 +76,18 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_keys_that_are_no_numbers(awkward, spark):
+    """The same components, named by the least key, when keys are texts; equal texts of null and repeated keys too."""
+    from pyspark.sql import functions as F
+
+    from chatloom.llm import ngram_join
+
+    text_key = F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("name")
+    docs = awkward.select("doc_id", "text", text_key)
+    want = {(r.doc_id and f"{r.doc_id:06d}", r.n_shingles, r.component_id and f"{r.component_id:06d}") for r in ngram_join.near_duplicates(docs).collect()}
+    got = ngram_join.near_duplicates(docs.drop("doc_id"), key="name")
+    assert {tuple(r) for r in got.collect()} == want and got.columns == ["name", "n_shingles", "component_id"]
+    kept = ngram_join.kept_one_of_each(docs.drop("doc_id"), key="name")
+    assert kept.columns == ["text", "name"] and kept.count() == ngram_join.kept_one_of_each(docs).count()

@@ -113,3 +113,39 @@ def test_mixed_documents_repeat_as_the_mix_says(awkward):
     want = {r.doc_id: r.starts for r in mixing.mixed(awkward).where("doc_id BETWEEN 100 AND 400").collect()}
     got = {r.doc_id: r["count"] for r in out.where("doc_id BETWEEN 100 AND 400").groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_many_tiny_sources_meet_their_targets(spark):
+    """300,000 sources of one document each: slots grow with them, none is left out."""
+    from pyspark.sql import functions as F
+
+    n = F.col("id")
+    df = spark.range(300_000).select(n.alias("doc_id"), F.concat(F.lit("s"), n).alias("source"), F.array_join(F.array_repeat(F.lit("w"), (n % 5 + 1).cast("int")), " ").alias("text"))
+    found = mixing.mixed(df).select(F.floor(F.col("target") + 1e-6).alias("want"), "taken")
+    assert found.where("want >= 1 AND taken = 0").isEmpty() and found.where("abs(taken - want) > 1").isEmpty() and found.count() == 300_000
+    assert mixing.slots_for(3) == mixing.SLOTS and mixing.slots_for(300_000) == 1 << 22
+
+
+def test_rows_alike_spread_over_buckets(spark):
+    """A third of the rows repeat one row whole: they fill many buckets, and every row still comes out once."""
+    from pyspark.sql import functions as F
+
+    n = F.col("id")
+    df = spark.range(30_000).select(F.when(n % 3 == 0, -1).otherwise(n).alias("doc_id"), F.when(n % 3 == 0, "the same line of text").otherwise(F.concat(F.lit("text "), n)).alias("text"))
+    rows = df.select(F.struct("doc_id", "text").alias("row"), sharding.row_bytes(df).alias("bytes"))
+    per = sharding.scattered(rows, 64, bucket_bytes=20_000).groupBy("bucket").count().collect()
+    assert len(per) == 64 and max(r["count"] for r in per) < 3 * 30_000 / 64
+    place = lambda some: sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(some, bucket_bytes=20_000).collect())
+    got = place(df)
+    assert got == place(df.repartition(7)) and len({x[1:] for x in got}) == 30_000
+
+
+def test_maps_and_variants_are_columns_like_others(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(500).select("id", F.lit("t").alias("text"), F.create_map(F.lit("k"), F.col("id")).alias("m"), F.parse_json(F.lit('{"a": 1}')).alias("v"))
+    out = sharding.shard_documents(df, bucket_bytes=500)
+    rows = out.collect()
+    assert sorted(r.id for r in rows) == list(range(500)) and all(r.m == {"k": r.id} for r in rows)
+    scattered = sharding.scattered(df.select(F.struct("id", "text", "m").alias("row"), F.lit(10).alias("bytes")), 8)
+    assert scattered.select("bucket").distinct().count() == 8
