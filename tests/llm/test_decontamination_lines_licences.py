@@ -3,7 +3,9 @@ import math
 import random
 import re
 import textwrap
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatloom.llm import decontamination, licenses, line_dedup
@@ -207,11 +209,45 @@ def test_own_licences_against_plain_python(spark):
     vector = lambda ws: {w: c * (math.log((n + 1) / (df[w] + 1)) + 1) for w, c in collections.Counter(ws).items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
     templates = [vector(split(t)) for _, t in licenses.TEMPLATES]
+    numbers = [set(split(name.rpartition("-")[2])) if name.rpartition("-")[2][:1].isdigit() else set() for name, _ in licenses.TEMPLATES]
     want = {}
     for (d, _), lines in zip(rows, texts, strict=True):
         units = [split(" ".join(lines[a : a + k])) for k in licenses.WINDOWS for a in range(len(lines) - k + 1)]
-        scores = [sum(x * t.get(w, 0) for w, x in v.items()) / size(v) / size(t) for v in map(vector, filter(None, units)) for t in templates]
-        want[d] = max([x for x in scores if x >= licenses.THRESHOLD], default=0.0)
+        want[d] = 0.0
+        for v in map(vector, filter(None, units)):
+            scores = [sum(x * t.get(w, 0) for w, x in v.items()) / size(v) / size(t) if all(w in v for w in t if w in versions) else 0 for t, versions in zip(templates, numbers, strict=True)]
+            best = max(range(len(scores)), key=lambda j: scores[j])
+            other = max((x for x, (name, _) in zip(scores, licenses.TEMPLATES, strict=True) if name != licenses.TEMPLATES[best][0]), default=0)
+            if scores[best] >= licenses.THRESHOLD and scores[best] - other >= licenses.MARGIN:
+                want[d] = max(want[d], scores[best])
     df_ = spark.createDataFrame([(d, None, t) for d, t in rows], "doc_id bigint, path string, text string").repartition(3)
     got = {r.doc_id: r.score for r in licenses.own_licences(df_).collect()}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want) and sum(x > 0 for x in want.values()) > 10
+
+
+WHOLE = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not WHOLE.exists(), reason="no public licence texts on this machine")
+def test_whole_licence_texts_are_named_rightly_or_not_at_all(spark):
+    """Whole texts as licence files, also without their first lines, and texts whose licence is none of the known ones."""
+    names = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "BSD": "BSD-3-Clause", "Artistic": None}
+    rows, right = [], {}
+    for i, (file, name) in enumerate((f, n) for f, n in names.items() if (WHOLE / f).exists()):
+        text = (WHOLE / file).read_text(errors="replace")
+        rows += [(i, f"{file}/LICENSE", text), (100 + i, f"{file}/part/LICENSE", "\n".join(text.split("\n")[12:]))]
+        right[i] = name
+    got = {r.doc_id: r.licence for r in licenses.own_licences(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert {i: got[i] for i in right} == right
+    assert all(got[100 + i] in (None, name) for i, name in right.items())
+
+
+def test_near_misses(spark):
+    """Titles, versions and wordings that are nearly those of a known licence name none."""
+    rows = [
+        (1, "a/LICENSE", "GNU LESSER PUBLIC LICENSE Version 9, June 1991\n" + "other words " * 40), (2, "b/x.c", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."),
+        (3, "c/x.c", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+        (4, "d/LICENSE", "Some Other Licence\n" + "you may look at this but not touch it nor take it home with you at all " * 8 + "\nTHE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"), (5, "e/x.c", "Licensed under the Apache License, Version 1.1."),
+    ]
+    got = {r.doc_id: r.licence for r in licenses.own_licences(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert got == {1: None, 2: None, 3: "GPL-2.0", 4: None, 5: None}
