@@ -164,35 +164,39 @@ class Matcher:
         table *= idf[:, None]
         return Matcher([x for x, _ in templates], vocabulary, idf, table / np.linalg.norm(table, axis=0), needed, n_titles)
 
-    def candidates(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, int, float, float, np.ndarray, np.ndarray]]:
+    def candidates(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> Iterator[tuple[int, int, float, float, np.ndarray, np.ndarray]]:
         """``(unit, template, product, square of the length by known words, other words, their times)`` of units that may be like enough.
 
-        Unit u is the words from ``starts[u]`` to ``ends[u]``, of kind ``kinds[u]``.
+        Unit u is the words from ``starts[u]`` to ``ends[u]``; all are of one kind.
         """
-        if not len(hashes):
+        if not len(hashes) or not len(starts):
             return
+        titles = np.arange(len(self.names)) >= len(self.names) - self.n_titles
+        columns = np.flatnonzero(titles == (kind == TITLE))
+        table, needed, least = self.templates[:, columns], self.needed[:, columns], LEAST[kind]
+        all_needed, heaviest = needed.sum(axis=0), table.max(axis=1)
+        names = np.unique(np.array(self.names)[columns], return_inverse=True)[1]
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == hashes
         upto = lambda x: np.append(0.0, np.cumsum(x))
         # a unit's vector is at least as long as with every word counted once a time and weight 1 for those in no template
-        square, most = upto(np.where(known, self.idf[at] ** 2, 1.0)), upto(np.where(known, self.idf[at] * self.templates[at].max(axis=1), 0.0))
-        least = np.array(LEAST)[kinds]
+        square, most = upto(np.where(known, self.idf[at] ** 2, 1.0)), upto(np.where(known, self.idf[at] * heaviest[at], 0.0))
         near = most[ends] - most[starts] >= least * np.sqrt(np.maximum(square[ends] - square[starts], 0)) - 1e-6
-        names = np.array(self.names)
-        titles = np.arange(len(names)) >= len(names) - self.n_titles
         for unit in np.flatnonzero(near & (ends > starts)).tolist():
             own, times = np.unique(hashes[starts[unit] : ends[unit]], return_counts=True)
             place = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
             hit = self.vocabulary[place] == own
             vector = times[hit] * self.idf[place[hit]]
-            all_products = (vector[:, None] * self.templates[place[hit]]).sum(axis=0)
-            meant = (titles == (kinds[unit] == TITLE)) & (self.needed[place[hit]].sum(axis=0) == self.needed.sum(axis=0))
-            products = np.where(meant, all_products, -1.0)
-            j, square_known = int(products.argmax()), float((vector**2).sum())
-            other = products[names != names[j]].max(initial=-1.0)
+            products = (vector[:, None] * table[place[hit]]).sum(axis=0)
+            square_known = float((vector**2).sum())
             shortest = math.sqrt(square_known + float((times[~hit] ** 2).sum()))
-            if products[j] >= least[unit] * shortest - 1e-9 and products[j] - other >= MARGIN * shortest:
-                yield unit, j, float(products[j]), square_known, own[~hit], times[~hit]
+            if products.max() < least * shortest - 1e-9:
+                continue
+            products = np.where(needed[place[hit]].sum(axis=0) == all_needed, products, -1.0)
+            j = int(products.argmax())
+            other = products[names != names[j]].max(initial=-1.0)
+            if products[j] >= least * shortest - 1e-9 and products[j] - other >= MARGIN * shortest:
+                yield unit, int(columns[j]), float(products[j]), square_known, own[~hit], times[~hit]
 
 
 def _lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +236,7 @@ def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
                     top = licence_file & (a == begins[row]) if len(row) else none
                     for pick, kind in ((~licence_file, WINDOW), (half, FILE), (top, TITLE)):
                         a_, b_, row_ = a[pick], b[pick], row[pick]
-                        for unit, j, product, square, others, times in m.candidates(hashes, a_, b_, np.full(len(a_), kind)):
+                        for unit, j, product, square, others, times in m.candidates(hashes, a_, b_, kind):
                             found[row_[unit]].append({"template": j, "product": product, "square": square, "least": LEAST[kind], "words": others.view(np.int64), "times": times})
                 own = [batch.column(c).slice(first, rows) for c in (0, 1, 3)]
                 yield pa.record_batch([pa.array(serial + np.arange(rows)), *own, pa.array(found, near)], ["row", "key", "path", "is_licence_file", "near"])
