@@ -204,7 +204,7 @@ def ingest_chunks(spark, sf_dir):
     run = lambda after: jobs.run_to_end(stream(), sinks.ingest_sink(sinks.open_store(spark, f"{base}/store", 16), accounts, chats, model, 64, after=after), f"{base}/checkpoint")
     _dying(run, "message_chunks", 2)
     found = sinks.open_store(spark, f"{base}/store", 16).read("message_chunks")
-    return found.select("vector_id", "owner_id", "content_part", F.md5("text").alias("text_md5"), "message_version", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("embedding_sum"))
+    return found.select("vector_id", "owner_id", "content_part", F.md5("text").alias("text_md5"), "message_version", F.size(F.filter("embedding", lambda x: x > 0)).alias("used"), F.array_position("embedding", F.array_max("embedding")).alias("top"))
 
 
 def stream_feed_updates(spark, sf_dir):
@@ -289,7 +289,7 @@ findings AS (
 
 _STATE_SQL = _C + """SELECT message_id, max(version) AS current_version, bool_or(kind = 'edit' AND version IS NOT NULL) AS is_edited, bool_or(kind = 'delete') AS is_deleted, max_by(update_id, CASE WHEN version IS NOT NULL THEN arrival END) AS last_update_id, count(*) AS n_updates
       FROM classified GROUP BY message_id HAVING max(version) IS NOT NULL OR bool_or(kind = 'delete')"""
-#: Of each piece of content that was let in: the text that it ends up with, whether it was there before its edit, and the sum of its embedding.
+#: Of each piece of content that was let in: the text that it ends up with, whether it was there before its edit, and what its embedding shows.
 _STORED = _decisions("false") + r""",
 pieces AS (SELECT p.*, c.indexing_enabled AND CAST(p.timestamp[1:19] AS TIMESTAMP) >= c.enabled_at AS let_in, CAST(split_part(message_id, '_', 1) AS BIGINT) * 3 + CAST(split_part(message_id, '_', 2) AS BIGINT) AS k FROM parts p JOIN chats c USING (owner_id, account_id, chat_id)),
 fate AS (SELECT *, k % 9 = 2 AND NOT is_deleted AS later_gone, (k % 4 = 1) AND k % 9 <> 2 AS edited FROM pieces WHERE let_in AND NOT is_deleted),
@@ -298,7 +298,7 @@ bodies AS (SELECT *, trim(said) AS cap, CASE WHEN content_type IN ('voice', 'vid
 stored AS (SELECT owner_id, content_type, edited AND NOT att AS edited, true AS was, 'telegram:' || account_id || ':' || chat_id || ':' || sid || ':' || CASE WHEN content_type = 'link' THEN 'text' ELSE content_type END || ':0' AS vector_id,
   CASE WHEN content_type IN ('text', 'link') THEN said WHEN stand_in IS NOT NULL THEN trim(concat_ws(' ', nullif(cap, ''), stand_in)) ELSE cap END AS content FROM bodies),
 words AS (SELECT vector_id, CAST('0x' || md5(w)[1:8] AS BIGINT) % 64 AS d, count(*) AS n FROM (SELECT vector_id, unnest(regexp_extract_all(lower(content), '[^\x20\x09-\x0D]+')) AS w FROM stored) GROUP BY 1, 2),
-sums AS (SELECT vector_id, sum(n) / sqrt(sum(n * n)) AS total FROM words GROUP BY 1)"""
+sums AS (SELECT vector_id, count(*) AS used, arg_min(d, 64 * -n + d) + 1 AS top FROM words GROUP BY 1)"""
 
 ORACLE_SQL = {
     "edit_classify": _CLASSIFY,
@@ -321,7 +321,7 @@ ORACLE_SQL = {
     "stream_update_results": _CLASSIFY,
     "stream_message_table": _STATE_SQL,
     "stream_feed_updates": with_tables("updates") + "SELECT message_id, arrival, kind, update_id, strftime(edit_ts, '%Y-%m-%d %H:%M:%S') AS edit_ts FROM updates",
-    "ingest_chunks": with_tables("raw_events", "chats", more=_STORED) + """SELECT vector_id, owner_id, CASE WHEN content_type = 'link' THEN 'text' ELSE content_type END AS content_part, md5(content) AS text_md5, CAST(CASE WHEN was AND edited THEN 2 ELSE 1 END AS BIGINT) AS message_version, round(coalesce(total, 0), 4) AS embedding_sum
+    "ingest_chunks": with_tables("raw_events", "chats", more=_STORED) + """SELECT vector_id, owner_id, CASE WHEN content_type = 'link' THEN 'text' ELSE content_type END AS content_part, md5(content) AS text_md5, CAST(CASE WHEN was AND edited THEN 2 ELSE 1 END AS BIGINT) AS message_version, coalesce(used, 0) AS used, coalesce(top, 1) AS top
       FROM stored LEFT JOIN sums USING (vector_id)""",
     "operation_log": with_tables("messages") + """SELECT message_id AS idempotency_key, CASE n % 3 WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'processing' END AS status, CAST(CASE WHEN n % 3 = 2 THEN 2 ELSE 1 END AS INT) AS attempt_count,
       CASE WHEN n % 3 = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS completed_at, CASE WHEN n % 3 = 2 THEN 'write failed' END AS error FROM (SELECT *, conv_id + turn AS n FROM messages)""",
