@@ -24,13 +24,10 @@ from chatloom.scratch import written
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW = 5
 ROUNDS = 100
-#: A rule is nearly always right on good documents; on bad ones it may be wrong mostly, as each rule knows one kind
-#: of badness only. The bounds keep the two classes from changing places.
-GOOD_BOUNDS, BAD_BOUNDS = (0.8, 0.999), (0.02, 0.98)
-#: A vote never speaks against itself: a rule's two accuracies add up to this at least.
-LEAST_SUM = 1.01
-#: The accuracies start at, and are held towards, these values with the weight of so many documents.
-START_ACCURACY, START_WEIGHT = (0.95, 0.3), 20.0
+#: The accuracies on good and bad documents start at, and are held towards, these values, with the weight of so many documents
+#: and of this share of all those judged. On bad documents a rule may be wrong mostly, as each knows one kind of badness only.
+#: The prior alone keeps the two classes from changing places; nothing that was estimated is clamped.
+START_ACCURACY, START_WEIGHT, PRIOR_SHARE = (0.95, 0.3), 20.0, 0.003
 START_GOOD = 0.8
 KEEP_FROM = 0.5
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_distinct_words", "n_repeat_words", "n_upper", "n_letters")
@@ -145,10 +142,11 @@ def estimate(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = R
     """Expectation-maximisation over the counts of vote patterns, with the starting accuracies as a prior."""
     trust = Trust(START_GOOD, (START_ACCURACY[0],) * n_rules, (START_ACCURACY[1],) * n_rules)
     ordered = sorted(patterns.items())
+    weight = START_WEIGHT + PRIOR_SHARE * sum(patterns.values())
     for _ in range(rounds):
         share_of = [0.0, 0.0]
-        right = [[start * START_WEIGHT] * n_rules for start in START_ACCURACY]
-        voted = [[START_WEIGHT] * n_rules for _ in START_ACCURACY]
+        right = [[start * weight] * n_rules for start in START_ACCURACY]
+        voted = [[weight] * n_rules for _ in START_ACCURACY]
         for pattern, n in ordered:
             p = 1 / (1 + math.exp(-trust.log_odds(pattern)))
             for side, share in enumerate((p, 1 - p)):
@@ -158,9 +156,7 @@ def estimate(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = R
                         voted[side][i] += n * share
                         right[side][i] += n * share * (v == (1, -1)[side])
         on_good, on_bad = ([r / v for r, v in zip(right[s], voted[s], strict=True)] for s in (0, 1))
-        on_good = [min(GOOD_BOUNDS[1], max(GOOD_BOUNDS[0], x)) for x in on_good]
-        on_bad = [min(BAD_BOUNDS[1], max(BAD_BOUNDS[0], LEAST_SUM - g, x)) for g, x in zip(on_good, on_bad, strict=True)]
-        good = (share_of[0] + START_GOOD * START_WEIGHT) / (sum(share_of) + START_WEIGHT)
+        good = (share_of[0] + START_GOOD * weight) / (sum(share_of) + weight)
         new = Trust(good, tuple(on_good), tuple(on_bad))
         if new == trust:
             break

@@ -72,10 +72,8 @@ def _quality_sql() -> str:
     rules, k = q.RULES, range(1, len(q.RULES) + 1)
     votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in rules)
     odds = "ln(good / (1 - good)) + " + " + ".join(f"CASE v[{i}] WHEN 1 THEN ln(og[{i}] / (1 - ob[{i}])) WHEN -1 THEN ln((1 - og[{i}]) / ob[{i}]) ELSE 0 END" for i in k)
-    (start_good, start_bad), w = q.START_ACCURACY, q.START_WEIGHT
-    rate = lambda p, right, start: [f"(sum(CASE WHEN v[{i}] = {right} THEN n * {p} ELSE 0 END) + {start * w}) / (sum(CASE WHEN v[{i}] <> 0 THEN n * {p} ELSE 0 END) + {w})" for i in k]
-    on_good = [f"least({q.GOOD_BOUNDS[1]}, greatest({q.GOOD_BOUNDS[0]}, {x}))" for x in rate("p", 1, start_good)]
-    on_bad = [f"least({q.BAD_BOUNDS[1]}, greatest({q.BAD_BOUNDS[0]}, {q.LEAST_SUM} - og[{i}], bad[{i}]))" for i in k]
+    start_good, start_bad = q.START_ACCURACY
+    rate = lambda p, right, start: [f"(sum(CASE WHEN v[{i}] = {right} THEN n * {p} ELSE 0 END) + {start} * w) / (sum(CASE WHEN v[{i}] <> 0 THEN n * {p} ELSE 0 END) + w)" for i in k]
     doubles = lambda x: f"[{', '.join(f'CAST({x} AS DOUBLE)' for _ in k)}]"
     return rf"""
 WITH RECURSIVE texts AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS t FROM documents),
@@ -89,12 +87,12 @@ figures AS (
     length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters FROM words LEFT JOIN covered USING (row_no)
 ), voted AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{votes}] AS v FROM figures),
 patterns AS (SELECT v, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY v),
+prior AS (SELECT {q.START_WEIGHT} + {q.PRIOR_SHARE} * CAST(coalesce(sum(n), 0) AS DOUBLE) AS w FROM patterns),
 em AS (
   SELECT 0 AS round, CAST({q.START_GOOD} AS DOUBLE) AS good, {doubles(start_good)} AS og, {doubles(start_bad)} AS ob
   UNION ALL
-  SELECT round + 1, share, og, [{', '.join(on_bad)}] FROM (
-    SELECT round, (sum(n * p) + {q.START_GOOD * w}) / (sum(n) + {w}) AS share, [{', '.join(on_good)}] AS og, [{', '.join(rate('(1 - p)', -1, start_bad))}] AS bad
-    FROM (SELECT round, v, n, 1 / (1 + exp(-({odds}))) AS p FROM em, patterns WHERE round < {q.ROUNDS}) GROUP BY round)
+  SELECT round + 1, (sum(n * p) + {q.START_GOOD} * w) / (sum(n) + w), [{', '.join(rate('p', 1, start_good))}], [{', '.join(rate('(1 - p)', -1, start_bad))}]
+  FROM (SELECT round, v, n, w, 1 / (1 + exp(-({odds}))) AS p FROM em, patterns, prior WHERE round < {q.ROUNDS}) GROUP BY round, w
 ), judged AS (SELECT voted.*, 1 / (1 + exp(-({odds}))) AS quality FROM voted, em WHERE round = {q.ROUNDS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= {q.KEEP_FROM} AS kept, round(quality, 6) AS quality FROM judged
 """

@@ -34,6 +34,17 @@ def test_estimate_finds_the_bad_kind():
     assert trust.on_bad[1] > 0.8 > 0.2 > 1 - trust.good
 
 
+def test_estimates_are_held_by_the_prior_alone():
+    never_wrong = quality.estimate({(1, 1): 10**9}, 2)
+    assert all(0.9998 < x < 1 for x in never_wrong.on_good) and never_wrong.log_odds((1, 1)) > 0
+    mostly_bad = quality.estimate({(1, 1, 1): 1000, (-1, -1, 1): 6000, (1, -1, -1): 2000, (-1, 0, -1): 1000}, 3)
+    assert mostly_bad.log_odds((1, 1, 1)) > 0 > max(mostly_bad.log_odds(p) for p in [(-1, -1, 1), (1, -1, -1), (-1, 0, -1)])
+    assert mostly_bad.good < 0.2 and all(x < 0.8 for x in mostly_bad.on_bad[2:])
+    small, large = (quality.estimate({(1, 1, 1): 900 * n, (-1, 1, 1): 5 * n, (1, -1, -1): 60 * n, (1, -1, 0): 30 * n}, 3) for n in (100, 100000))
+    assert all(abs(a - b) < 0.01 for a, b in zip(small.on_good + small.on_bad, large.on_good + large.on_bad, strict=True))
+    assert quality.estimate({}, 2).on_bad == (0.3, 0.3)
+
+
 def test_empty_table_and_pipeline_form(awkward, nothing):
     assert quality.judged(nothing).count() == 0
     kept = quality.kept_documents(awkward)
