@@ -2,9 +2,10 @@
 
 Training counts the hashed letter trigrams of every labelled text by language, one table of fixed size a language. A
 text is then a bag of words, each drawn from one of the languages: the trigrams of a word give its likelihood in each,
-and expectation-maximisation finds the languages' shares of the words. The set of languages is the one with the
-best likelihood after a penalty for each language in it, so that a few odd words don't add one; sets of up to
-all the learned languages are tried in the order of the shares. The answer is the language with the largest share in that set.
+and expectation-maximisation finds the languages' shares of the words. Sets of languages are tried from all the learned ones
+downwards: the language whose loss costs the least likelihood goes, and the shares of those left are estimated anew,
+until one is left; the likeliest single language is tried too. The set with the best likelihood after a penalty for each
+language in it is chosen, so that a few odd words don't add one. The answer is the language with the largest share in that set.
 
 Trigrams are over bytes of the words in lower case (A-Z only), with one blank on either side.
 """
@@ -23,11 +24,14 @@ from chatloom.llm import arrays
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
-ROUNDS = 12
+#: Rounds of expectation-maximisation over all languages, and over each smaller set from the shares before.
+ROUNDS, MORE_ROUNDS = 12, 6
 #: The penalty for one more language is this many times the logarithm of the number of words.
 PENALTY = 1.5
 #: Trigrams of a word overlap, so their likelihoods count in part.
 TEMPER = 0.5
+#: Stands for likelihoods and shares that have come down to nothing.
+TINY = 1e-12
 PARTS = 16
 UNDETERMINED = "und"
 
@@ -93,7 +97,7 @@ class Model:
     def word_likelihoods(self, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Of each word in each language, relative to the likeliest one."""
         sums = np.add.reduceat(self.table[buckets], starts, axis=0)
-        return np.exp(sums - sums.max(axis=1, keepdims=True)).astype(np.float64) + 1e-12
+        return np.exp(sums - sums.max(axis=1, keepdims=True)).astype(np.float64) + TINY
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(language number or -1, share, number of languages)`` of each row."""
@@ -107,24 +111,36 @@ class Model:
         rows = np.flatnonzero(count)
         of, first = np.repeat(np.arange(len(rows)), count[rows]), bounds[rows]
         n_words = count[rows].astype(np.float64)
-        shares = np.full((len(rows), k), 1 / k)
-        for _ in range(ROUNDS):
-            part = like * shares[of]
-            part /= part.sum(axis=1, keepdims=True)
-            shares = np.add.reduceat(part, first, axis=0) / n_words[:, None]
-        order = np.argsort(-shares, axis=1, kind="stable")
-        chosen, worth = np.ones(len(rows), np.int64), np.full(len(rows), -np.inf)
-        ranked, mass, within = np.take_along_axis(shares, order, 1), np.zeros(len(like)), np.zeros(len(rows))
-        for m in range(1, k + 1):
-            mass += like[np.arange(len(like)), order[of, m - 1]] * ranked[of, m - 1]
-            within += ranked[:, m - 1]
-            total = np.add.reduceat(np.log(mass / within[of]), first) - PENALTY * m * np.log(n_words + 1)
+        every = np.arange(len(rows))
+        shares, kept = np.full((len(rows), k), 1 / k), np.ones((len(rows), k), bool)
+        worth, chosen, answer = np.full(len(rows), -np.inf), np.ones(len(rows), np.int64), np.zeros((len(rows), k))
+
+        def offer(likelihood: np.ndarray, m: int, own: np.ndarray) -> None:
+            total = likelihood - PENALTY * m * np.log(n_words + 1)
             better = total > worth
-            chosen[better], worth[better] = m, total[better]
-        kept = np.arange(k) < chosen[:, None]
-        ranked = np.where(kept, ranked, 0)
-        best[rows], size[rows] = order[:, 0], chosen
-        score[rows] = np.clip(ranked[:, 0] / ranked.sum(axis=1), 0, 1)
+            worth[better], chosen[better], answer[better] = total[better], m, own[better]
+
+        alone = np.add.reduceat(np.log(like), first, axis=0)
+        likeliest = alone.argmax(axis=1)
+        offer(alone[every, likeliest], 1, np.eye(k)[likeliest])
+        for m in range(k, 1, -1):
+            for _ in range(ROUNDS if m == k else MORE_ROUNDS):
+                part = like * shares[of]
+                part /= part.sum(axis=1, keepdims=True)
+                shares = np.add.reduceat(part, first, axis=0) / n_words[:, None]
+            part = like * shares[of]
+            mass = part.sum(axis=1, keepdims=True)
+            offer(np.add.reduceat(np.log(mass[:, 0]), first), m, shares)
+            if m == 2:
+                break
+            rest = np.maximum(1 - shares, TINY)
+            left = np.add.reduceat(np.log(np.maximum(mass - part, TINY)), first, axis=0) - n_words[:, None] * np.log(rest)
+            gone = np.where(kept, left, -np.inf).argmax(axis=1)
+            kept[every, gone] = False
+            shares = np.where(kept, np.maximum(shares, TINY), 0)
+            shares /= shares.sum(axis=1, keepdims=True)
+        best[rows], size[rows] = answer.argmax(axis=1), chosen
+        score[rows] = np.clip(answer.max(axis=1), 0, 1)
         return best, score, size
 
 

@@ -1,6 +1,9 @@
 import collections
+import itertools
 import math
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -41,6 +44,90 @@ def test_a_text_in_more_than_four_languages(spark):
     assert all(abs(r.score - 1 / n) < 0.01 for n, r in got.items())
 
 
+def plain_trigrams(word):
+    spaced = b" " + word + b" "
+    codes = (int.from_bytes(spaced[i : i + 3], "big") for i in range(len(word)))
+    return [(c * 2654435761 & 0xFFFFFFFF) >> 32 - language.BUCKET_BITS for c in codes]
+
+
+def plain_words(text):
+    return re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
+
+
+def plain_shares(like, own, rounds=300):
+    """Shares of the languages ``own`` and the log likelihood, by expectation-maximisation word by word."""
+    shares = dict.fromkeys(own, 1 / len(own))
+    for _ in range(rounds):
+        sums = dict.fromkeys(own, 0.0)
+        for word in like:
+            mass = sum(shares[x] * word[x] for x in own)
+            for x in own:
+                sums[x] += shares[x] * word[x] / mass
+        shares = {x: v / len(like) for x, v in sums.items()}
+    return shares, sum(math.log(sum(shares[x] * word[x] for x in own)) for word in like)
+
+
+def test_language_sets_against_every_set_in_plain_python(spark):
+    """Tables, words, likelihoods and shares anew, and every set of the learned languages instead of one falling row of sets."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held", language.held_out(F.col("doc_id"), 4))
+    learned = docs.where("NOT held AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").collect()
+    counts = collections.defaultdict(collections.Counter)
+    for r in learned:
+        for word in plain_words(r.text):
+            counts[r.lang].update(plain_trigrams(word))
+    totals = {x: sum(c.values()) + language.SMOOTHING * language.BUCKETS for x, c in counts.items()}
+
+    def plain(text):
+        like = []
+        for word in plain_words(text):
+            logs = {x: language.TEMPER * sum(math.log((counts[x][b] + language.SMOOTHING) / totals[x]) for b in plain_trigrams(word)) for x in counts}
+            like.append({x: math.exp(v - max(logs.values())) + language.TINY for x, v in logs.items()})
+        tried = []
+        for m in range(1, len(counts) + 1):
+            for own in itertools.combinations(sorted(counts), m):
+                shares, total = plain_shares(like, own)
+                tried.append((total - language.PENALTY * m * math.log(len(like) + 1), m, shares))
+        return max(tried, key=lambda x: x[0]), sorted(x[0] for x in tried)[-2]
+
+    held = {r.doc_id: r for r in docs.where("held AND length(text) > 40 AND length(text) < 1200").collect()}
+    by_lang = collections.defaultdict(list)
+    for r in sorted(held.values(), key=lambda r: r.doc_id):
+        by_lang[r.lang].append(" ".join(r.text.split()[:60]))
+    texts = [some[i] for some in by_lang.values() for i in range(min(4, len(some)))]
+    for (a, x), (b, y) in itertools.permutations(by_lang.items(), 2):
+        texts += [f"{' '.join(x[0].split()[:40])} {' '.join(y[1].split()[:n])}" for n in (3, 12, 35)]
+    texts.append(" ".join(" ".join(x[2].split()[:25]) for x in by_lang.values()))
+    got = language.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), language.trained(docs.where("NOT held")))
+    clear = several = 0
+    for r in got.collect():
+        (worth, m, shares), second = plain(texts[r.doc_id])
+        ranked = sorted(shares.values())
+        if worth - second < 0.05 or len(ranked) > 1 and ranked[-1] - ranked[-2] < 0.02:
+            continue
+        clear, several = clear + 1, several + (m > 1)
+        assert (r.lang_pred, r.n_languages) == (max(shares, key=shares.get), m)
+        assert abs(r.score - max(shares.values())) < 0.02
+    assert clear > 0.8 * len(texts) and several > 10
+
+
+def test_chosen_set_decides_the_language():
+    """A language that leads while all take part, but is not needed once its share is given to those left, is not the answer."""
+    rng = np.random.default_rng(5)
+    changed = 0
+    for _ in range(300):
+        model = language.Model({x: np.zeros(language.BUCKETS, np.int64) for x in "abcd"})
+        model.table[: language.BUCKETS] = rng.normal(0, 0.6, (language.BUCKETS, 4))
+        raw = np.frombuffer(b" ".join(rng.bytes(2).hex().translate(str.maketrans("0123456789", "ghijklmnop")).encode() for _ in range(60)), np.uint8)
+        best, score, size = model.predict(raw, np.array([0, len(raw)]))
+        buckets, starts, _, _ = language.trigrams(raw, np.array([0, len(raw)]))
+        like, shares = model.word_likelihoods(buckets, starts), np.full(4, 0.25)
+        for _ in range(language.ROUNDS):
+            shares = (like * shares / (like @ shares)[:, None]).mean(axis=0)
+        assert 1 <= size[0] <= 4 and 1 / size[0] - 1e-9 <= score[0] <= 1
+        changed += best[0] != shares.argmax()
+    assert changed > 0
+
+
 def tokens(text):
     return (text or "").encode().lower().split() + [None]
 
