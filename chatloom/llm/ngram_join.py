@@ -13,8 +13,11 @@ can reach the bound, and only that part is built:
    sizes alone rule them out. Long columns (a passage or near copies in many documents) are not multiplied out:
    each of their documents is paired with the column's least one, which joins nearly all of a group of near copies
    into one component at a linear cost.
-4. Pairs whose bit signatures differ in more places than their sizes allow are discarded; the rest is verified on
-   the whole sets.
+4. A pair's overlaps are added up over all blocks. What lies behind the columns that count is at most ``ceil(4n/5) - 1``
+   shingles of the set whose columns end first, and of the long columns a pair shares at most as many as either set has;
+   pairs whose overlap cannot reach 4/9 of both sizes that way are discarded (of equal sets of n shingles, those that share
+   less than 4n/45 of their n/5 rarest). Then go pairs whose bit signatures differ in more places than their sizes
+   allow; the rest is verified on the whole sets.
 5. Long columns whose documents are not all in one component yet get further stars around other documents. What is
    then still divided is taken up pair by pair, for what stars may miss: pairs of documents whose components differ,
    within the bounds of sizes and bit signatures, each in the first column that they share. These are verified too, so
@@ -287,15 +290,43 @@ def _may_link(a: str, b: str, a_size: str, b_size: str) -> F.Column:
     return sizes & ((DEN + NUM) * _apart(a, b) <= (DEN - NUM) * (F.col(a_size) + F.col(b_size)))
 
 
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of classes that may link, each once."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _may_reach(overlap: str, a_long: str, b_long: str, a_size: str, b_size: str) -> F.Column:
+    """Whether a pair that shares ``overlap`` short columns can share as many shingles as a link asks for.
+
+    Beyond short columns it shares no more than the fewer long columns of the two, and of what lies behind the columns that
+    count no more than the longer rest of the two.
+    """
+    rest = f"({NUM} * greatest({a_size}, {b_size}) + {DEN - 1}) DIV {DEN} - 1"
+    return F.expr(f"{DEN + NUM} * ({overlap} + least({a_long}, {b_long}) + {rest}) >= {NUM} * ({a_size} + {b_size})")
+
+
+def _reaching(pairs: DataFrame, n_long: DataFrame) -> DataFrame:
+    """Pairs ``(a, a_size, b, b_size, overlap)`` with a < b, each once with its overlaps added up, that sizes leave possible.
+
+    ``n_long``: ``(class, n_long)`` of the classes with long columns, and in how many of them each is.
+    """
+    pairs = pairs.groupBy("a", "b").agg(F.min("a_size").alias("a_size"), F.min("b_size").alias("b_size"), F.sum("overlap").alias("overlap"))
+    for side in ("a", "b"):
+        pairs = pairs.join(n_long.select(F.col("class").alias(side), F.col("n_long").alias(f"{side}_long")), side, "left")
+    return pairs.fillna(0, ["a_long", "b_long"]).where(_may_reach("overlap", "a_long", "b_long", "a_size", "b_size")).select("a", "b", "overlap")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, n_long: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of classes that may link, by overlap and sizes, then by bit signatures; each once."""
+    pairs = _reaching(pairs, n_long)
     for side in ("a", "b"):
         own = classes.select(F.col("class").alias(side), F.col("signature").alias(f"{side}_bits"), F.col("n_shingles").alias(f"{side}_size"))
         pairs = pairs.join(own, side)
     return pairs.where(_may_link("a_bits", "b_bits", "a_size", "b_size")).select("a", "b")
 
 
+def _stars(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of each long column's centre with the classes of other components in it, as ``_reaching`` takes them."""
+    ends = rows.join(centres, "shingle").where("component <> centre.component").select(F.struct("class", "size").alias("x"), F.struct("centre.class", "centre.size").alias("y"))
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    return ends.select(low["class"].alias("a"), low["size"].alias("a_size"), high["class"].alias("b"), high["size"].alias("b_size"), F.lit(0).alias("overlap"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """The pairs ``(a, b)`` of classes that are links, by their whole sets.
 
@@ -349,31 +380,34 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     blocks = BLOCKS_AT_LEAST + total // DEN // BLOCK
     packed = docs.select("text").mapInArrow(_incidences(place_of, blocks), "block bigint, shingles binary, classes binary, sizes binary")
     product = written(packed.groupBy("block").applyInArrow(_product, PRODUCT), "ngram-product")
-    tried = product.where("b is not null").select("a", "b")
-    rows_of = written(product.where("b is null").select("shingle", F.col("a").alias("class"), F.col("a").alias("component")), "ngram-long")
-    links = None
+    short = product.where("b is not null").select("a", "a_size", "b", "b_size", "overlap")
+    rows_of = written(product.where("b is null").select("shingle", F.col("a").alias("class"), F.col("a_size").alias("size"), F.col("a").alias("component")), "ngram-long")
+    n_long = written(rows_of.groupBy("class").agg(F.count("*").alias("n_long")), "ngram-counts")
+    links = tried = None
     for number in range(STAR_ROUNDS):
         # the first stars are around the least documents, which many columns share; later ones around others
         order = F.col("class") if number == 0 else F.xxhash64("class", "shingle", F.lit(number))
-        centres = rows_of.groupBy("shingle").agg(F.min_by(F.struct("class", "component"), order).alias("centre"))
-        star = rows_of.join(centres, "shingle").where("component <> centre.component").select(F.col("centre.class").alias("a"), F.col("class").alias("b"))
-        new = _possible(tried.union(star) if number == 0 else star, classes)
-        new = written(new if number == 0 else new.join(tried, ["a", "b"], "left_anti"), f"ngram-try-{number}")
+        centres = rows_of.groupBy("shingle").agg(F.min_by(F.struct("class", "component", "size"), order).alias("centre"))
+        star = _stars(rows_of, centres)
+        # a pair that short columns joined has been tried or discarded with all its overlap by the end of the first round
+        new = _possible(short.union(star) if number == 0 else star.join(tried, ["a", "b"], "left_anti"), classes, n_long)
+        new = written(new, f"ngram-try-{number}")
         found = _verified(new, docs, classes, f"ngram-star-{number}")
         tried = new if number == 0 else tried.union(new)
         named = written(components(found if links is None else links.union(found), f"ngram-{number}"), f"ngram-named-{number}")
         links = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        rows_of = rows_of.drop("component").join(named, F.col("class") == F.col("node"), "left").select("shingle", "class", F.coalesce("component", "class").alias("component"))
+        rows_of = rows_of.drop("component").join(named, F.col("class") == F.col("node"), "left").select("shingle", "class", "size", F.coalesce("component", "class").alias("component"))
         divided = rows_of.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
         rows_of = written(rows_of.join(divided, "shingle", "left_semi"), f"ngram-open-{number}")
         if rows_of.isEmpty():
             break
     else:
         own = rows_of.groupBy("class").agg(F.collect_list("shingle").alias("columns"))
-        full = written(rows_of.join(own, "class").join(classes.select("class", "signature", F.col("n_shingles").alias("size")), "class"), "ngram-rest-rows")
-        a, b = (full.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("class", "size", "component", "signature", "columns"))) for s in ("a", "b"))
+        full = written(rows_of.join(own, "class").join(n_long, "class").join(classes.select("class", "signature"), "class"), "ngram-rest-rows")
+        a, b = (full.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("class", "size", "component", "signature", "columns", "n_long"))) for s in ("a", "b"))
         first_shared = F.array_min(F.array_intersect("a_columns", "b_columns"))
-        test = (F.col("a_component") < F.col("b_component")) & _may_link("a_signature", "b_signature", "a_size", "b_size") & (a["shingle"] == first_shared)
+        reach = _may_reach("0", "a_n_long", "b_n_long", "a_size", "b_size")
+        test = (F.col("a_component") < F.col("b_component")) & reach & _may_link("a_signature", "b_signature", "a_size", "b_size") & (a["shingle"] == first_shared)
         rest = a.join(b, (a["shingle"] == b["shingle"]) & test).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
         more = _verified(rest.join(tried, ["a", "b"], "left_anti"), docs, classes, "ngram-rest")
         named = components(links.union(more), "ngram-all")

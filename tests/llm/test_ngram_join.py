@@ -91,3 +91,47 @@ def test_keys_that_are_no_numbers(awkward, spark):
     assert {tuple(r) for r in got.collect()} == want and got.columns == ["name", "n_shingles", "component_id"]
     kept = ngram_join.kept_one_of_each(docs.drop("doc_id"), key="name")
     assert kept.columns == ["text", "name"] and kept.count() == ngram_join.kept_one_of_each(docs).count()
+
+
+@pytest.mark.parametrize("copies", [2, 5, 30])
+def test_links_near_the_bound(spark, copies):
+    """Similarities of 0.7 to 0.9 on either side of the bound, in short and in long columns, of unequal sizes too."""
+    rng = random.Random(copies)
+    word = lambda: str(rng.randrange(10**6))
+    rows = []
+    for _ in range(90 // copies):
+        text = [word() for _ in range(rng.randrange(30, 150))]
+        for _ in range(copies):
+            cut, grown = rng.randrange(len(text) // 6), rng.randrange(len(text) // 8)
+            rows.append((len(rows), " ".join(text[cut:] + [word() for _ in range(grown)])))
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+
+
+def test_overlaps_discard_no_link_and_most_others(spark):
+    """The bound on added-up overlaps against whole sets: links stay, most pairs that share a passage only go."""
+    rng = random.Random(7)
+    passage, base, pool = [f"p{i}" for i in range(12)], [f"b{i}" for i in range(60)], [f"q{i}" for i in range(70)]
+    sets = [frozenset([f"x{n // 2}-{i}" for i in range(3)] + rng.sample(pool, 47)) for n in range(12)]
+    sets += [frozenset(base[: 60 - rng.randrange(8)] + passage[: rng.randrange(3)] + [f"y{n}-{i}" for i in range(rng.randrange(6))]) for n in range(30)]
+    count = {v: sum(v in s for s in sets) for v in set().union(*sets)}
+    ordered = [sorted(s, key=lambda v: (count[v], v))[: len(s) - -(-4 * len(s) // 5) + 1] for s in sets]
+    columns = {}
+    for n, own in enumerate(ordered):
+        for v in own:
+            columns.setdefault(v, []).append(n)
+    pairs, n_long = [], {}
+    for members in columns.values():
+        if len(members) > ngram_join.SHORT:
+            for n in members:
+                n_long[n] = n_long.get(n, 0) + 1
+            pairs += [(a, len(sets[a]), b, len(sets[b]), 0) for a in members for b in members if a < b]
+        else:
+            pairs += [(a, len(sets[a]), b, len(sets[b]), 1) for a in members for b in members if a < b]
+    assert n_long and any(p[4] for p in pairs)
+    given = spark.createDataFrame(pairs, "a bigint, a_size int, b bigint, b_size int, overlap int")
+    counts = spark.createDataFrame(list(n_long.items()), "class bigint, n_long bigint")
+    left = {(r.a, r.b) for r in ngram_join._reaching(given, counts).collect()}
+    tried = {(p[0], p[2]) for p in pairs}
+    linked = {(a, b) for a, b in tried if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    apart = {(a, b) for a, b in tried - linked if b < 12}
+    assert linked and linked <= left and len(apart) > 20 and len(apart & left) < 0.5 * len(apart)
