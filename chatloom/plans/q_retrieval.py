@@ -156,23 +156,25 @@ DIM = 64
 
 
 def _embedded(spark, sf_dir):
-    """Chunks and questions, both embedded by the stand-in model."""
+    """Chunks and questions, both embedded by the stand-in model, and the chunks without vectors."""
     model = lambda: embed.hashing_embedder(DIM)
-    chunks = embed.embed(tables.chunks(spark, sf_dir).drop("embedding"), model, DIM)
+    texts = tables.chunks(spark, sf_dir).drop("embedding")
+    chunks = embed.embed(texts, model, DIM)
     asked = tables.query_vectors(spark, sf_dir).select("query_id", "owner_id", "top_k", "question")
     ready = asked.withColumn("prepared", snippet.preprocess(F.col("question")))
-    return chunks, embed.embed(ready, model, DIM, text="prepared").withColumnRenamed("embedding", "query_vector").drop("prepared")
+    return chunks, embed.embed(ready, model, DIM, text="prepared").withColumnRenamed("embedding", "query_vector").drop("prepared"), texts
 
 
 def question_search(spark, sf_dir):
     """From a question to its hits: preparation, embedding, search."""
-    return _thin(search.knn(*_embedded(spark, sf_dir)))
+    chunks, queries, texts = _embedded(spark, sf_dir)
+    return _thin(search.knn(chunks, queries, texts=texts))
 
 
 def question_sources(spark, sf_dir):
     """The whole way: question, embedding, search, the snippet of each hit, and the sources that show it."""
-    chunks, queries = _embedded(spark, sf_dir)
-    hits = search.knn(chunks, queries)
+    chunks, queries, texts = _embedded(spark, sf_dir)
+    hits = search.knn(chunks, queries, texts=texts)
     keys = ["query_id", "vector_id"]
     cut = snippet.snippets(hits.join(queries.select("query_id", "question"), "query_id").select(*keys, "question", "text"), keys).select(*keys, "focused_snippet")
     return rag.sources(hits.join(cut, keys, "left"))
