@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chatloom.schemas import CHAT_SOURCE
 
@@ -45,13 +47,19 @@ def citations(hits: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(StringType())
+def four_digits(numbers: pd.Series) -> pd.Series:
+    """A number with four digits, rounded by its exact binary value as Python and SQL do; ``format_string`` rounds what it would print in full."""
+    return numbers.map(lambda x: None if pd.isna(x) else f"{x:.4f}").astype(object)
+
+
 def context_blocks(hits: DataFrame) -> DataFrame:
     """Each hit as a labelled block of text."""
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) if c in hits.columns else F.lit("")
     start, end = text("start_timestamp"), text("end_timestamp")
     when = F.when((start != "") & (end != "") & (start != end), F.concat(start, F.lit(" to "), end)).when(start != "", start).when(end != "", end).otherwise("N/A")
     block = F.concat_ws(
-        "\n", F.concat(F.lit("[Document "), F.col("rank"), F.lit("]")), F.concat(F.lit("Similarity : "), F.format_string("%.4f", "similarity")), F.concat(F.lit("ID         : "), F.col("vector_id")),
+        "\n", F.concat(F.lit("[Document "), F.col("rank"), F.lit("]")), F.concat(F.lit("Similarity : "), four_digits("similarity")), F.concat(F.lit("ID         : "), F.col("vector_id")),
         F.concat(F.lit("Source     : "), F.coalesce(F.nullif(text("conversation_title"), F.lit("")), F.lit("Unknown"))), F.concat(F.lit("Timestamp  : "), when),
         F.concat(F.lit("Chunk      : "), F.coalesce(F.col("chunk_index").cast("string"), F.lit("N/A"))), F.lit(""), F.col("text"),
     )

@@ -1,4 +1,4 @@
-"""The block-wise exact search against all pairs in plain Spark."""
+"""The block-wise exact search against all pairs in plain Spark, and the digits of contexts."""
 
 import numpy as np
 import pytest
@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatloom.operators import nearest as nearest_module
-from chatloom.operators import search
+from chatloom.operators import rag, search
 from chatloom.sources import tables
 
 
@@ -42,3 +42,9 @@ def test_pairs_are_never_sorted(spark):
     plan = search.knn(tables.chunks(spark, sf), queries)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
     assert "NestedLoop" not in plan
+
+
+def test_context_digits_are_those_of_sql(spark):
+    numbers = [i / 1_000_000 for i in range(50, 1_000_000, 100)] + [None]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    assert [r[0] for r in df.select(rag.four_digits("x")).collect()] == [None if x is None else f"{x:.4f}" for x in numbers]
