@@ -38,30 +38,30 @@ def _blocks(counted: DataFrame, asks: DataFrame, most_asks: int) -> DataFrame:
     return rows.join(found, F.col("owner") == F.col("asking")).select("owner", F.ceil(F.col("rows") / own).cast("int").alias("n_rows"), F.ceil(F.col("asks") / F.least(most, F.lit(float(most_asks)))).cast("int").alias("n_asks"))
 
 
-def nearest(rows: DataFrame, asks: DataFrame, metric: str, same: tuple[str, ...] = (), among: tuple[str, ...] = (), timed: bool = False, counted: DataFrame | None = None, most: int = MOST_ASKS, pairs: int = STEP_PAIRS) -> DataFrame:
+def nearest(rows: DataFrame, asks: DataFrame, metric: str, same: tuple[str, ...] = (), among: tuple[str, ...] = (), timed: bool = False, counted: DataFrame | None = None, most: int = MOST_ASKS, pairs: int = STEP_PAIRS, buckets: bool = False) -> DataFrame:
     """``query_id, vector_id, distance``: each query's ``first_k`` best rows of its owner, and more of them from other blocks.
 
     ``rows``: vector_id (without repeats), owner_id, embedding; ``asks``: query_id, owner_id, query_vector, first_k. ``same`` and ``among`` name columns that both
     have: a row passes if the query's value is null, or equals (is an array that holds) the row's. ``timed``: rows have ``at``,
     asks ``at_least`` and ``at_most``, all in microseconds. Vectors of other lengths than the query's take no part. ``counted``: a cheaper
     table with the rows' owners, for the size of the blocks. ``most``: queries of a block at most; ``pairs``: pairs looked at
-    at once.
+    at once. ``buckets``: both have ``buckets``, and only pairs that agree in one of them, place by place, count.
     """
     sizes = _blocks(rows if counted is None else counted, asks, most)
-    row_filters, ask_filters = [*same, *among, *(["at"] if timed else [])], [*same, *among, *(["at_least", "at_most"] if timed else [])]
+    row_filters, ask_filters = [*same, *among, *(["at"] if timed else []), *(["buckets"] if buckets else [])], [*same, *among, *(["at_least", "at_most"] if timed else []), *(["buckets"] if buckets else [])]
     c = rows.where(usable("embedding")).join(sizes, F.col("owner_id") == F.col("owner"))
     c = c.select("vector_id", "embedding", *row_filters, F.col("owner").alias("owner"), F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vector_id"), F.col("n_rows")).cast("int").alias("row_block"), F.explode(F.sequence(F.lit(0), F.col("n_asks") - 1)).alias("ask_block"))
     q = asks.where(usable("query_vector") & (F.col("first_k") > 0)).join(sizes, F.col("owner_id") == F.col("owner"))
     q = q.select("query_id", "query_vector", F.col("first_k").cast("int").alias("first_k"), *ask_filters, F.col("owner").alias("owner"), F.size("query_vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row_block"), F.pmod(F.xxhash64("query_id"), F.col("n_asks")).cast("int").alias("ask_block"))
     schema = f"query_id {asks.schema['query_id'].dataType.simpleString()}, vector_id {rows.schema['vector_id'].dataType.simpleString()}, distance double"
     keys = ["owner", "dim", "row_block", "ask_block"]
-    return c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_meeting(metric, same, among, timed, pairs), schema)
+    return c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_meeting(metric, same, among, timed, pairs, buckets), schema)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
     n = len(column)
     parts = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in column.chunks]
-    return np.concatenate(parts).astype(np.float64).reshape(n, -1)
+    return np.concatenate(parts).astype(kind).reshape(n, -1)
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -172,7 +172,26 @@ def _passes(rows: pa.Table, asks: pa.Table, same: tuple[str, ...], among: tuple[
     return passing
 
 
-def _meeting(metric: str, same: tuple[str, ...], among: tuple[str, ...], timed: bool, pairs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+class _Shared:
+    """Which queries and rows agree in a bucket."""
+
+    def __init__(self, asks: np.ndarray, rows: np.ndarray) -> None:
+        self.asks, self.rows = np.ascontiguousarray(asks.T), np.ascontiguousarray(rows.T)
+
+    def block(self, asks: np.ndarray, start: int, end: int) -> np.ndarray:
+        out = np.zeros((len(asks), end - start), bool)
+        for a, r in zip(self.asks, self.rows, strict=True):
+            out |= a[asks][:, None] == r[None, start:end]
+        return out
+
+    def each(self, ask: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ask), bool)
+        for a, r in zip(self.asks, self.rows, strict=True):
+            out |= a[ask] == r[row]
+        return out
+
+
+def _meeting(metric: str, same: tuple[str, ...], among: tuple[str, ...], timed: bool, pairs: int, buckets: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def meet(rows: pa.Table, asks: pa.Table) -> pa.Table:
         if not rows.num_rows or not asks.num_rows:
             return pa.table({"query_id": asks["query_id"].slice(0, 0), "vector_id": rows["vector_id"].slice(0, 0), "distance": pa.array([], pa.float64())})
@@ -182,6 +201,7 @@ def _meeting(metric: str, same: tuple[str, ...], among: tuple[str, ...], timed:
         ask, row, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         worst = np.full(len(k), np.inf)  # the value of the last row that a query would keep; infinite while it has too few
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        shared = _Shared(_matrix(asks["buckets"], np.int64), _matrix(rows["buckets"], np.int64)) if buckets else None
         step = max(1, pairs // len(k))
         for start in range(0, rows.num_rows, step):
             end = min(start + step, rows.num_rows)
@@ -190,6 +210,8 @@ def _meeting(metric: str, same: tuple[str, ...], among: tuple[str, ...], timed:
                 far[~allowed] = np.inf
             edge = m.below(worst, -_HALF, slice(None))
             open_ = np.flatnonzero(np.isinf(worst))
+            if len(open_) and shared:
+                far[open_] = np.where(shared.block(open_, start, end), far[open_], np.inf)
             if len(open_):
                 at = min(int(k[open_].max()), end - start) - 1
                 last = np.partition(far[open_], at, axis=1)[:, at]
@@ -197,6 +219,9 @@ def _meeting(metric: str, same: tuple[str, ...], among: tuple[str, ...], timed:
                 if metric == "l2":  # a root of what rounding has moved
                     edge[open_] += 2 * np.sqrt(m.slack[open_]) * 4 * _HALF
             a, r = np.nonzero(far < edge[:, None])
+            if shared:
+                met = shared.each(a, r + start)
+                a, r = a[met], r[met]
             v = m.exact(a, r + start)
             better = v < worst[a]
             waiting.append((a[better], r[better] + start, v[better]))

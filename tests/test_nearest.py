@@ -35,6 +35,23 @@ def test_small_blocks_find_what_all_pairs_do(spark, monkeypatch, metric):
     assert got == want and len(want) > 50
 
 
+def test_buckets_find_what_a_join_on_buckets_does(spark, monkeypatch):
+    """The best of the pairs that share a bucket, also where few do; none of them a row of a join."""
+    monkeypatch.setattr(nearest_module, "LEAST_ROWS", 41)
+    rng = np.random.default_rng(8)
+    vectors = [[float(np.float32(x)) for x in rng.normal(size=8)] for _ in range(300)]
+    chunks = spark.createDataFrame([(f"v{i:03d}", f"o{i % 2}", "x", False, v) for i, v in enumerate(vectors)], "vector_id string, owner_id string, source string, is_deleted boolean, embedding array<float>")
+    queries = spark.createDataFrame([(i, f"o{i % 2}", vectors[i]) for i in range(0, 300, 9)], "query_id bigint, owner_id string, query_vector array<float>")
+    got = search.knn_lsh(chunks, queries, k=4, dim=8, tables=3, bits=6)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    c = search.lsh_buckets(chunks.select("vector_id", "owner_id", "embedding"), "embedding", 8, 3, 6, 7).alias("c")
+    q = search.lsh_buckets(queries, "query_vector", 8, 3, 6, 7).alias("q")
+    met = c.join(q, F.expr("c.owner_id = q.owner_id AND arrays_overlap(c.buckets, q.buckets)")).select("query_id", "vector_id", F.round(search.distance(F.col("embedding"), F.col("query_vector"), "cosine"), 9).alias("distance"))
+    want = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vector_id"))).where("rank <= 4")
+    found = {(r.query_id, r["rank"]): r.vector_id for r in got.collect()}
+    assert found == {(r.query_id, r["rank"]): r.vector_id for r in want.collect()} and 60 < len(found) < 136
+
+
 def test_pairs_are_never_sorted(spark):
     """No sort or window lies on the join of chunks with queries: what is ranked comes out of the blocks."""
     sf = "/root/testdata/sf0.001"
