@@ -170,8 +170,9 @@ def diff_counts(diff: DataFrame, keys: tuple[str, ...] = MESSAGE) -> DataFrame:
 
 def reuse_embeddings(new: DataFrame, old: DataFrame) -> DataFrame:
     """New chunks with the embedding of the same id and same text, or null where it has to be computed."""
-    o = old.select(F.col("vector_id").alias("o_id"), F.col("text").alias("o_text"), "embedding")
-    return new.join(o, (F.col("vector_id") == F.col("o_id")) & (F.col("text") == F.col("o_text")), "left").drop("o_id", "o_text")
+    o = old.select(F.col("vector_id").alias("o_id"), F.sha2("text", 256).alias("o_key"), "embedding")  # digests, so that old texts aren't shuffled
+    keyed = new.withColumn("n_key", F.sha2("text", 256))
+    return keyed.join(o, (F.col("vector_id") == F.col("o_id")) & (F.col("n_key") == F.col("o_key")), "left").drop("o_id", "o_key", "n_key")
 
 
 def apply_edits(chunks: DataFrame, replacements: DataFrame, version: str = "version") -> tuple[DataFrame, DataFrame]:
