@@ -21,7 +21,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.operators.search import MOST_QUERIES, _slices, distance, in_time, norm, not_deleted, scope, similarity
+from chatloom.operators.nearest import STEP_PAIRS, _blocks, _passes
+from chatloom.operators.search import MOST_QUERIES, distance, filter_columns, norm, not_deleted, similarity
 
 #: Rows that the quantisers are fitted on, and most cells.
 SAMPLE, MOST_CELLS = 65_536, 4096
@@ -47,12 +48,18 @@ class VectorIndex:
 
 
 def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    v = np.stack([np.asarray(x, dtype=np.float64) for x in column.to_pylist()])
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    v = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).astype(np.float64).reshape(len(column), -1)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def _nearest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return ((points * points).sum(1)[None, :] - 2 * (x @ points.T)).argmin(1)
+    """The nearest of ``points`` to each row; ``STEP_PAIRS`` distances at once, however many points there are."""
+    step, norms = max(1, STEP_PAIRS // len(points)), (points * points).sum(1)[None, :]
+    out = np.zeros(len(x), np.int64)
+    for i in range(0, len(x), step):
+        out[i : i + step] = (norms - 2 * (x[i : i + step] @ points.T)).argmin(1)
+    return out
 
 
 def _parts(x: np.ndarray) -> np.ndarray:
@@ -149,57 +156,107 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(path, np.stack(of("centroid")), np.stack([b.reshape(CODEWORDS, PART) for b in of("codebook")]))
 
 
-def probes(index: VectorIndex, queries: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """``query_id, cell``: the cells that each query looks at."""
+def _probed(vectors: np.ndarray, centroids: np.ndarray, margin: float) -> Iterator[np.ndarray]:
+    """Which cells a query looks at, for stretches of the queries."""
+    step, norms = max(1, STEP_PAIRS // len(centroids)), (centroids**2).sum(1)[None, :]
+    for i in range(0, len(vectors), step):
+        away = np.sqrt(np.maximum(1 - 2 * (vectors[i : i + step] @ centroids.T) + norms, 0))
+        out = away <= margin * away.min(1, keepdims=True)
+        least = np.argsort(away, axis=1, kind="stable")[:, :LEAST_PROBES]
+        np.put_along_axis(out, least, True, axis=1)
+        yield out
+
+
+def _probing(index: VectorIndex, queries: DataFrame, margin: float, what: str, of: Callable[[pa.Array, np.ndarray], list[pa.Array]]) -> DataFrame:
     held = queries.sparkSession.sparkContext.broadcast(index.centroids)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            away = 2 - 2 * (_units(b.column("embedding")) @ held.value.T) + (held.value**2).sum(1)[None, :] - 1
-            away = np.sqrt(np.maximum(away, 0))
-            order = away.argsort(1).argsort(1)
-            at, cell = np.nonzero((away <= margin * away.min(1, keepdims=True)) | (order < LEAST_PROBES))
-            yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["query_id", "cell"])
+            at = 0
+            for some in _probed(_units(b.column("embedding")), held.value, margin) if b.num_rows else ():
+                yield pa.RecordBatch.from_arrays(of(b.column("query_id").slice(at, len(some)), some), names=["query_id", what.split()[0]])
+                at += len(some)
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return indexable(queries.select("query_id", F.col("query_vector").alias("embedding"))).mapInArrow(task, f"query_id {kind}, cell int")
+    return indexable(queries.select("query_id", F.col("query_vector").alias("embedding"))).mapInArrow(task, f"query_id {kind}, {what}")
 
 
-def candidates(index: VectorIndex, queries: DataFrame, margin: float = MARGIN, most: int = MOST_QUERIES) -> DataFrame:
-    """``query_id, vector_id, cell, estimate``: each query's best rows by their codes, ``RERANK`` times its ``top_k``.
+def probes(index: VectorIndex, queries: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """``query_id, cell``: the cells that each query looks at."""
 
-    Filters of ``scope`` and ``in_time`` and the deletion rule hold before anything is ranked. Queries go to tasks in slices of a bounded
-    size, by their vectors; which rows a query looks at is a join on cell and owner.
+    def rows(ids: pa.Array, some: np.ndarray) -> list[pa.Array]:
+        at, cell = np.nonzero(some)
+        return [ids.take(pa.array(at)), pa.array(cell.astype(np.int32))]
+
+    return _probing(index, queries, margin, "cell int", rows)
+
+
+def _probe_bits(index: VectorIndex, queries: DataFrame, margin: float) -> DataFrame:
+    """``query_id, probed``: the same, a row a query and a bit a cell."""
+    return _probing(index, queries, margin, "probed binary", lambda ids, some: [ids, pa.array([row.tobytes() for row in np.packbits(some, axis=1)], pa.binary())])
+
+
+def _estimating(held, same: tuple[str, ...], among: tuple[str, ...], timed: bool, pairs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Coded rows meet queries: each query's ``first_k`` best rows by their codes, of the cells that it looks at."""
+
+    def meet(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        ask, row, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if rows.num_rows and asks.num_rows:
+            centroids, books = held.value
+            rows = rows.sort_by([("cell", "ascending"), ("vector_id", "ascending")])
+            cell, k, units = rows["cell"].to_numpy(), asks["first_k"].to_numpy(), _units(asks["query_vector"])
+            place = np.argsort(np.argsort(np.array(rows["vector_id"].to_pylist())))  # among equals the smaller id
+            codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(cell), len(books))
+            probed = np.unpackbits(np.frombuffer(b"".join(asks["probed"].to_pylist()), np.uint8).reshape(len(k), -1), axis=1).astype(bool)
+            passing, worst, step = _passes(rows, asks, same, among, timed), np.full(len(k), -np.inf), max(1, pairs // len(k))
+            for start in range(0, len(cell), step):
+                end = min(start + step, len(cell))
+                own = np.concatenate([books[p][codes[start:end, p]] for p in range(len(books))], axis=1)[:, : centroids.shape[1]] + centroids[cell[start:end]]
+                own /= np.linalg.norm(own, axis=1, keepdims=True)
+                near = np.full((len(k), end - start), -np.inf)
+                cuts = [0, *(np.flatnonzero(np.diff(cell[start:end])) + 1), end - start]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    who = np.flatnonzero(probed[:, cell[start + low]])
+                    near[who, low:high] = units[who] @ own[low:high].T
+                allowed = passing(start, end)
+                if allowed is not None:
+                    near[~allowed] = -np.inf
+                at = max(end - start - int(k.max()), 0)
+                edge = np.maximum(np.partition(near, at, axis=1)[:, at], worst)
+                a, r = np.nonzero((near >= edge[:, None]) & (near > -np.inf))
+                ask, row, value = (np.concatenate(x) for x in ((ask, a), (row, r + start), (value, near[a, r])))
+                order = np.lexsort((place[row], -value, ask))
+                ask, row, value = ask[order], row[order], value[order]
+                nth = np.arange(len(ask)) - np.searchsorted(ask, np.arange(len(k)))[ask]
+                full = nth == k[ask] - 1
+                worst[ask[full]] = value[full]
+                kept = nth < k[ask]
+                ask, row, value = ask[kept], row[kept], value[kept]
+        return pa.table({"query_id": asks["query_id"].take(pa.array(ask)), "vector_id": rows["vector_id"].take(pa.array(row)), "cell": rows["cell"].take(pa.array(row)), "estimate": value})
+
+    return meet
+
+
+def candidates(index: VectorIndex, queries: DataFrame, margin: float = MARGIN, most: int = MOST_QUERIES, pairs: int = STEP_PAIRS) -> DataFrame:
+    """``query_id, vector_id, cell, top_k, estimate``: each query's best rows by their codes, ``RERANK`` times its ``top_k``.
+
+    Filters of ``scope`` and ``in_time`` and the deletion rule hold before anything is ranked. Blocks of an owner's codes meet blocks of at most
+    ``most`` of its queries, ``pairs`` pairs at once, and each meeting keeps as many rows a query as can come first; pairs are never sorted.
     """
     spark = queries.sparkSession
-    rows = index.rows(spark).where(not_deleted())
-    largest = (queries.agg(F.max("top_k")).first()[0] or 0) * RERANK
-    books, centroids = index.codebooks, index.centroids
-    kind = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    for some in _slices(queries, most):
-        vectors = indexable(some.select("query_id", F.col("query_vector").alias("embedding"))).collect()  # a slice, which has a bound
-        held = spark.sparkContext.broadcast((centroids, books, {r["query_id"]: i for i, r in enumerate(vectors)}, _units(pa.array([r["embedding"] for r in vectors])) if vectors else None))
-
-        def estimated(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            centroids, books, at, units = held.value
-            for b in batches:
-                estimate = np.zeros(0)
-                if b.num_rows:
-                    codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, len(books))
-                    own = np.concatenate([books[p][codes[:, p]] for p in range(len(books))], axis=1)[:, : centroids.shape[1]] + centroids[b.column("cell").to_numpy()]
-                    estimate = np.einsum("ij,ij->i", own, units[[at[q] for q in b.column("query_id").to_pylist()]]) / np.linalg.norm(own, axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vector_id"), b.column("cell"), b.column("top_k"), pa.array(estimate)], names=["query_id", "vector_id", "cell", "top_k", "estimate"])
-
-        asks = some.drop("query_vector", "question").join(probes(index, some, margin), "query_id")
-        met = rows.alias("c").join(asks.alias("q"), (F.col("c.cell") == F.col("q.cell")) & scope(queries) & in_time(queries))
-        met = met.select(F.col("q.query_id"), F.col("c.vector_id"), F.col("c.cell"), F.col("q.top_k").cast("long").alias("top_k"), F.col("c.code"))
-        part = met.mapInArrow(estimated, f"query_id {kind}, vector_id string, cell int, top_k bigint, estimate double")
-        out = part if out is None else out.union(part)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vector_id"))
-    return out.withColumn("place", place).where(F.col("place") <= F.lit(largest)).where(F.col("place") <= F.col("top_k") * RERANK)
+    timed = not {"time_from", "time_to"}.isdisjoint(queries.columns)
+    of_rows, of_asks, same, among = filter_columns(queries, timed)
+    asked = queries.where(F.col("top_k") > 0).select("query_id", "owner_id", "query_vector", (F.col("top_k") * RERANK).cast("int").alias("first_k"), *of_asks)
+    living = index.rows(spark).where(not_deleted())
+    sizes = _blocks(living, asked, most)
+    rows = living.join(sizes, F.col("owner_id") == F.col("owner")).select("vector_id", "cell", "code", F.col("owner").alias("owner"), *of_rows, F.pmod(F.xxhash64("vector_id"), F.col("n_rows")).cast("int").alias("row_block"), F.explode(F.sequence(F.lit(0), F.col("n_asks") - 1)).alias("ask_block"))
+    asked = asked.join(sizes, F.col("owner_id") == F.col("owner")).join(_probe_bits(index, queries, margin), "query_id")
+    asked = asked.select(*(c for c in asked.columns if c not in ("owner_id", "owner", "n_rows", "n_asks")), F.col("owner").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row_block"), F.pmod(F.xxhash64("query_id"), F.col("n_asks")).cast("int").alias("ask_block"))
+    held = spark.sparkContext.broadcast((index.centroids, index.codebooks))
+    keys, kind = ["owner", "row_block", "ask_block"], queries.schema["query_id"].dataType.simpleString()
+    met = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_estimating(held, same, among, timed, pairs), f"query_id {kind}, vector_id string, cell int, estimate double")
+    met = met.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vector_id")))
+    return met.join(queries.select("query_id", F.col("top_k").cast("long").alias("top_k")), "query_id").where(F.col("place") <= F.col("top_k") * RERANK)
 
 
 def search(index: VectorIndex, queries: DataFrame, margin: float = MARGIN) -> DataFrame:

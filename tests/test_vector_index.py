@@ -76,3 +76,29 @@ def test_other_searches_pass_over_broken_vectors(spark):
     queries = spark.createDataFrame([(1, "o1", [1.0] * 18, 2), (2, "o1", None, 2)], "query_id bigint, owner_id string, query_vector array<float>, top_k int")
     assert {r.vector_id for r in search.knn_by_matrix(chunks, queries, k=5).collect()} == {"v1", "v4"}
     assert {r.query_id for r in search.knn_lsh(chunks, queries, dim=18).collect()} <= {1}
+
+
+def test_each_meeting_of_blocks_keeps_only_what_can_come_first(spark):
+    """Candidates are those of all pairs in looked-at cells, however few pairs are looked at at once, and no pair beyond them is given to the ranking."""
+    chunks = clustered(spark)
+    asked = vi.indexable(chunks).where(F.substring("vector_id", 2, 9).cast("int") % 20 == 0).select("vector_id", "owner_id", F.col("embedding").alias("query_vector"), F.lit(2).alias("top_k")).withColumn("query_id", F.substring("vector_id", 2, 9).cast("bigint")).drop("vector_id")
+    index = vi.build(chunks, new_folder(spark, "index"))
+    rows = {r.vector_id: r for r in index.rows(spark).where(search.not_deleted()).collect()}
+    cells, vectors = {}, {r.query_id: r for r in asked.collect()}
+    for r in vi.probes(index, asked).collect():
+        cells.setdefault(r.query_id, set()).add(r.cell)
+
+    def estimate(q, row):
+        own = np.concatenate([index.codebooks[p][c] for p, c in enumerate(row.code)])[:18] + index.centroids[row.cell]
+        x = np.array(q.query_vector, float)
+        return round(float(own @ x / np.linalg.norm(own) / np.linalg.norm(x)), 12)
+
+    wanted = {}
+    for i, q in vectors.items():
+        near = sorted(((-estimate(q, r), v) for v, r in rows.items() if r.owner_id == q.owner_id and r.cell in cells[i]))
+        wanted[i] = [-e for e, _ in near[: 2 * vi.RERANK]]
+    for options in ({}, {"pairs": 500, "most": 7}):
+        got = {}
+        for r in vi.candidates(index, asked, **options).collect():
+            got.setdefault(r.query_id, []).append(round(r.estimate, 12))
+        assert set(got) == set(wanted) and all(np.allclose(sorted(got[i], reverse=True), wanted[i], rtol=0, atol=1e-9) for i in wanted)
