@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +52,22 @@ def hashing_embedder(dim: int) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def made_of(wanted: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = BATCH) -> DataFrame:
+    """``key, embedding`` of each row of ``key, text``; only ``batch`` texts at once are Python objects."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for b in batches:
+            model = model or load()
+            keys, texts = b.column("key"), b.column("text")
+            made = [model(texts.slice(i, batch).to_pylist()).astype(np.float32) for i in range(0, b.num_rows, batch)]
+            if made:
+                flat, dim = np.concatenate(made).ravel(), made[0].shape[1]
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([keys, vectors], names=["key", "embedding"])
+
+    return wanted.select("key", "text").mapInArrow(task, "key string, embedding array<float>")
+
+
 def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, text: str = "text", cache: DataFrame | None = None, batch: int = BATCH) -> DataFrame:
     """``rows`` with ``embedding``: equal texts are embedded once in the whole table, cached ones not at all, blank ones are zero.
 
@@ -62,15 +78,7 @@ def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]]
     if cache is not None:
         wanted = wanted.join(cache.select("key").distinct(), "key", "left_anti")
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for pdf in batches:
-            model = model or load()
-            for i in range(0, len(pdf), batch):
-                some = pdf.iloc[i : i + batch]
-                yield pd.DataFrame({"key": some["key"].to_numpy(), "embedding": list(model(some["text"].tolist()).astype(np.float32))})
-
-    made = wanted.mapInPandas(task, "key string, embedding array<float>")
+    made = made_of(wanted, load, batch)
     if cache is not None:
         made = made.unionByName(cache.select("key", "embedding"))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
