@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chatloom.operators import embed
 from chatloom.operators.stored import Store
-from chatloom.scratch import written
+from chatloom.scratch import release, written
 
 TABLE = {"embedding_cache": ("key string, embedding array<float>, inserted bigint", ("key",))}
 #: Digits of a digest that one step of the eviction looks at.
@@ -27,16 +27,19 @@ def run(store: Store, rows: DataFrame, load: Callable[[], Callable[[list[str]],
     New entries are added as inserted by ``batch``; beyond ``most`` entries those inserted first go. Blank texts are zero vectors and never cached.
     """
     keyed = rows.withColumn("key", embed.cache_key(F.col(text)))
-    wanted = written(keyed.where(F.coalesce(F.trim(text), F.lit("")) != "").select("key", F.col(text).alias("text")).dropDuplicates(["key"]), "wanted")
+    shown = keyed.where(F.coalesce(F.trim(text), F.lit("")) != "").select("key", F.col(text).alias("text"))
+    wanted = written(shown.select("key").distinct(), "wanted")  # digests only: of the texts just those that are missing are dealt out, once
     buckets = store.touched("embedding_cache", wanted)
     cache = store.read("embedding_cache", buckets, before=batch) if buckets else store.read("embedding_cache", [])
-    known = written(cache.join(wanted.select("key"), "key", "left_semi"), "known")
-    made = embed.embed(wanted.join(known.select("key"), "key", "left_anti").select("text"), load, dim)
-    made = written(made.select(embed.cache_key(F.col("text")).alias("key"), "embedding", F.lit(batch).cast("bigint").alias("inserted")), "made")
+    known = written(cache.join(wanted, "key", "left_semi"), "known")
+    missing = written(wanted.join(known.select("key"), "key", "left_anti"), "missing")
+    texts = shown.join(missing, "key", "left_semi").dropDuplicates(["key"])
+    made = written(embed.made_of(texts, load).withColumn("inserted", F.lit(batch).cast("bigint")), "made")
     after = cache.unionByName(made)
     if buckets:
         store.rewrite("embedding_cache", after, buckets, batch)
     store.commit(batch)
+    release(wanted, missing)
     hits, misses = known.count(), made.count()
     gone = evict(store, most, batch + 1) if most is not None else 0
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)

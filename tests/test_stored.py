@@ -86,3 +86,27 @@ def test_a_bucket_without_rows(spark, store):
     assert store.delete("u", spark.createDataFrame([("x",), ("nobody",)], "id string"), 1) == (2, 1)
     store.commit(1)
     assert store.read("u").collect() == [] and store.read("t").collect() == [] and store.read_log("log").collect() == []
+
+
+def test_cached_texts_are_not_dealt_out(spark, monkeypatch):
+    """A run writes digests and vectors, no texts, and embeds each missing text once; what it returns is as before."""
+    from chatloom.operators import embed, embed_cache
+    from chatloom.scratch import new_folder
+    from chatloom.scratch import written as write
+
+    wrote = {}
+
+    def noted(df, label):
+        wrote.setdefault(label, []).append(write(df, label))
+        return wrote[label][-1]
+
+    monkeypatch.setattr(embed_cache, "written", noted)
+    store = Store(spark, new_folder(spark, "cache"), embed_cache.TABLE, buckets=4)
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, " "), (4, None), (5, "c")], "id bigint, text string")
+    load = lambda: embed.hashing_embedder(8)
+    for batch, some, did in ((0, rows.where("id < 5"), (1, 0)), (2, rows, (1, 1)), (4, rows, (0, 2))):
+        out, got = embed_cache.run(store, some, load, 8, batch, most=9)
+        assert (got["misses"], got["hits"]) == did
+        want = embed.embed(some, load, 8)
+        assert sorted(map(repr, out.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert all("text" not in df.columns for made in wrote.values() for df in made)
