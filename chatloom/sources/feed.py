@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 NAME = "update_feed"
 #: Records of one Arrow batch.
 ROWS = 8192
+#: Records of a segment at most, so of a reading task too.
+SEGMENT = 65_536
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -129,8 +131,8 @@ def stream_feed(spark: SparkSession, path: str, schema: StructType | None = None
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def append_to_feed(rows: DataFrame, path: str, shards: int, order: str, key: list[str]) -> None:
-    """Append ``rows`` to a feed: a key's rows in ``order`` in one shard, each shard's as one more segment, numbered on from its last record."""
+def append_to_feed(rows: DataFrame, path: str, shards: int, order: str, key: list[str], most: int = SEGMENT) -> None:
+    """Append ``rows`` to a feed: a key's rows in ``order`` in one shard, each shard's as one more segment (or some of ``most`` records each), numbered on from its last record."""
     ends = {shard: s[-1][1] for shard, s in segments(path).items()}
     placed = rows.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
     iso = {f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") for f in rows.schema if f.dataType.typeName().startswith("timestamp")}
@@ -140,19 +142,19 @@ def append_to_feed(rows: DataFrame, path: str, shards: int, order: str, key: lis
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each shard lies in one task, sorted: a draft is written as its rows come and takes its name when its length is known."""
         files, root = _open(path)
-        shard, out, n, draft = None, None, 0, ""
+        shard, out, first, n, draft = None, None, 0, 0, ""
 
         def close() -> None:
-            first = ends.get(shard, 0)
             out.close()
             files.move(draft, f"{root}/shard={shard}/{first:020d}-{first + n:020d}.jsonl")
 
         for b in batches:
             for s, text in zip(b.column("shard").to_pylist(), b.column("line").to_pylist(), strict=True):
-                if s != shard:
+                if s != shard or n == most:
                     if out:
                         close()
-                    shard, n, draft = s, 0, f"{root}/shard={s}/_draft-{ends.get(s, 0):020d}"
+                    first = first + n if s == shard else ends.get(s, 0)
+                    shard, n, draft = s, 0, f"{root}/shard={s}/_draft-{first:020d}"
                     files.create_dir(f"{root}/shard={s}", recursive=True)
                     out = files.open_output_stream(draft)
                 out.write(text.encode() + b"\n")

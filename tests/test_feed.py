@@ -52,3 +52,17 @@ def test_a_stream_that_stops_and_starts_again(spark):
     found = spark.read.parquet(out)
     assert failed and found.count() == 230
     assert found.drop("batch").exceptAll(rows(spark, 0, 230)).isEmpty() and rows(spark, 0, 230).exceptAll(found.drop("batch")).isEmpty()
+
+
+def test_long_shards_are_cut_into_segments(spark):
+    """So that a batch is read by more tasks than the feed has shards; numbers go on and the order stays."""
+    path = new_folder(spark, "feed")
+    feed.append_to_feed(rows(spark, 0, 100), path, 2, "n", ["key"], most=10)
+    feed.append_to_feed(rows(spark, 100, 150), path, 2, "n", ["key"], most=10)
+    found = feed.segments(path)
+    assert all(own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and all(b - a <= 10 for a, b, _ in own) for own in found.values())
+    reader = feed.FeedReader(rows(spark, 0, 1).schema, path)
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) >= 15 > len(found)
+    got = [n for p in parts for b in reader.read(p) for n in b.column("n").to_pylist()]
+    assert sorted(got) == list(range(150))
