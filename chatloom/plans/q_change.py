@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatloom.operators import embed, policy, state, sync
 from chatloom.plans.q_text import _decisions
 from chatloom.plans.sql_tables import with_tables
-from chatloom.scratch import new_folder
+from chatloom.scratch import new_folder, release, written
 from chatloom.scratch import scratch_dir as jobs_dir
 from chatloom.sources import feed, tables
 from chatloom.streaming import jobs, sinks
@@ -137,9 +137,8 @@ def stream_message_table(spark, sf_dir):
     """``message_state`` as a stored table, kept by a stream of updates in order of arrival; the writer dies once inside a batch and starts again."""
     base = new_folder(spark, "message-table")
     u = tables.updates(spark, sf_dir)
-    _waves(u, f"{base}/in", 3)
-    run = lambda after: jobs.run_to_end(spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), sinks.message_sink(sinks.open_store(spark, f"{base}/store", 16), after), f"{base}/checkpoint")
-    _dying(run, "messages", 2)
+    run = lambda after: jobs.run_to_end(spark.readStream.schema(u.schema).parquet(f"{base}/in"), sinks.message_sink(sinks.open_store(spark, f"{base}/store", 16), after), f"{base}/checkpoint")
+    _dying(run, _waves(u, f"{base}/in", 3), "messages", 2)
     store = sinks.open_store(spark, f"{base}/store", 16)
     return store.read("messages").where("current_version IS NOT NULL OR is_deleted").select("message_id", "current_version", "is_edited", "is_deleted", "last_update_id", "n_updates")
 
@@ -148,10 +147,9 @@ def stream_update_results(spark, sf_dir):
     """``edit_classify`` as the log of the same job, over other batches."""
     base = new_folder(spark, "update-results")
     u = tables.updates(spark, sf_dir)
-    _waves(u, f"{base}/in", 3)
-    stream = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     store = sinks.open_store(spark, f"{base}/store", 16)
-    jobs.run_to_end(stream, sinks.message_sink(store), f"{base}/checkpoint")
+    for _ in _waves(u, f"{base}/in", 3):
+        jobs.run_to_end(spark.readStream.schema(u.schema).parquet(f"{base}/in"), sinks.message_sink(store), f"{base}/checkpoint")
     return store.read_log("sync_results").select("message_id", "arrival", "kind", "update_id", "status", "version")
 
 
@@ -159,8 +157,8 @@ class Died(Exception):
     """The writer's end inside a batch."""
 
 
-def _dying(run, table, nth):
-    """Run a job whose writer dies after it wrote ``table`` for the ``nth`` time, then run it to the end."""
+def _dying(run, waves, table, nth):
+    """Run a job after each wave; its writer dies after it wrote ``table`` for the ``nth`` time, and is started again."""
     left = [nth]
 
     def die(written_table):
@@ -168,19 +166,23 @@ def _dying(run, table, nth):
         if not left[0]:
             raise Died(table)
 
-    try:
-        run(die)
-    except StreamingQueryException:
-        pass
-    run(lambda table: None)
+    for _ in waves:
+        try:
+            run(die)
+        except StreamingQueryException:
+            run(lambda table: None)
+            left[0] = -1
 
 
 def _waves(rows, path, n):
-    """Rows by arrival in ``n`` files that a stream takes one after the other."""
+    """Rows by arrival in ``n`` waves: what is yielded is that one more has come, in as many files as the tasks that write it."""
+    rows = written(rows, "updates")
     cuts = [None, *rows.approxQuantile("arrival", [i / n for i in range(1, n)], 0.01), None]
     for low, high in zip(cuts, cuts[1:], strict=False):
         some = rows if low is None else rows.where(F.col("arrival") >= low)
-        (some if high is None else some.where(F.col("arrival") < high)).coalesce(1).write.mode("append").parquet(path)
+        (some if high is None else some.where(F.col("arrival") < high)).write.mode("append").parquet(path)
+        yield
+    release(rows)
 
 
 def _event_waves(spark, sf_dir):
@@ -195,14 +197,19 @@ def _event_waves(spark, sf_dir):
 def ingest_chunks(spark, sf_dir):
     """Chunks that continuous ingest stored of three waves of events; the writer dies inside the second batch and starts again."""
     base = new_folder(spark, "ingest")
-    for wave in _event_waves(spark, sf_dir):
-        wave.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    accounts, chats = tables.accounts(spark, sf_dir), tables.chats(spark, sf_dir)
-    schema = spark.read.parquet(f"{base}/in").schema
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    waves = _event_waves(spark, sf_dir)
+    accounts, chats = written(tables.accounts(spark, sf_dir), "accounts"), written(tables.chats(spark, sf_dir), "chats")
+    stream = lambda: spark.readStream.schema(waves[0].schema).parquet(f"{base}/in")
+
+    def come():
+        for wave in waves:
+            wave.write.mode("append").parquet(f"{base}/in")
+            yield
+
     model = lambda: embed.hashing_embedder(64)
     run = lambda after: jobs.run_to_end(stream(), sinks.ingest_sink(sinks.open_store(spark, f"{base}/store", 16), accounts, chats, model, 64, after=after), f"{base}/checkpoint")
-    _dying(run, "message_chunks", 2)
+    _dying(run, come(), "message_chunks", 2)
+    release(accounts, chats)
     found = sinks.open_store(spark, f"{base}/store", 16).read("message_chunks")
     return found.select("vector_id", "owner_id", "content_part", F.md5("text").alias("text_md5"), "message_version", F.size(F.filter("embedding", lambda x: x > 0)).alias("used"), F.array_position("embedding", F.array_max("embedding")).alias("top"))
 
@@ -210,12 +217,13 @@ def ingest_chunks(spark, sf_dir):
 def stream_feed_updates(spark, sf_dir):
     """Updates through the feed source: a third of the records, a stream that takes them and stops, the next third, and so on from its offsets."""
     base = new_folder(spark, "feed")
-    u = tables.updates(spark, sf_dir).withColumn("edit_ts", F.col("edit_ts").cast("timestamp"))
+    u = written(tables.updates(spark, sf_dir).withColumn("edit_ts", F.col("edit_ts").cast("timestamp")), "updates")
     low, high = u.approxQuantile("arrival", [1 / 3, 2 / 3], 0.01)
     at = F.col("arrival")
     for part in (at < low, (at >= low) & (at < high), at >= high):
-        feed.append_to_feed(u.where(part), f"{base}/feed", 4, "arrival", ["message_id"])
+        feed.append_to_feed(u.where(part), f"{base}/feed", 16, "arrival", ["message_id"])
         jobs.run_to_end(feed.stream_feed(spark, f"{base}/feed", u.schema), jobs.append_once(f"{base}/out"), f"{base}/checkpoint")
+    release(u)
     found = spark.read.parquet(f"{base}/out")
     return found.select("message_id", "arrival", "kind", "update_id", F.date_format("edit_ts", _TS).alias("edit_ts"))
 

@@ -97,3 +97,14 @@ def test_ingest_survives_its_writer(spark, table):
     edited = store.read("message_chunks").where("message_version = 2")
     assert edited.where("text LIKE '%!'").count() == edited.count() > 0
     assert store.read("message_chunks").groupBy("vector_id").count().where("count > 1").isEmpty()
+
+
+def test_waves_come_in_files_of_several_tasks(spark, tmp_path):
+    """A wave is not the work of one task; all its rows are there when it has come, and none of the next wave's."""
+    from chatloom.plans.q_change import _waves
+
+    u, seen = updates(spark).repartition(4), []
+    for _ in _waves(u, f"file://{tmp_path}/in", 3):
+        seen.append((spark.read.parquet(f"file://{tmp_path}/in").count(), len(list((tmp_path / "in").glob("*.parquet")))))
+    assert len(seen) == 3 and seen[-1][0] == 400 and seen[0][0] < seen[1][0] < 400 and seen[0][1] > 1
+    assert spark.read.parquet(f"file://{tmp_path}/in").exceptAll(u).isEmpty()
