@@ -296,3 +296,24 @@ def test_long_phone_numbers_keep_their_digits(spark):
     number = "+" + "1" * 3000
     row = spark.createDataFrame([(number,)], "p string").select(phone.problem(F.col("p")).alias("why"), phone.masked(F.col("p")).alias("shown")).first()
     assert row.why == "too_long" and row.shown.endswith("1111")
+
+
+def test_texts_to_embed_are_not_held_as_objects(spark):
+    """Batches stay Arrow; the model is given a few texts at once, and keys keep their vectors over several of its calls."""
+    rows = spark.createDataFrame([(i, f"word{i} x" if i % 4 else None) for i in range(50)], "id int, text string")
+
+    def load():
+        model = embed.hashing_embedder(8)
+
+        def few(texts):
+            assert len(texts) <= 3
+            return model(texts)
+
+        return few
+
+    out = embed.embed(rows, load, 8, batch=3)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    model = embed.hashing_embedder(8)
+    for r in out.collect():
+        want = model([r.text])[0] if r.text else [0.0] * 8
+        assert all(abs(a - b) < 1e-6 for a, b in zip(r.embedding, want, strict=True))
