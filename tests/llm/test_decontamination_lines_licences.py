@@ -167,6 +167,23 @@ def test_edit_similarity_against_plain_python(spark):
         assert got[k] == (edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9), (a, b)
 
 
+@pytest.mark.parametrize("tile", [line_dedup.TILE, 16])
+def test_like_lines_of_a_large_bucket_whose_simhashes_differ(spark, tile, monkeypatch):
+    """A phrase common to all, each other word of a copy with one letter changed: only a meeting of all lines of the bucket finds these."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rng = random.Random(10)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choice(letters) for _ in range(8)) for _ in range(10)]
+        rows.append((2 * k, "international organisation " + " ".join(words)))
+        if k % 6 == 0:
+            near = [w[: (at := rng.randrange(8))] + ("z" if w[at] != "z" else "y") + w[at + 1 :] for w in words]
+            rows.append((2 * k + 1, "international organisation " + " ".join(near)))
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: k - 1 for k, _ in rows if k % 2}
+
+
 def test_lines_of_many_thousand_words(spark):
     rng = random.Random(9)
     long = sentence(rng, 20000)
