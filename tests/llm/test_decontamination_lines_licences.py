@@ -184,6 +184,45 @@ def test_like_lines_of_a_large_bucket_whose_simhashes_differ(spark, tile, monkey
     assert got == {k: k - 1 for k, _ in rows if k % 2}
 
 
+def test_a_common_phrase_at_places_that_fit(spark):
+    """A phrase that stands anywhere in all lines and is all that like ones share: these are found, and only where places fit are lines compared."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(16)]
+        at = rng.randrange(16)
+        rows.append((2 * k, " ".join([*words[:at], "international organisation", *words[at:]])))
+        if k % 4 == 0:
+            near = [w[: (i := rng.randrange(8))] + ("z" if w[i] != "z" else "y") + w[i + 1 :] for w in words]
+            near[rng.randrange(16)] += "xyz"
+            rows.append((2 * k + 1, " ".join([*near[:at], "international organisation", *near[at:]])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spots = docs.select("doc_id", F.expr("locate('international', text) - 1").alias("spot"), F.length("text").alias("size"))
+    a, b = (spots.select(*(F.col(c).alias(f"{s}_{c}") for c in spots.columns)) for s in "ab")
+    fit = {(r.a_doc_id, r.b_doc_id) for r in a.join(b, (F.col("a_doc_id") < F.col("b_doc_id")) & line_dedup._beside(("a_spot", "a_size"), ("b_spot", "b_size"))).collect()}
+    assert {(k - 1, k) for k, _ in rows if k % 2} <= fit and len(fit) < len(rows) * (len(rows) - 1) / 2 / 3
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.repeated_lines(docs).collect()}
+    assert got == {k: k - 1 for k, _ in rows if k % 2}
+
+
+def test_pieces_of_long_lines_never_link_more(spark):
+    """A long line with a passage put in and words changed: what pieces accept is alike by the plain distance, and most of such lines are accepted."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(24):
+        line = sentence(rng, 250, 300)
+        near = list(line)
+        for j in rng.sample(range(250), k):
+            near[j] = "other"
+        at = rng.randrange(250)
+        near[at:at] = sentence(rng, 4 * (k % 12), 300)
+        rows.append((k, *rng.sample([" ".join(line), " ".join(near)], 2)))
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    got = {r.k: r.pieces for r in df.select("k", line_dedup._alike_by_pieces("a", "b").alias("pieces")).collect()}
+    alike = {k: edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for k, a, b in rows}
+    assert not [k for k in got if got[k] and not alike[k]] and sum(got.values()) >= 8, (got, alike)
+
+
 def test_lines_of_many_thousand_words(spark):
     rng = random.Random(9)
     long = sentence(rng, 20000)
