@@ -205,6 +205,45 @@ def test_a_common_phrase_at_places_that_fit(spark):
     assert got == {k: k - 1 for k, _ in rows if k % 2}
 
 
+@pytest.mark.parametrize("others", [0, 60])
+def test_a_common_phrase_at_places_that_do_not_fit(spark, others):
+    """Like lines whose only shared words stand at the beginning of one and at the end of the other; the counterparts have a letter changed there."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    draw = lambda: ["".join(rng.choice(letters) for _ in range(8)) for _ in range(14)]
+    rows, want = [], {}
+    for k in range(8):
+        words = draw()
+        near = [w[: (at := rng.randrange(8))] + ("z" if w[at] != "z" else "y") + w[at + 1 :] for w in words]
+        x = " ".join(["international organisation", *words, "internatioqal orgaqisation"])
+        y = " ".join(["internatiojal orgajisation", *near, "international organisation"])
+        assert edits(x, y) <= 0.2 * len(x)
+        rows += [(2 * k, x), (2 * k + 1, y)]
+        want[2 * k + 1] = 2 * k
+    rows += [(1000 + k, " ".join(["international organisation", *draw(), *draw()[:2]])) for k in range(others)]
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_counts_of_letters_rule_out_no_line_alike(spark):
+    """The bound by counts is never above the plain distance, with letters that aren't counted and more than 127 of one as well."""
+    rng = random.Random(14)
+    rows = []
+    for k in range(300):
+        line = sentence(rng, rng.choice([5, 12, 60, 300]), 300) + rng.choice([[], ["été", "größe"], ["e" * 200]])
+        near = list(line)
+        for j in rng.sample(range(len(line)), rng.randint(0, max(1, len(line) // 3))):
+            near[j] = rng.choice(["other", near[j][:-1], near[j] + "x", "e" * 9, "漢字"])
+        rows.append((k, " ".join(line), " ".join(near)))
+    met = spark.createDataFrame(rows, "h int, a string, b string")
+    for side in "ab":
+        texts = met.select("h", F.col(side).alias("norm"), F.length(side).alias("size"))
+        met = met.join(line_dedup._compared(line_dedup._letters(texts), f"{side}_").withColumnsRenamed({f"{side}__{c}": f"{side}_{c}" for c in ("size", *line_dedup._counts())}), F.col("h") == F.col(f"{side}_"))
+    fits = {r.h: r.fits for r in met.select("h", line_dedup._letters_fit("a", "b").alias("fits")).collect()}
+    alike = {k for k, a, b in rows if edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    assert 50 < len(alike) < 290 and all(fits[k] for k in alike) and not all(fits.values())
+
+
 def test_pieces_of_long_lines_never_link_more(spark):
     """A long line with a passage put in and words changed: what pieces accept is alike by the plain distance, and most of such lines are accepted."""
     rng = random.Random(12)
